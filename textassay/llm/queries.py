@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.llm import quality
+from textassay.llm import quality, tokens
 from textassay.llm.io import table
 
 
@@ -16,5 +16,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op5_token_counts": op5_token_counts,
+}
 ORACLES: dict[str, str] = {}
