@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.llm import decontaminate, mixing, oracles, quality, sharding, tokens
+from textassay.llm import decontaminate, licenses, mixing, oracles, pagetext, quality, sharding, tokens
 from textassay.llm.io import table
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -31,16 +35,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op1_page_text": op1_page_text,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
+    "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op6_decontamination": oracles.OP6}
