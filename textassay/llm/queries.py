@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.llm import decontaminate, licenses, mixing, oracles, pagetext, quality, sharding, tokens
+from textassay.llm import decontaminate, licenses, lm, mixing, oracles, pagetext, quality, sharding, tokens
 from textassay.llm.io import table
 
 
@@ -35,6 +35,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out")))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_lm_score": op8_lm_score,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
