@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textassay.llm.io import stored
+from textassay.llm.io import drop, stored
 from textassay.llm.textops import SPACE_WORDS, Slice, as_signed, mix64, slices
 
 WORDS = 5
@@ -150,7 +150,7 @@ def _regroup(groups: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _full_sets(texts: DataFrame) -> DataFrame:
-    """node, n, token of every shingle of texts(node, n, text)."""
+    """Distinct node, n, token of every shingle of texts(node, n, text)."""
 
     def run(batches):
         for batch in batches:
@@ -160,7 +160,7 @@ def _full_sets(texts: DataFrame) -> DataFrame:
                 own = [np.repeat(batch.column(c).slice(part.first, part.n).to_numpy(), times) for c in ("node", "n")]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(as_signed(np.concatenate(sets)))], ["node", "n", "token"])
 
-    return texts.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, token bigint")
+    return texts.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, token bigint").distinct()
 
 
 def _matrix(tokens: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -212,29 +212,35 @@ def _need():
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
-    rows = stored(sketches(docs), "sketches")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    wide = stored(sketches(docs), "sketches")
+    nodes = wide.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
-    tokens = nodes.select("node", "n", F.explode("sketch").alias("token"))
+    rows = stored(wide.drop("sketch"), "rows")
+    drop(wide)
+    # a token of one node links nothing, nor does a node with fewer tokens in common with others than a link needs
+    all_tokens = nodes.select("node", F.explode("sketch").alias("token"))
+    common = all_tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    shared = stored(all_tokens.join(common.hint("merge"), "token"), "shared")
+    slim = nodes.select("node", "n", "copies")
+    active = shared.groupBy("node").agg(F.count("*").alias("k")).join(slim.hint("merge"), "node").where(F.col("k") >= _need()).drop("k")
+    tokens = stored(shared.join(active.hint("merge"), "node").select("node", "n", "copies", "token"), "tokens")
 
     # 1. groups: of a token the leader is the node with most copies, then by a hash; of a node the leader it shares most tokens with
-    half = nodes.select("node", "n", "copies", F.explode(F.slice("sketch", 1, SKETCH // 2)).alias("token"))
     order = F.struct((-F.col("copies")).alias("c"), F.xxhash64("node").alias("h"), F.col("node").alias("leader"), F.col("n").alias("m"))
-    leaders = half.groupBy("token").agg(F.min(order).alias("o"), F.count("*").alias("k")).where("k > 1").select("token", "o.leader", "o.m")
-    shared = half.join(leaders.hint("merge"), "token").where("node != leader").where(_alike("n", "m")).groupBy("node", "leader").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    best = shared.groupBy("node").agg(F.max(F.struct("k", "leader")).alias("o"), F.first("n").alias("n"))
+    leaders = tokens.groupBy("token").agg(F.min(order).alias("o"), F.count("*").alias("k")).where("k > 1").select("token", "o.leader", "o.m")
+    met = tokens.join(leaders.hint("merge"), "token").where("node != leader").where(_alike("n", "m")).groupBy("node", "leader").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("k", "leader")).alias("o"), F.first("n").alias("n"))
     star = stored(best.where(F.col("o.k") >= F.least(F.lit(SKETCH // 8), F.ceil(F.col("n") / 2))).select(F.col("node").alias("a"), F.col("o.leader").alias("b")), "star")
 
-    # texts of nodes that share any sketch token with another node
-    common = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    involved = tokens.join(common.hint("merge"), "token").select("node").distinct()
-    first = nodes.select("node", "n", "doc_id").join(involved.hint("merge"), "node")
+    # whole texts of the nodes that may link
+    first = nodes.select("node", "doc_id").join(tokens.select("node").distinct().hint("merge"), "node", "left_semi")
     # an id may belong to several texts, so the text's own node decides
-    texts = sketches(docs.join(first.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(F.struct("doc_id", "text").alias("doc_id"), "text"))
+    ids = stored(first.select("doc_id").distinct(), "ids")  # its size is known, so Spark may choose how to join
+    texts = sketches(docs.join(ids, "doc_id", "left_semi").select(F.struct("doc_id", "text").alias("doc_id"), "text"))
     texts = texts.select("node", F.col("n_shingles").alias("n"), "doc_id.text").join(first.select("node").hint("merge"), "node", "left_semi")
-    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    texts = stored(texts, "texts")  # a node with several rows of that id stands in it several times
     links = stored(verified(star, texts), "star-links")
-    groups = stored(nodes.select("node").join(components(links).hint("merge"), "node", "left").select("node", F.coalesce("group", "node").alias("group")), "groups")
+    groups = stored(tokens.select("node").distinct().join(components(links).hint("merge"), "node", "left").select("node", F.coalesce("group", "node").alias("group")), "groups")
 
     # 2. which groups a node meets over a probe, and whether their union can hold enough of its sketch
     matrix, probes = _probes(tokens, texts, groups)
@@ -269,8 +275,9 @@ def join(docs: DataFrame) -> DataFrame:
     every = _plausible(every.join(star.unionByName(tried).hint("merge"), ["a", "b"], "left_anti"), nodes)
     groups = _regroup(joined, stored(verified(every, texts), "links"))
 
-    smallest = nodes.join(groups.hint("merge"), "node").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    of_node = groups.join(smallest.hint("merge"), "group").select("node", "component_id")
+    named = nodes.select("node", "doc_id").join(groups.hint("merge"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    smallest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    of_node = named.select("node", "group").join(smallest.hint("merge"), "group").select("node", "component_id")
     return rows.join(of_node.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
