@@ -1 +1,131 @@
-QUERIES = {}
+"""Paragraph and sentence tables, writing rhythm, information density and the reading guide."""
+
+from __future__ import annotations
+
+from textassay.operators.features import ENDS, trim
+from textassay.operators.rules import total
+
+# Fixed values of the Latin pack: filler, transition and judgement wording.
+FILLERS = (" it is ", " that is ", "in order")
+TRANSITIONS = ("the ", "and ", "for ", "however", "moreover", "furthermore")
+NAMES = "[A-Z][a-z]+( [A-Z][a-z]+)+"
+QUOTES = "[“”「」『』]"
+
+
+def paras(d) -> str:
+    """doc_id, i (1-based), p, n (paragraphs of the document)."""
+    kept = d.only(d.each(d.split("t", "\\n"), "s", trim(d, "s")), "s", "length(s) > 0")
+    return f"SELECT doc_id, CAST(i AS BIGINT) AS i, x AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM {d.explode('doc_id', kept, 'docs')}"
+
+
+def sents(d) -> str:
+    """doc_id, i, j, s: sentences of each paragraph."""
+    kept = d.only(d.each(d.split("p", ENDS), "s", trim(d, "s")), "s", "length(s) > 0")
+    return f"SELECT doc_id, pi AS i, CAST(i AS BIGINT) AS j, x AS s FROM {d.explode('doc_id, pi', kept, '(SELECT doc_id, i AS pi, p FROM paras)')}"
+
+
+def density(d) -> str:
+    """Information density 0..1 of each paragraph, with the signals it is made of."""
+    fillers = "(" + " + ".join(f"(length(p) - length(replace(p, {d.lit(f)}, ''))) / {len(f)}" for f in FILLERS) + ")"
+    fillers = f"CAST({fillers} AS INT)"
+    specific = f"({d.rx('p', '[0-9]+')} OR {d.rx('p', QUOTES)} OR {d.rx('p', NAMES)})"
+    score = f"CASE WHEN {d.rx('p', '[0-9]+')} THEN 0.3 ELSE 0.0 END + CASE WHEN {d.rx('p', QUOTES)} THEN 0.2 ELSE 0.0 END + CASE WHEN {d.rx('p', NAMES)} THEN 0.2 ELSE 0.0 END - 0.2 * fillers - CASE WHEN length(p) < 20 THEN 0.2 ELSE 0.0 END + CASE WHEN length(p) > 100 AND specific THEN 0.2 ELSE 0.0 END - CASE WHEN {d.rxcount('p', '[0-9]+')} >= 3 AND NOT contains(p, ' but ') AND contains(p, 'Version') THEN 0.15 ELSE 0.0 END"
+    return f"SELECT doc_id, i, p, n, fillers, specific, transitions, CAST(round(greatest(0.0, least(1.0, {score})), 6) AS DOUBLE) AS density FROM (SELECT *, {fillers} AS fillers, {specific} AS specific, {total([d.contains('lower(p)', t) for t in TRANSITIONS])} AS transitions FROM paras)"
+
+
+def kinds(d) -> str:
+    """Paragraph classes: suspicious, empty, nugget."""
+    return "SELECT *, density < 0.2 AND length(p) > 20 AS is_empty, density >= 0.3 AND specific AS is_nugget, CAST(fillers >= 2 AS INT) + CAST(transitions >= 3 AS INT) + CAST(NOT specific AND length(p) > 200 AS INT) AS reasons FROM density"
+
+
+def _bigrams(d, x: str) -> str:
+    return d.distinct(d.each(d.seq("1", f"length({x}) - 1"), "k", f"substring({x}, k, 2)"))
+
+
+def drift(d) -> str:
+    """Jaccard distance of the bigram sets of each paragraph and the next; NULL if both are empty."""
+    both = f"{d.size(d.intersect('b', 'c'))}"
+    return f"""
+SELECT doc_id, i, CASE WHEN c IS NULL OR {d.size('b')} + {d.size('c')} = 0 THEN NULL ELSE 1.0 - CAST({both} AS DOUBLE) / ({d.size('b')} + {d.size('c')} - {both}) END AS distance
+FROM (SELECT doc_id, i, b, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM (SELECT doc_id, i, {_bigrams(d, 'p')} AS b FROM paras))"""
+
+
+def rhythms(d) -> str:
+    pl = "CASE WHEN pn < 2 THEN 50.0 WHEN pcv < 0.1 THEN 95.0 WHEN pcv < 0.2 THEN 95.0 - (pcv - 0.1) * 200.0 WHEN pcv < 0.35 THEN 75.0 - (pcv - 0.2) * (25.0 / 0.15) WHEN pcv < 0.5 THEN 50.0 - (pcv - 0.35) * (30.0 / 0.15) ELSE greatest(5.0, 20.0 - (pcv - 0.5) * 30.0) END"
+    sl = "CASE WHEN coalesce(sn, 0) < 3 THEN 50.0 WHEN scv >= 0.6 THEN least(95.0, 85.0 + (scv - 0.6) * 25.0) WHEN scv >= 0.3 THEN 50.0 + (scv - 0.3) * (35.0 / 0.3) WHEN scv >= 0.15 THEN 25.0 + (scv - 0.15) * (25.0 / 0.15) ELSE greatest(5.0, 25.0 - (0.15 - scv) * 133.0) END"
+    r = lambda x: f"CAST(round(CAST(round(CAST({x} AS DOUBLE), 7) AS DECIMAL(18, 7)), 1) AS DOUBLE)"
+    return f"""
+SELECT p.doc_id, p.pn AS paragraph_count, {r('p.pmean')} AS avg_paragraph_length, {r('p.psd')} AS length_std_dev, {r(pl)} AS uniformity, {r(sl)} AS diversity, {r('coalesce(dist * 100.0, 50.0)')} AS topic_drift
+FROM (SELECT doc_id, count(*) AS pn, avg(length(p)) AS pmean, coalesce(stddev_samp(length(p)), 0.0) AS psd, coalesce(stddev_samp(length(p)), 0.0) / avg(length(p)) AS pcv FROM paras GROUP BY doc_id) p
+LEFT JOIN (SELECT doc_id AS sd, count(*) AS sn, coalesce(stddev_samp(length(s)), 0.0) / avg(length(s)) AS scv FROM sents GROUP BY doc_id) s ON p.doc_id = s.sd
+LEFT JOIN (SELECT doc_id AS dd, avg(distance) AS dist FROM drift GROUP BY doc_id) x ON p.doc_id = x.dd"""
+
+
+def _ai_patterns(d) -> str:
+    starters = "(SELECT doc_id, max(k) AS most, sum(k) AS total FROM (SELECT doc_id, substring(s, 1, 4) AS st, count(*) AS k FROM sents WHERE length(s) >= 4 GROUP BY doc_id, substring(s, 1, 4)) GROUP BY doc_id)"
+    return f"""
+SELECT r.doc_id, r.paragraph_count >= 3 AND r.length_std_dev < 0.2 * r.avg_paragraph_length AS uniform, g.with_transition >= greatest(2, 0.3 * r.paragraph_count) AS formulaic,
+  coalesce(st.total >= 5 AND st.most >= 3 AND st.most >= 0.3 * st.total, FALSE) AS repetitive, g.fillers >= 2 AS filler, g.vague * 2 > r.paragraph_count AS vague, r.uniformity > 65 AS steady
+FROM rhythms r JOIN (SELECT doc_id AS gd, sum(CASE WHEN transitions >= 1 THEN 1 ELSE 0 END) AS with_transition, sum(fillers) AS fillers, sum(CASE WHEN NOT specific AND length(p) > 50 THEN 1 ELSE 0 END) AS vague FROM density GROUP BY doc_id) g ON r.doc_id = g.gd
+LEFT JOIN (SELECT doc_id AS td, most, total FROM {starters}) st ON r.doc_id = st.td"""
+
+
+def statuses(d) -> str:
+    return "SELECT *, CASE WHEN is_nugget THEN 'gold' WHEN is_empty THEN 'skip' ELSE 'neutral' END AS state, reasons >= 1 AS caution FROM kinds"
+
+
+def runs(d) -> str:
+    """Run-length encoding of paragraph states."""
+    return """
+SELECT doc_id, state, min(i) AS first_i, max(i) AS last_i, count(*) AS len, max(n) AS n, sum(density) AS density_sum, sum(fillers) AS fillers, sum(transitions) AS transitions
+FROM (SELECT *, sum(changed) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+      FROM (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS changed FROM statuses)) GROUP BY doc_id, run, state"""
+
+
+def guide(d) -> str:
+    return "SELECT doc_id, count(*) AS n, sum(CAST(is_nugget AS INT)) AS nuggets, sum(CAST(is_empty AS INT)) AS empties, sum(CASE WHEN reasons >= 1 THEN 1 ELSE 0 END) AS suspicious FROM kinds GROUP BY doc_id"
+
+
+def sent_density(d) -> str:
+    fillers = total([d.contains("s", f) for f in FILLERS])
+    return f"SELECT doc_id, i, j, s, CAST(round(greatest(0.0, least(1.0, CASE WHEN {d.rx('s', '[0-9]+')} THEN 0.3 ELSE 0.0 END + CASE WHEN {d.rx('s', NAMES)} THEN 0.2 ELSE 0.0 END - 0.2 * {fillers} - CASE WHEN length(s) < 20 THEN 0.2 ELSE 0.0 END)), 6) AS DOUBLE) AS density FROM sents"
+
+
+def _tldr(d) -> str:
+    picked = "(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY density DESC, i, j) AS rn FROM sent_density WHERE length(s) >= 10)"
+    return f"SELECT doc_id, {d.join(d.collect('s', 'i * 1000000 + j'), '. ')} AS tldr, count(*) AS n FROM {picked} WHERE rn <= 3 GROUP BY doc_id"
+
+
+def _anchor(d) -> str:
+    sizes = d.only(d.each(d.seq("1", "13"), "k", "23 - k"), "m", "m <= length(p) AND length(t) - length(replace(t, substring(p, 1, m), '')) = m")
+    return f"SELECT doc_id, i, substring(p, 1, coalesce({d.at('sizes', 1)}, least(10, length(p)))) AS anchor FROM (SELECT a.doc_id, a.i, a.p, {sizes} AS sizes FROM paras a JOIN docs b ON a.doc_id = b.doc_id WHERE a.i <= 5)"
+
+
+def _evidence(d) -> str:
+    return f"""
+SELECT x.doc_id, x.dim, {d.join(d.collect('CAST(k.i AS STRING)', 'k.i'), ',')} AS paragraphs FROM (SELECT doc_id, dim, CASE WHEN kind = 'risk' THEN 'skip' ELSE 'gold' END AS state FROM dims WHERE kind = 'risk' AND score > 35 OR kind = 'good' AND score > 55) x
+JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, state ORDER BY i) AS rn FROM statuses) k ON x.doc_id = k.doc_id AND x.state = k.state WHERE k.rn <= 6 GROUP BY x.doc_id, x.dim"""
+
+
+BASES = {"paras": paras, "sents": sents, "density": density, "kinds": kinds, "drift": drift, "rhythms": rhythms, "statuses": statuses, "runs": runs, "guide": guide, "sent_density": sent_density}
+
+QUERIES = {
+    "paragraphs": lambda d: "SELECT doc_id, i, p FROM paras",
+    "sentences": lambda d: "SELECT doc_id, i, j, s FROM sents",
+    "rhythm": lambda d: "SELECT * FROM rhythms",
+    "info_density": lambda d: "SELECT doc_id, i, density, specific FROM density",
+    "ai_patterns": _ai_patterns,
+    "paragraph_classes": lambda d: "SELECT doc_id, i, is_empty, is_nugget, reasons >= 1 AS suspicious, CASE WHEN reasons >= 2 THEN 'high' WHEN reasons = 1 THEN 'medium' END AS severity FROM kinds",
+    "skip_blocks": lambda d: "SELECT doc_id, first_i, last_i, CASE WHEN fillers >= 1 THEN 'filler' WHEN transitions >= 1 THEN 'transition' WHEN density_sum = 0 THEN 'vague' ELSE 'low_density' END AS kind FROM runs WHERE state = 'skip'",
+    "reading_map": lambda d: "SELECT doc_id, i, state, caution FROM statuses",
+    "run_segments": lambda d: "SELECT doc_id, state, first_i, last_i, len, CAST(round(100.0 * len / n, 2) AS DOUBLE) AS width FROM (SELECT doc_id, state, first_i, last_i, len, CAST(n AS DOUBLE) AS n FROM runs)",
+    "top_nuggets": lambda d: "SELECT doc_id, i, density, CAST(rn AS INT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY density DESC, i) AS rn FROM kinds WHERE is_nugget) WHERE rn <= 3",
+    "tldr": _tldr,
+    "reading_advice": lambda d: "SELECT g.doc_id, CASE WHEN coalesce(s.ai, 0) >= 65 AND g.nuggets = 0 THEN 'skip' WHEN g.nuggets * 4 >= g.n AND s.overall >= 60 THEN 'read_carefully' ELSE 'skim' END AS advice, CAST(100 * g.empties / g.n AS INT) AS saved_percent FROM guide g JOIN scored s ON g.doc_id = s.doc_id",
+    "caution_pick": lambda d: "SELECT s.doc_id, CASE WHEN coalesce(s.scam, 0) >= 60 THEN 'check_claims' WHEN coalesce(s.adv, 0) >= 60 THEN 'promotion' WHEN coalesce(s.emo, 0) >= 60 THEN 'pressure' WHEN g.suspicious * 2 > g.n THEN 'thin' END AS caution FROM scored s JOIN guide g ON s.doc_id = g.doc_id",
+    "search_anchor": _anchor,
+    "position_label": lambda d: "SELECT doc_id, i, CASE WHEN n <= 1 THEN 'whole' WHEN r <= 0.12 THEN 'opening' WHEN r <= 0.35 THEN 'early' WHEN r <= 0.65 THEN 'middle' WHEN r <= 0.88 THEN 'late' ELSE 'end' END AS label, CAST(CASE WHEN n <= 1 THEN 50 ELSE round((i - 0.5) / n * 100) END AS INT) AS percent FROM (SELECT doc_id, i, n, CAST(i - 1 AS DOUBLE) / greatest(n - 1, 1) AS r FROM paras)",
+    "dimension_evidence": _evidence,
+    "guide_backfill": lambda d: "SELECT d.doc_id, g.nuggets, g.empties FROM docs d LEFT JOIN guide g ON d.doc_id = g.doc_id AND length(d.t) >= 50 AND d.doc_id % 3 = 0",
+    "paragraph_lag_jaccard": lambda d: "SELECT doc_id, i, CAST(round(distance, 6) AS DOUBLE) AS distance FROM drift WHERE distance IS NOT NULL",
+}
