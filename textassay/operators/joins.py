@@ -1 +1,74 @@
-QUERIES = {}
+"""Look-ups and joins around the score store."""
+
+from __future__ import annotations
+
+from textassay.operators.rules import overall_of
+
+# Platform domains and their weights; presets of weights.
+PLATFORMS = (("example.com", "com", 1.5), ("example.net", "net", 0.5), ("example.org", "org", 1.0))
+MODES = (("balanced", 1.0, 1.0), ("strict", 0.8, 1.6), ("lenient", 1.2, 0.6))
+
+
+def _platforms(d) -> str:
+    table = d.rows("domain, platform, adv_weight", [[d.lit(a), d.lit(b), str(w)] for a, b, w in PLATFORMS])
+    positive = {n: "50.0" for n in ("originality", "info_density", "reasoning_quality", "readability", "timeliness")}
+    negative = {n: f"coalesce(s.{n}, 0.0)" for n in ("ai", "emo", "scam")} | {"adv": "least(100.0, coalesce(s.adv, 0.0) + CASE WHEN k.platform = 'com' THEN 15.0 ELSE 0.0 END)"}
+    weights = {"originality": "1.0", "info_density": "1.0", "reasoning_quality": "1.0", "readability": "0.8", "timeliness": "0.6", "ai": "0.8", "emo": "1.0", "adv": "coalesce(k.adv_weight, 1.0)", "scam": "1.2"}
+    return f"SELECT s.doc_id, k.platform, {overall_of(positive, negative, weights)} AS overall FROM store s LEFT JOIN {table} k ON s.host = k.domain OR s.host LIKE concat('%.', k.domain)"
+
+
+def _modes(d) -> str:
+    table = d.rows("mode, good, bad", [[d.lit(m), str(g), str(b)] for m, g, b in MODES])
+    return f"SELECT s.doc_id, m.mode, CAST(round((50.0 * 4.4 * m.good + m.bad * ((100 - coalesce(s.ai, 0)) * 0.8 + (100 - coalesce(s.emo, 0)) + (100 - coalesce(s.adv, 0)) + (100 - coalesce(s.scam, 0)) * 1.2)) / (4.4 * m.good + 4.0 * m.bad), 3) AS DOUBLE) AS overall FROM (SELECT s.*, CASE WHEN doc_id % 3 = 0 THEN 'strict' WHEN doc_id % 3 = 1 THEN 'lenient' ELSE 'balanced' END AS wanted FROM scored s) s JOIN {table} m ON s.wanted = m.mode"
+
+
+def _cache(d) -> str:
+    age = d.days_between("DATE '2024-01-28'", "l.scored_on")
+    return f"SELECT s.doc_id, l.content_hash IS NOT NULL AS hit, l.overall AS cached FROM (SELECT doc_id, content_hash FROM store) s LEFT JOIN latest l ON s.content_hash = l.content_hash AND {age} < 7"
+
+
+def _adjust(d) -> str:
+    black = d.rows("host", [[d.lit("ththth.example.net")], [d.lit("m.ththth.example.net")]])
+    white = d.rows("host", [[d.lit("tionsh.example.net")], [d.lit("ththre.example.com")]])
+    delta = "CASE WHEN b.host IS NOT NULL THEN -30 WHEN a.host IS NOT NULL THEN -20 WHEN w.host IS NOT NULL THEN 5 ELSE 0 END"
+    return f"""
+SELECT s.doc_id, {delta} AS delta, CAST(greatest(0.0, least(100.0, s.overall + {delta})) AS DOUBLE) AS adjusted, CASE WHEN b.host IS NOT NULL THEN 'blacklist' WHEN a.host IS NOT NULL THEN 'auto_blacklist' WHEN w.host IS NOT NULL THEN 'whitelist' END AS reason
+FROM store s LEFT JOIN {black} b ON s.host = b.host LEFT JOIN (SELECT host FROM sites WHERE n >= 2 AND mean_score <= 70) a ON s.host = a.host LEFT JOIN {white} w ON s.host = w.host"""
+
+
+def weights(d) -> str:
+    """Learned weight deltas: users with a row override the default of each dimension."""
+    return "SELECT user_id % 7 AS uid, CAST(round(greatest(-1.0, least(1.0, avg(value) / 100 - 0.5)), 3) AS DOUBLE) AS adv_delta FROM events WHERE user_id % 7 < 5 GROUP BY user_id % 7"
+
+
+def _user_weights(d) -> str:
+    return "SELECT s.doc_id, s.user_id, CAST(round((220.0 + (100 - coalesce(s.ai, 0)) * 0.8 + (100 - coalesce(s.emo, 0)) + (100 - coalesce(s.adv, 0)) * (1.0 + coalesce(w.adv_delta, 0.0)) + (100 - coalesce(s.scam, 0)) * 1.2) / (8.4 + coalesce(w.adv_delta, 0.0)), 3) AS DOUBLE) AS overall FROM store s LEFT JOIN weights w ON s.user_id = w.uid"
+
+
+def replies(d) -> str:
+    """Judge replies as they come: fenced, bare, broken; made from the documents' scores."""
+    body = "concat('{\"scam\": ', CAST(CAST(worst * 1.5 AS INT) AS STRING), ', \"conf\": 0.', CAST(doc_id % 10 AS STRING), ', \"note\": \"n', CAST(doc_id AS STRING), '\"}')"
+    return f"SELECT doc_id, overall, scam, scam_conf, worst, CASE WHEN doc_id % 5 = 0 THEN concat('```json\n', {body}, '\n```') WHEN doc_id % 5 = 1 THEN 'no json here' WHEN doc_id % 5 = 2 THEN concat('Sure: ', {body}, ' done') ELSE {body} END AS reply FROM scored"
+
+
+def parsed(d) -> str:
+    score, conf = d.to_double(d.json("j", "scam")), d.to_double(d.json("j", "conf"))
+    return f"SELECT doc_id, overall, scam, scam_conf, j IS NOT NULL AS ok, CASE WHEN j IS NULL THEN 50.0 ELSE greatest(0.0, least(100.0, coalesce({score}, 50.0))) END AS judge_scam, CASE WHEN j IS NULL THEN 0.1 ELSE greatest(0.0, least(1.0, coalesce({conf}, 0.1))) END AS judge_conf FROM (SELECT *, {d.rxone('reply', '([{][^{}]*[}])')} AS j FROM replies)"
+
+
+BASES = {"weights": weights, "replies": replies, "parsed": parsed}
+
+QUERIES = {
+    "cache_lookup": _cache,
+    "new_items": lambda d: "SELECT p.page_id, p.url FROM pages p LEFT ANTI JOIN (SELECT url FROM pages WHERE page_id % 3 = 0) s ON p.url = s.url" if d.name == "spark" else "SELECT p.page_id, p.url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM (SELECT url FROM pages WHERE page_id % 3 = 0) s WHERE s.url = p.url)",
+    "source_reputation": lambda d: "SELECT s.doc_id, s.host, r.mean_score, r.n FROM store s LEFT JOIN sites r ON s.host = r.host",
+    "source_adjust": _adjust,
+    "platform_weights": _platforms,
+    "scoring_mode": _modes,
+    "profile_threshold": lambda d: "SELECT uid, CAST(greatest(20, 40 + CAST(adv_delta * 5 AS INT)) AS INT) AS threshold FROM weights",
+    "user_weights": _user_weights,
+    "judge_parse": lambda d: "SELECT doc_id, ok, CAST(judge_scam AS DOUBLE) AS judge_scam, CAST(judge_conf AS DOUBLE) AS judge_conf FROM parsed",
+    "judge_validate": lambda d: "SELECT doc_id, CAST(CASE WHEN judge_scam >= 100 OR judge_scam <= 0 THEN 50.0 ELSE judge_scam END AS DOUBLE) AS scam, CAST(CASE WHEN judge_scam >= 100 OR judge_scam <= 0 THEN 0.1 ELSE judge_conf END AS DOUBLE) AS conf FROM parsed",
+    "judge_merge": lambda d: "SELECT doc_id, CAST(CASE WHEN scam_conf >= 0.9 THEN scam WHEN judge_conf < 0.3 AND ok THEN (judge_scam + 50.0) / 2 ELSE judge_scam END AS DOUBLE) AS scam, CASE WHEN scam_conf >= 0.9 THEN 'rules' WHEN judge_conf < 0.3 AND ok THEN 'fallback' ELSE 'judge' END AS scam_source FROM parsed",
+    "compare_pair": lambda d: "SELECT a.doc_id AS left_id, b.doc_id AS right_id, a.overall - b.overall AS overall_delta, coalesce(a.scam, 0.0) - coalesce(b.scam, 0.0) AS scam_delta, coalesce(a.adv, 0.0) - coalesce(b.adv, 0.0) AS adv_delta FROM scored a JOIN scored b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0",
+}

@@ -1 +1,114 @@
-QUERIES = {}
+"""Evaluation against labels, calibration, rule mining and weight learning."""
+
+from __future__ import annotations
+
+from textassay.operators.rules import total
+
+# Keywords of the candidate rule set.
+CANDIDATE = ("***", "&&&", "worthless")
+MIN_COUNT = 3
+
+
+def judged(d) -> str:
+    """Scores with labels: y, prediction scales, texts."""
+    any_high = " OR ".join(f"coalesce({x} >= 60 AND {x}_conf >= 0.7, FALSE)" for x in ("scam", "emo", "adv", "ai"))
+    border = " OR ".join(f"coalesce({x} >= 50 AND {x} < 70, FALSE)" for x in ("scam", "emo", "adv"))
+    return f"""
+SELECT s.doc_id, s.lang, s.source, s.t, s.overall, s.worst, f.quality, f.toxic, f.verdict, ({any_high}) AS junk,
+  CASE WHEN s.reason LIKE 'high%' AND s.worst >= 70 THEN 'junk' WHEN {border} THEN 'borderline' WHEN s.worst >= 70 THEN 'junk' ELSE 'quality' END AS pred3,
+  CASE WHEN f.quality = 0 THEN 'junk' WHEN f.toxic = 1 THEN 'borderline' ELSE 'quality' END AS true3,
+  CASE WHEN s.overall < 40 THEN 'junk' WHEN s.overall <= 70 THEN 'ok' ELSE 'excellent' END AS scale,
+  least(100.0, s.worst + 20.0 * {total([d.contains('s.t', w) for w in CANDIDATE])}) AS worst_b, s.scam, s.emo, s.adv, s.ai FROM scored s JOIN feedback f ON s.doc_id = f.doc_id"""
+
+
+def grams(d) -> str:
+    """Distinct word 1- and 2-grams of each judged document."""
+    words = d.rxall("t", "[^ \\t\\n\\r\\f]+")
+    pairs = d.each(d.seq("1", f"{d.size('w')} - 1"), "k", f"concat({d.at('w', 'k')}, ' ', {d.at('w', 'k + 1')})")
+    both = f"concat(w, {pairs})" if d.name == "spark" else f"list_concat(w, {pairs})"
+    return f"SELECT doc_id, x AS gram FROM {d.explode('doc_id', d.distinct(both), f'(SELECT doc_id, {words} AS w FROM judged)')}"
+
+
+def missed(d) -> str:
+    """Junk by the user's word that the score let pass."""
+    return "SELECT doc_id FROM judged WHERE verdict = 'junk' AND scale <> 'junk'"
+
+
+def terms(d) -> str:
+    """TF-IDF of grams of missed documents: share of missed documents times log of inverse document frequency."""
+    return f"""
+SELECT gram, fn_df, df, CAST(round(CAST(fn_df AS DOUBLE) / nf * ln(CAST(n AS DOUBLE) / df), 9) AS DOUBLE) AS tfidf
+FROM (SELECT gram, count(*) AS df, count(CASE WHEN m.doc_id IS NOT NULL THEN 1 END) AS fn_df FROM grams g LEFT JOIN missed m ON g.doc_id = m.doc_id GROUP BY gram) a
+CROSS JOIN (SELECT count(*) AS n FROM judged) b CROSS JOIN (SELECT greatest(count(*), 1) AS nf FROM missed) c WHERE fn_df >= {MIN_COUNT}"""
+
+
+def top_terms(d) -> str:
+    return "SELECT gram, fn_df, df, tfidf, row_number() OVER (ORDER BY tfidf DESC, gram) AS rn FROM (SELECT * FROM terms ORDER BY tfidf DESC, gram LIMIT 30)"
+
+
+def deltas(d) -> str:
+    wrong = "(quality = 0 AND overall > 60 OR quality = 1 AND overall < 40)"
+    parts = [f"SELECT doc_id, '{x}' AS dim, CASE WHEN overall > 60 AND coalesce({x}, 0) < 50 THEN -0.05 WHEN overall < 40 AND coalesce({x}, 0) > 50 THEN 0.05 END AS delta FROM judged WHERE {wrong}" for x in ("ai", "emo", "adv", "scam")]
+    return "SELECT doc_id, dim, CAST(delta AS DOUBLE) AS delta FROM (" + " UNION ALL ".join(parts) + ") WHERE delta IS NOT NULL"
+
+
+BASES = {"judged": judged, "grams": grams, "missed": missed, "terms": terms, "top_terms": top_terms, "deltas": deltas}
+
+
+def _rates(tp: str, fp: str, fn: str) -> str:
+    p = f"CASE WHEN {tp} + {fp} = 0 THEN 0.0 ELSE CAST({tp} AS DOUBLE) / ({tp} + {fp}) END"
+    r = f"CASE WHEN {tp} + {fn} = 0 THEN 0.0 ELSE CAST({tp} AS DOUBLE) / ({tp} + {fn}) END"
+    return f"{p} AS precision_, {r} AS recall_, CASE WHEN 2 * {tp} + {fp} + {fn} = 0 THEN 0.0 ELSE 2.0 * {tp} / (2 * {tp} + {fp} + {fn}) END AS f1"
+
+
+def _binary(d) -> str:
+    return f"SELECT tp, fp, tn, fn, {_rates('tp', 'fp', 'fn')}, CASE WHEN tp + fp + tn + fn = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn) END AS accuracy FROM (SELECT count(CASE WHEN junk AND quality = 0 THEN 1 END) AS tp, count(CASE WHEN junk AND quality = 1 THEN 1 END) AS fp, count(CASE WHEN NOT junk AND quality = 1 THEN 1 END) AS tn, count(CASE WHEN NOT junk AND quality = 0 THEN 1 END) AS fn FROM judged)"
+
+
+def _three(d) -> str:
+    classes = d.rows("class", [["'junk'"], ["'borderline'"], ["'quality'"]])
+    return f"SELECT class, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, {_rates('tp', 'fp', 'fn')} FROM (SELECT k.class, sum(CASE WHEN c.t3 = k.class AND c.p3 = k.class THEN c.n ELSE 0 END) AS tp, sum(CASE WHEN c.t3 <> k.class AND c.p3 = k.class THEN c.n ELSE 0 END) AS fp, sum(CASE WHEN c.t3 = k.class AND c.p3 <> k.class THEN c.n ELSE 0 END) AS fn FROM (SELECT true3 AS t3, pred3 AS p3, count(*) AS n FROM judged GROUP BY true3, pred3) c CROSS JOIN {classes} k GROUP BY k.class)"
+
+
+def _accumulate(d) -> str:
+    """Sum of deltas clamped to [-1, 1] after every step.
+
+    A clamped addition is x -> least(hi, greatest(lo, x + a)); these compose, so each day is
+    folded by itself and a user's days are folded after.
+    """
+    step = "SELECT user_id, event_type AS dim, ts, event_id, (CAST(event_id % 7 AS DOUBLE) - 3) * 0.3 AS delta FROM events"
+    if d.name != "spark":
+        return f"SELECT user_id, dim, CAST(round(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(delta ORDER BY ts, event_id)), lambda x, y: greatest(-1.0, least(1.0, x + y))), 6) AS DOUBLE) AS weight, count(*) AS n FROM ({step}) GROUP BY user_id, dim"
+    then = "named_struct('a', f.a + g.a, 'lo', least(g.hi, greatest(g.lo, f.lo + g.a)), 'hi', least(g.hi, greatest(g.lo, f.hi + g.a)))"
+    start = "named_struct('a', 0.0D, 'lo', -1e9D, 'hi', 1e9D)"
+    own = "named_struct('a', delta, 'lo', -1.0D, 'hi', 1.0D)"
+    day = f"SELECT user_id, dim, CAST(ts AS DATE) AS day, count(*) AS n, aggregate(transform(array_sort(collect_list(named_struct('ts', ts, 'id', event_id, 'f', {own}))), x -> x.f), {start}, (f, g) -> {then}) AS f FROM ({step}) GROUP BY user_id, dim, CAST(ts AS DATE)"
+    return f"SELECT user_id, dim, round(least(f.hi, greatest(f.lo, f.a)), 6) AS weight, n FROM (SELECT user_id, dim, sum(n) AS n, aggregate(transform(array_sort(collect_list(named_struct('day', day, 'f', f))), x -> x.f), {start}, (f, g) -> {then}) AS f FROM ({day}) GROUP BY user_id, dim)"
+
+
+def _distinctive(d, target: str) -> str:
+    return f"SELECT gram, n FROM (SELECT g.gram, count(*) AS n FROM grams g JOIN (SELECT doc_id FROM judged WHERE {target}) m ON g.doc_id = m.doc_id LEFT JOIN (SELECT DISTINCT g.gram FROM grams g JOIN (SELECT doc_id FROM judged WHERE verdict = scale AND verdict <> 'junk') b ON g.doc_id = b.doc_id) x ON g.gram = x.gram WHERE x.gram IS NULL GROUP BY g.gram) WHERE n >= 2 ORDER BY n DESC, gram LIMIT 10"
+
+
+QUERIES = {
+    "calibration_stats": lambda d: "SELECT total, CASE WHEN total = 0 THEN 0.0 ELSE 100.0 * agreed / total END AS agreement, fp, fn FROM (SELECT CAST(count(*) AS DOUBLE) AS total, count(CASE WHEN scale = verdict THEN 1 END) AS agreed, count(CASE WHEN scale = 'junk' AND verdict <> 'junk' THEN 1 END) AS fp, count(CASE WHEN scale <> 'junk' AND verdict = 'junk' THEN 1 END) AS fn FROM judged)",
+    "confusion_binary": _binary,
+    "category_recall": lambda d: "SELECT lang, count(*) AS n, CAST(count(CASE WHEN junk THEN 1 END) AS DOUBLE) / count(*) AS recall_ FROM judged WHERE quality = 0 GROUP BY lang",
+    "category_fpr": lambda d: "SELECT lang, count(*) AS n, CAST(count(CASE WHEN junk THEN 1 END) AS DOUBLE) / count(*) AS fpr FROM judged WHERE quality = 1 GROUP BY lang",
+    "confusion_3class": _three,
+    "rules_ab_join": lambda d: "SELECT doc_id, quality, CASE WHEN worst >= 70 THEN 'junk' WHEN worst >= 40 THEN 'suspicious' ELSE 'quality' END AS pred_a, CASE WHEN worst_b >= 70 THEN 'junk' WHEN worst_b >= 40 THEN 'suspicious' ELSE 'quality' END AS pred_b FROM judged",
+    "rules_ab_test": lambda d: "SELECT tp_a, tp_b, tp_b - tp_a AS tp_delta, fp_a, fp_b, fp_b - fp_a AS fp_delta, CASE WHEN junk = 0 THEN 0.0 ELSE CAST(tp_a AS DOUBLE) / junk END AS recall_a, CASE WHEN junk = 0 THEN 0.0 ELSE CAST(tp_b AS DOUBLE) / junk END AS recall_b FROM (SELECT count(CASE WHEN quality = 0 AND worst >= 70 THEN 1 END) AS tp_a, count(CASE WHEN quality = 0 AND worst_b >= 70 THEN 1 END) AS tp_b, count(CASE WHEN quality = 1 AND worst >= 70 THEN 1 END) AS fp_a, count(CASE WHEN quality = 1 AND worst_b >= 70 THEN 1 END) AS fp_b, count(CASE WHEN quality = 0 THEN 1 END) AS junk FROM judged)",
+    "ngram_df": lambda d: "SELECT gram, count(*) AS df FROM grams GROUP BY gram HAVING count(*) >= 5",
+    "suggest_keywords": lambda d: _distinctive(d, "verdict = 'junk' AND scale <> 'junk'"),
+    "suggest_removals": lambda d: _distinctive(d, "verdict <> 'junk' AND scale = 'junk'"),
+    "distinctive_anti": lambda d: "SELECT gram, fn_df FROM terms WHERE fn_df = df",
+    "mine_rules_tfidf": lambda d: "SELECT gram, fn_df, df, tfidf FROM top_terms",
+    "term_cooccurrence": lambda d: f"SELECT a.gram AS term1, b.gram AS term2, count(*) AS n FROM hits_top a JOIN hits_top b ON a.doc_id = b.doc_id AND a.gram < b.gram GROUP BY a.gram, b.gram HAVING count(*) >= {MIN_COUNT}",
+    "feedback_deltas": lambda d: "SELECT doc_id, dim, delta FROM deltas",
+    "weight_accumulate": _accumulate,
+    "consistent_median": lambda d: f"SELECT user_id, CAST({d.percentile('value', 0.5)} AS DOUBLE) AS median FROM events GROUP BY user_id",
+    "explanation_similarity": lambda d: f"SELECT doc_id, CAST(round(CASE WHEN n = 0 THEN 0.0 ELSE CAST(k AS DOUBLE) / n END, 4) AS DOUBLE) AS similarity FROM (SELECT doc_id, {d.size(d.intersect('a', 'b'))} AS k, {d.size(d.union('a', 'b'))} AS n FROM (SELECT doc_id, {d.distinct(d.each(d.seq('1', 'length(x) - 1'), 'k', 'substring(x, k, 2)'))} AS a, {d.distinct(d.each(d.seq('1', 'length(y) - 1'), 'k', 'substring(y, k, 2)'))} AS b FROM (SELECT doc_id, concat(matched, ' ', lang) AS x, concat(source, ' emotional_excessive_punctuation en') AS y FROM scored)))",
+    "vocab_intersect": lambda d: "SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 0 INTERSECT SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 1",
+    "vocab_except": lambda d: "SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 0 EXCEPT SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 1",
+}
+BASES["hits_top"] = lambda d: "SELECT g.doc_id, g.gram FROM grams g JOIN top_terms t ON g.gram = t.gram JOIN missed m ON g.doc_id = m.doc_id"

@@ -121,10 +121,10 @@ QUERIES = {
     "run_segments": lambda d: "SELECT doc_id, state, first_i, last_i, len, CAST(round(100.0 * len / n, 2) AS DOUBLE) AS width FROM (SELECT doc_id, state, first_i, last_i, len, CAST(n AS DOUBLE) AS n FROM runs)",
     "top_nuggets": lambda d: "SELECT doc_id, i, density, CAST(rn AS INT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY density DESC, i) AS rn FROM kinds WHERE is_nugget) WHERE rn <= 3",
     "tldr": _tldr,
-    "reading_advice": lambda d: "SELECT g.doc_id, CASE WHEN coalesce(s.ai, 0) >= 65 AND g.nuggets = 0 THEN 'skip' WHEN g.nuggets * 4 >= g.n AND s.overall >= 60 THEN 'read_carefully' ELSE 'skim' END AS advice, CAST(100 * g.empties / g.n AS INT) AS saved_percent FROM guide g JOIN scored s ON g.doc_id = s.doc_id",
+    "reading_advice": lambda d: "SELECT g.doc_id, CASE WHEN coalesce(s.ai, 0) >= 65 AND g.nuggets = 0 THEN 'skip' WHEN g.nuggets * 4 >= g.n AND s.overall >= 60 THEN 'read_carefully' ELSE 'skim' END AS advice, CAST(floor(100.0 * g.empties / g.n) AS INT) AS saved_percent FROM guide g JOIN scored s ON g.doc_id = s.doc_id",
     "caution_pick": lambda d: "SELECT s.doc_id, CASE WHEN coalesce(s.scam, 0) >= 60 THEN 'check_claims' WHEN coalesce(s.adv, 0) >= 60 THEN 'promotion' WHEN coalesce(s.emo, 0) >= 60 THEN 'pressure' WHEN g.suspicious * 2 > g.n THEN 'thin' END AS caution FROM scored s JOIN guide g ON s.doc_id = g.doc_id",
     "search_anchor": _anchor,
-    "position_label": lambda d: "SELECT doc_id, i, CASE WHEN n <= 1 THEN 'whole' WHEN r <= 0.12 THEN 'opening' WHEN r <= 0.35 THEN 'early' WHEN r <= 0.65 THEN 'middle' WHEN r <= 0.88 THEN 'late' ELSE 'end' END AS label, CAST(CASE WHEN n <= 1 THEN 50 ELSE round((i - 0.5) / n * 100) END AS INT) AS percent FROM (SELECT doc_id, i, n, CAST(i - 1 AS DOUBLE) / greatest(n - 1, 1) AS r FROM paras)",
+    "position_label": lambda d: "SELECT doc_id, i, CASE WHEN n <= 1 THEN 'whole' WHEN r <= 0.12 THEN 'opening' WHEN r <= 0.35 THEN 'early' WHEN r <= 0.65 THEN 'middle' WHEN r <= 0.88 THEN 'late' ELSE 'end' END AS label, CAST(CASE WHEN n <= 1 THEN 50 ELSE floor(100.0 * (2 * i - 1) / (2 * n) + 0.5) END AS INT) AS percent FROM (SELECT doc_id, i, n, CAST(i - 1 AS DOUBLE) / greatest(n - 1, 1) AS r FROM paras)",
     "dimension_evidence": _evidence,
     "guide_backfill": lambda d: "SELECT d.doc_id, g.nuggets, g.empties FROM docs d LEFT JOIN guide g ON d.doc_id = g.doc_id AND length(d.t) >= 50 AND d.doc_id % 3 = 0",
     "paragraph_lag_jaccard": lambda d: "SELECT doc_id, i, CAST(round(distance, 6) AS DOUBLE) AS distance FROM drift WHERE distance IS NOT NULL",

@@ -70,35 +70,40 @@ FROM (SELECT *, 1000.0 * bangs / greatest(length(t), 1) > 5 AS punct, diversity
 
 
 def merged(d, pack: Pack = LATIN) -> str:
-    """Scores add up (at most 100) and confidences rise from step to step; then the citing cap."""
-    step = "base_rules"
-    score = {"scam": "scam_1", "emo": "emo_1", "adv": "adv_1", "ai": "ai"}
-    conf = {"scam": "scam_c1", "emo": "emo_c1", "adv": "adv_c1", "ai": "ai_conf"}
-    names = ["CASE WHEN scam_1 IS NOT NULL THEN 'scam_keywords' END", "emo_rule", "CASE WHEN adv_1 IS NOT NULL THEN 'advertorial_promo' END", "CASE WHEN ai IS NOT NULL THEN 'ai_generated_signals' END", "CASE WHEN cred IS NOT NULL THEN 'credibility_unverifiable' END"]
-    steps = [("scam", "cred IS NOT NULL", "cred", "greatest(coalesce({c}, 0.0), cred_c)")]
-    for k, (name, _, dim, boost) in enumerate(pack.combos):
-        steps.append((dim, f"combo_{k}", f"{boost}", "least(coalesce({c}, 0.0) + 0.1, 1.0)"))
-        names.append(f"CASE WHEN combo_{k} THEN '{name}' END")
-    for k, (name, _) in enumerate(pack.platforms):
-        steps.append(("adv", f"platform_{k} >= 2", "15.0", "greatest(coalesce({c}, 0.0), 0.7)"))
-        names.append(f"CASE WHEN platform_{k} >= 2 THEN 'platform_{name}_patterns' END")
-    for k, r in enumerate(pack.custom):
-        steps.append((r.dimension, f"custom_{k} >= {r.min_hits}", f"{r.contribution}", f"greatest(coalesce({{c}}, 0.0), {r.confidence})"))
-        names.append(f"CASE WHEN custom_{k} >= {r.min_hits} THEN '{r.name}' END")
-    for n, (dim, when, add, raise_) in enumerate(steps):
-        step = f"(SELECT *, CASE WHEN {when} THEN least(coalesce({score[dim]}, 0.0) + {add}, 100.0) ELSE {score[dim]} END AS s{n}, CASE WHEN {when} THEN {raise_.format(c=conf[dim])} ELSE {conf[dim]} END AS c{n} FROM {step})"
-        score[dim], conf[dim] = f"s{n}", f"c{n}"
-    names.append("CASE WHEN capped THEN 'scam_educational_context_cap' END")
-    step = f"(SELECT *, cited AND {score['scam']} IS NOT NULL AS capped FROM {step})"
-    out = [
-        f"CAST(CASE WHEN capped THEN least({score['scam']}, 35.0) ELSE {score['scam']} END AS DOUBLE) AS scam",
-        f"CAST(CASE WHEN capped THEN least({conf['scam']}, 0.75) ELSE {conf['scam']} END AS DOUBLE) AS scam_conf",
-        f"CAST({score['emo']} AS DOUBLE) AS emo, CAST({conf['emo']} AS DOUBLE) AS emo_conf, CAST({score['adv']} AS DOUBLE) AS adv, CAST({conf['adv']} AS DOUBLE) AS adv_conf",
-        "CAST(ai AS DOUBLE) AS ai, CAST(ai_conf AS DOUBLE) AS ai_conf",
-        f"concat_ws('|', {', '.join(names)}) AS matched",
-        total([f"({n}) IS NOT NULL" for n in names if "combo_" not in n]) + " AS plain_n",
-    ]
-    return f"SELECT doc_id, lang, source, t, {', '.join(out)} FROM {step}"
+    """All steps for each dimension in one expression, then the citing cap.
+
+    Contributions are never negative, so capping at 100 after each step is capping their
+    sum.  Expressions stay flat: nested steps would double in size when a filter on a
+    score is pushed below them.
+    """
+    name = lambda when, n: f"CASE WHEN {when} THEN '{n}' END"
+    combos = [(dim, f"combo_{k}", boost, n) for k, (n, _, dim, boost) in enumerate(pack.combos)]
+    later = [("adv", f"platform_{k} >= 2", 15.0, 0.7, f"platform_{n}_patterns") for k, (n, _) in enumerate(pack.platforms)]
+    later += [(r.dimension, f"custom_{k} >= {r.min_hits}", r.contribution, r.confidence, r.name) for k, r in enumerate(pack.custom)]
+    base = {"scam": ("scam_1", "scam_c1"), "emo": ("emo_1", "emo_c1"), "adv": ("adv_1", "adv_c1"), "ai": ("ai", "ai_conf")}
+    out = []
+    for dim, (score, conf) in base.items():
+        fired = [f"{score} IS NOT NULL"] + ["cred IS NOT NULL"] * (dim == "scam")
+        added = [f"coalesce({score}, 0.0)"] + ["coalesce(cred, 0.0)"] * (dim == "scam")
+        sure = f"greatest(coalesce({conf}, 0.0), coalesce(cred_c, 0.0))" if dim == "scam" else f"coalesce({conf}, 0.0)"
+        if own := [c for c in combos if c[0] == dim]:
+            sure = f"least({sure} + 0.1 * {total([c[1] for c in own])}, 1.0)"
+        steps = [(c[1], c[2]) for c in own] + [(x[1], x[2]) for x in later if x[0] == dim]
+        fired += [when for when, _ in steps]
+        added += [f"CASE WHEN {when} THEN {add} ELSE 0.0 END" for when, add in steps]
+        floors = [f"CASE WHEN {x[1]} THEN {x[3]} ELSE 0.0 END" for x in later if x[0] == dim]
+        sure = f"greatest({', '.join([sure, *floors])})" if floors else sure
+        any_ = " OR ".join(fired)
+        cap = "cited AND " if dim == "scam" else "FALSE AND "
+        out.append(f"CAST(CASE WHEN {any_} THEN least({' + '.join(added)}, CASE WHEN {cap}TRUE THEN 35.0 ELSE 100.0 END) END AS DOUBLE) AS {dim}_x")
+        out.append(f"CAST(CASE WHEN {any_} THEN least({sure}, CASE WHEN {cap}TRUE THEN 0.75 ELSE 1.0 END) END AS DOUBLE) AS {dim}_cx")
+        if dim == "scam":
+            capped = f"cited AND ({any_})"
+    names = [name("scam_1 IS NOT NULL", "scam_keywords"), "emo_rule", name("adv_1 IS NOT NULL", "advertorial_promo"), name("ai IS NOT NULL", "ai_generated_signals"), name("cred IS NOT NULL", "credibility_unverifiable")]
+    names += [name(c[1], c[3]) for c in combos] + [name(x[1], x[4]) for x in later] + [name(capped, "scam_educational_context_cap")]
+    out += [f"concat_ws('|', {', '.join(names)}) AS matched", total([f"({n}) IS NOT NULL" for n in names if "combo_" not in n]) + " AS plain_n"]
+    final = ", ".join(f"{x}_x AS {x}, {x}_cx AS {x}_conf" for x in base)
+    return f"SELECT doc_id, lang, source, t, {final}, matched, plain_n FROM (SELECT doc_id, lang, source, t, {', '.join(out)} FROM base_rules)"
 
 
 def overall_of(positive: dict[str, str], negative: dict[str, str], weights: dict[str, str] | None = None) -> str:

@@ -9,8 +9,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from textassay.functions.dialect import DUCK, SPARK
+from textassay.sources.shared import kept
 
-MODULES = ("rules", "features", "paragraphs", "store", "joins", "learn")
+MODULES = ("rules", "features", "paragraphs", "store", "joins", "learn", "simhash")
+#: Steps that Spark writes out once and reads back: many queries filter on their columns,
+#: and a filter pushed below them would repeat their large expressions.
+STORED = ("scored", "fp")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -27,12 +31,13 @@ def _registry() -> tuple[dict, dict]:
 def sql(name: str, dialect) -> str:
     """WITH chain of the steps that a query needs, in order of their dependence."""
     bases, queries = _registry()
-    body = queries[name](dialect)
+    top = name if name in STORED else None
+    body = bases[name](dialect) if top else queries[name](dialect)
     chain: list[str] = []
 
     def need(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_][a-z_0-9]*", text)):
-            if word in bases and word not in done and re.search(rf"\b(?:FROM|JOIN)\s+{word}\b|,\s*{word}\s+(?:AS\s+)?[a-z]\b", text):
+            if word in bases and word not in done and not (word in STORED and word != top and dialect is SPARK) and re.search(rf"\b(?:FROM|JOIN)\s+{word}\b|,\s*{word}\s+(?:AS\s+)?[a-z]\b", text):
                 done.add(word)
                 step = bases[word](dialect)
                 need(step)
@@ -43,14 +48,31 @@ def sql(name: str, dialect) -> str:
     return (("WITH " + ",\n".join(chain) + "\n") if chain else "") + body
 
 
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = sql(name, SPARK)
+def run_text(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     for table in TABLES:
         if re.search(rf"\b{table}\b", text):
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    for name in STORED:
+        if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+            kept(spark, sf_dir, name, lambda name=name: MAKERS[name](spark, sf_dir)).createOrReplaceTempView(name)
     return spark.sql(text)
 
 
+def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_text(sql(name, SPARK), spark, sf_dir)
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textassay.operators.simhash import fingerprints
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return fingerprints(docs.selectExpr("doc_id", "'document' AS kind", "text").unionByName(items.selectExpr("item_id AS doc_id", "'item' AS kind", "text")))
+
+
+MAKERS = {"scored": functools.partial(run, "scored"), "fp": _fingerprints}
+
+
 def sql_queries() -> dict:
     return {name: functools.partial(run, name) for name in _registry()[1]}
 
