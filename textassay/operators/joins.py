@@ -47,7 +47,7 @@ def _user_weights(d) -> str:
 
 def replies(d) -> str:
     """Judge replies as they come: fenced, bare, broken; made from the documents' scores."""
-    body = "concat('{\"scam\": ', CAST(CAST(worst * 1.5 AS INT) AS STRING), ', \"conf\": 0.', CAST(doc_id % 10 AS STRING), ', \"note\": \"n', CAST(doc_id AS STRING), '\"}')"
+    body = "concat('{\"scam\": ', CAST(CAST(floor(worst * 1.5) AS INT) AS STRING), ', \"conf\": 0.', CAST(doc_id % 10 AS STRING), ', \"note\": \"n', CAST(doc_id AS STRING), '\"}')"
     return f"SELECT doc_id, overall, scam, scam_conf, worst, CASE WHEN doc_id % 5 = 0 THEN concat('```json\n', {body}, '\n```') WHEN doc_id % 5 = 1 THEN 'no json here' WHEN doc_id % 5 = 2 THEN concat('Sure: ', {body}, ' done') ELSE {body} END AS reply FROM scored"
 
 

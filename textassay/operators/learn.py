@@ -58,7 +58,7 @@ BASES = {"judged": judged, "grams": grams, "missed": missed, "terms": terms, "to
 def _rates(tp: str, fp: str, fn: str) -> str:
     p = f"CASE WHEN {tp} + {fp} = 0 THEN 0.0 ELSE CAST({tp} AS DOUBLE) / ({tp} + {fp}) END"
     r = f"CASE WHEN {tp} + {fn} = 0 THEN 0.0 ELSE CAST({tp} AS DOUBLE) / ({tp} + {fn}) END"
-    return f"{p} AS precision_, {r} AS recall_, CASE WHEN 2 * {tp} + {fp} + {fn} = 0 THEN 0.0 ELSE 2.0 * {tp} / (2 * {tp} + {fp} + {fn}) END AS f1"
+    return f"{p} AS precision_, {r} AS recall_, CASE WHEN 2 * {tp} + {fp} + {fn} = 0 THEN 0.0 ELSE CAST(2 * {tp} AS DOUBLE) / (2 * {tp} + {fp} + {fn}) END AS f1"
 
 
 def _binary(d) -> str:
@@ -106,6 +106,8 @@ QUERIES = {
     "term_cooccurrence": lambda d: f"SELECT a.gram AS term1, b.gram AS term2, count(*) AS n FROM hits_top a JOIN hits_top b ON a.doc_id = b.doc_id AND a.gram < b.gram GROUP BY a.gram, b.gram HAVING count(*) >= {MIN_COUNT}",
     "feedback_deltas": lambda d: "SELECT doc_id, dim, delta FROM deltas",
     "weight_accumulate": _accumulate,
+    # the last event that moved the sensitivity decides
+    "client_calibration": lambda d: f"SELECT user_id, {d.max_by('step', 'moved')} AS adjustment FROM (SELECT user_id, CASE WHEN event_type = 'error' AND k > 5 THEN 5 WHEN event_type = 'signup' AND k > 3 THEN -5 END AS step, CASE WHEN event_type = 'error' AND k > 5 OR event_type = 'signup' AND k > 3 THEN n END AS moved FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)) WHERE moved IS NOT NULL GROUP BY user_id",
     "consistent_median": lambda d: f"SELECT user_id, CAST({d.percentile('value', 0.5)} AS DOUBLE) AS median FROM events GROUP BY user_id",
     "explanation_similarity": lambda d: f"SELECT doc_id, CAST(round(CASE WHEN n = 0 THEN 0.0 ELSE CAST(k AS DOUBLE) / n END, 4) AS DOUBLE) AS similarity FROM (SELECT doc_id, {d.size(d.intersect('a', 'b'))} AS k, {d.size(d.union('a', 'b'))} AS n FROM (SELECT doc_id, {d.distinct(d.each(d.seq('1', 'length(x) - 1'), 'k', 'substring(x, k, 2)'))} AS a, {d.distinct(d.each(d.seq('1', 'length(y) - 1'), 'k', 'substring(y, k, 2)'))} AS b FROM (SELECT doc_id, concat(matched, ' ', lang) AS x, concat(source, ' emotional_excessive_punctuation en') AS y FROM scored)))",
     "vocab_intersect": lambda d: "SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 0 INTERSECT SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 1",

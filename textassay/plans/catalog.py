@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textassay.functions.dialect import DUCK, SPARK
 from textassay.sources.shared import kept
 
-MODULES = ("rules", "features", "paragraphs", "store", "joins", "learn", "simhash")
+MODULES = ("rules", "features", "paragraphs", "store", "joins", "learn", "simhash", "pages")
 #: Steps that Spark writes out once and reads back: many queries filter on their columns,
 #: and a filter pushed below them would repeat their large expressions.
 STORED = ("scored", "fp")
@@ -48,6 +48,10 @@ def sql(name: str, dialect) -> str:
     return (("WITH " + ",\n".join(chain) + "\n") if chain else "") + body
 
 
+def step(name: str, dialect) -> str:
+    return _registry()[0][name](dialect)
+
+
 def run_text(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     for table in TABLES:
         if re.search(rf"\b{table}\b", text):

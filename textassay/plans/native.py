@@ -1 +1,163 @@
-QUERIES, ORACLES = {}, {}
+"""Queries that are DataFrame programs rather than one SQL text, with their oracles where SQL has one."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textassay.functions.dialect import SPARK
+from textassay.operators import pages
+from textassay.plans import catalog
+from textassay.sources.shared import kept
+from textassay.streaming import jobs
+
+QUERY_BLOCK = 2048
+NEIGHBOURS = 5
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def embedding_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors by cosine of each vector whose id is divisible by 100, queries taken in blocks."""
+    rows = _table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    ids = rows.where("vec_id % 100 = 0").select("vec_id", "embedding")
+    blocks = -(-ids.count() // QUERY_BLOCK)
+    found = None
+    for b in range(max(1, blocks)):
+        own = ids.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))) == b).toPandas()  # about QUERY_BLOCK vectors
+        shared = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), np.array(own["embedding"].tolist(), np.float64).reshape(len(own), -1)))
+
+        def run(batches, shared=shared):
+            names, queries = shared.value
+            for pdf in batches:
+                if not len(pdf) or not len(names):
+                    continue
+                x = np.array(pdf["embedding"].tolist(), np.float64)
+                near = (queries @ x.T) / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+                near[names[:, None] == pdf["vec_id"].to_numpy()[None, :]] = -2
+                top = np.argsort(-near, axis=1, kind="stable")[:, :NEIGHBOURS]
+                yield pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "vec_id": pdf["vec_id"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(near, top, 1).ravel()})
+
+        part = rows.select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, cosine double")
+        found = part if found is None else found.unionByName(part)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id"))
+    return found.where("cosine > -2").withColumn("rn", place).where(F.col("rn") <= NEIGHBOURS).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rn")
+
+
+def near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest document of each group of near-copies: fingerprints within distance that link, transitively."""
+    pairs = kept(spark, sf_dir, "near_dup_pairs", lambda: catalog.run("near_dup_pairs", spark, sf_dir))
+    both = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).union(pairs.select("right_id", "left_id"))
+    labels = catalog.run_text("WITH nodes AS (" + catalog.step("nodes", SPARK) + ") SELECT doc_id AS node, doc_id AS label FROM nodes", spark, sf_dir)
+    labels = kept(spark, sf_dir, "labels-0", lambda: labels)
+    n = 0
+    while True:
+        n += 1
+        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near.hint("merge"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        step = step.join(jump.hint("merge"), "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
+        step = kept(spark, sf_dir, f"labels-{n}", lambda step=step: step)
+        labels = step.select("node", "label")
+        if step.where("old != label").isEmpty():
+            break
+    rows = catalog.run_text("SELECT f.doc_id, n.doc_id AS node FROM fp f JOIN (" + catalog.step("nodes", SPARK) + ") n ON f.fingerprint = n.fingerprint WHERE f.kind = 'document'", spark, sf_dir)
+    return rows.join(labels.hint("merge"), "node").select("doc_id", F.col("label").alias("cluster"))
+
+
+FEATURES = ["char_count", "word_count", "line_count", "avg_line_length", "exclamations", "questions", "ellipses", "scam_keywords", "emotional_patterns", "ad_keywords", "ai_patterns", "paragraphs_n", "link_n", "number_ratio", "char_diversity", "sentence_count", "avg_sentence_length"]
+
+
+def ml_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category and score of each document by a logistic regression on its features, fitted on the labels."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    feats = kept(spark, sf_dir, "text_features", lambda: catalog.run("text_features", spark, sf_dir))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")).where("label IS NOT NULL")
+    stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features"), LogisticRegression(maxIter=30, regParam=0.01)]
+    model = Pipeline(stages=stages).fit(feats.join(labels, "doc_id"))
+    p = vector_to_array("probability")[1]
+    category = F.when(p < 0.25, "junk").when(p < 0.5, "low").when(p < 0.75, "medium").otherwise("good")
+    score = F.when(p < 0.25, 15.0).when(p < 0.5, 40.0).when(p < 0.75, 60.0).otherwise(80.0)
+    return model.transform(feats).select("doc_id", category.alias("category"), score.alias("score"), F.round(F.greatest(p, 1 - p), 6).alias("conf"))
+
+
+# Words that point to a dimension.
+INDICATORS = {"scam": ("trash", "worthless", "scum"), "adv": ("license", "apache", "***", "&&&"), "emo": ("!!",)}
+
+
+def rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from the mined terms: a term with up to four neighbours, five rules at most; the terms (30 at most) are grouped here."""
+    top = [r["gram"] for r in catalog.run("mine_rules_tfidf", spark, sf_dir).orderBy(F.col("tfidf").desc(), "gram").collect()]
+    links = catalog.run("term_cooccurrence", spark, sf_dir).collect()
+    near: dict[str, set[str]] = {t: set() for t in top}
+    for r in links:
+        near[r["term1"]].add(r["term2"])
+        near[r["term2"]].add(r["term1"])
+    used, rules = set(), []
+    for t in sorted(top, key=lambda t: (-len(near[t]), top.index(t))):
+        if t in used or len(rules) == 5:
+            continue
+        group = [t, *sorted(x for x in near[t] if x not in used)[:4]]
+        used |= set(group)
+        overlap = {d: sum(w in " ".join(group).lower() for w in words) for d, words in INDICATORS.items()}
+        best = max(overlap, key=lambda d: overlap[d])
+        inferred = overlap[best] > 0
+        rules.append((f"mined_{len(rules) + 1}", best if inferred else "scam", ", ".join(group), float(min(50, max(15, 10 * len(group)))), 0.8 if inferred else 0.5))
+    return spark.createDataFrame(rules, "name string, dimension string, keywords string, contribution double, confidence double")
+
+
+def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
+def ttl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.ttl_dedup(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
+
+
+QUERIES = {
+    "embedding_neighbors": embedding_neighbors,
+    "near_dup_clusters": near_dup_clusters,
+    "ml_class": ml_class,
+    "rule_candidates": rule_candidates,
+    "page_extract": page_extract,
+    "stream_score_feed": jobs.score_feed,
+    "stream_ttl_dedup": ttl_counts,
+    "stream_rate_limit": jobs.rate_limit,
+    "stream_daily_trends": jobs.daily_trends,
+    "stream_sliding_junk_rate": jobs.sliding_junk_rate,
+    "stream_alerts": jobs.alerts,
+    "stream_counters": jobs.counters,
+    "stream_weights": jobs.weights,
+    "stream_upsert": jobs.latest_by_user,
+    "stream_rescore": jobs.rescore,
+}
+
+
+def _oracles() -> dict[str, str]:
+    from textassay.functions.dialect import DUCK
+
+    chain = catalog.sql("overall_score", DUCK)
+    feed = chain[: chain.rindex("SELECT doc_id, overall,")] + "SELECT doc_id, overall, matched FROM scored"
+    return {
+        "embedding_neighbors": f"SELECT query_id, vec_id, round(c, 6) AS cosine, CAST(rn AS INT) AS rn FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) WHERE rn <= {NEIGHBOURS}",
+        "stream_score_feed": feed,
+        "stream_ttl_dedup": f"SELECT user_id, count(*) AS n, CAST(list_reduce(list_prepend({{'t': CAST(-1e12 AS DOUBLE), 'l': CAST(-1e12 AS DOUBLE), 'n': 0}}, list({{'t': epoch(ts), 'l': CAST(0 AS DOUBLE), 'n': 0}} ORDER BY ts, event_id)), lambda a, b: {{'t': b.t, 'l': CASE WHEN b.t - a.l > {jobs.TTL_SECONDS} THEN b.t ELSE a.l END, 'n': a.n + CASE WHEN b.t - a.l > {jobs.TTL_SECONDS} THEN 1 ELSE 0 END}}).n AS BIGINT) AS accepted FROM events GROUP BY user_id",
+        "stream_daily_trends": "SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY CAST(ts AS DATE)",
+        "stream_sliding_junk_rate": "SELECT start, count(*) AS n, count(CASE WHEN value < 20 THEN 1 END) AS low FROM (SELECT value, time_bucket(INTERVAL '10 minutes', ts) - k * INTERVAL '10 minutes' AS start FROM events, range(6) r(k)) GROUP BY start",
+        "stream_alerts": "SELECT event_id, user_id, value FROM events WHERE value < 5",
+        "stream_counters": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+        "stream_weights": catalog.sql("weight_accumulate", DUCK),
+        "stream_upsert": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+        "stream_rescore": f"SELECT {DUCK.host('url')} AS host, count(*) AS n FROM pages GROUP BY ALL",
+    }
+
+
+ORACLES = _oracles()
