@@ -14,8 +14,8 @@ are compared whole.
    many groups (shared passages) are left out of the look-up where the rest of a node's
    tokens suffice; else the node's full set is looked up.  The overlap of a node with a
    group's union is a bound, and only groups that reach it are opened.
-3. An opened group is first tried with one member per shared token; what stays
-   unlinked is compared with every member that shares a looked-up token.
+3. An opened group is first tried with one member per shared token; for what stays
+   unlinked, and reaches the bound with whole sets, every member is held against it.
 
 All links between different groups are found that way; links inside a group do not
 change components.  Every candidate is verified on the whole texts.
@@ -41,6 +41,8 @@ WORDS = 5
 PERCENT = 80
 SKETCH = 48
 BLOCK = 256
+#: Query sets that an opened group's members are held against at once.
+QUERIES = 64
 #: A token in more groups than this is common.
 COMMON = 16
 
@@ -136,6 +138,55 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _opened(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each (node, other) of asked, a link (a, b) of the node with a member of that group, if there is one.
+
+    Queries and members of a group are dealt as a grid of blocks; in a cell members stream
+    past the sets of at most about QUERIES queries, and no pair becomes a row.
+    """
+    members = members.join(asked.select("other").distinct().hint("merge"), "other", "left_semi")
+    rows = members.groupBy("other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+    columns = asked.groupBy("other").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("columns"))
+    grid = rows.join(columns.hint("merge"), "other")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    queries = asked.join(grid.hint("merge"), "other").select("other", every("rows").alias("row"), mine("columns").alias("column"), F.lit(0).alias("kind"), "node")
+    stream = members.join(grid.hint("merge"), "other").select("other", mine("rows").alias("row"), every("columns").alias("column"), F.lit(1).alias("kind"), "node")
+    dealt = queries.unionByName(stream).join(texts.select("node", "text").hint("merge"), "node")
+    dealt = dealt.repartition("other", "row", "column").sortWithinPartitions("other", "row", "column", "kind")
+
+    def run(batches):
+        cell, names, sets, done = None, [], [], set()
+        tokens = owner = sizes = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("other", "row", "column")), strict=True))
+            kinds, nodes = batch.column("kind").to_pylist(), batch.column("node").to_pylist()
+            found = []
+            for part in slices(batch.column("text")):
+                for i, own in enumerate(shingle_sets(part), part.first):
+                    if keys[i] != cell:
+                        cell, names, sets, done, tokens = keys[i], [], [], set(), None
+                    if kinds[i] == 0:
+                        names.append(nodes[i])
+                        sets.append(own)
+                        continue
+                    if tokens is None:
+                        tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                        sizes = np.array([len(x) for x in sets])
+                        owner = np.repeat(np.arange(len(sets)), sizes)
+                    if len(done) == len(names):
+                        continue
+                    at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+                    common = np.bincount(owner[own[at] == tokens], minlength=len(sets))
+                    for k in np.flatnonzero(100 * common >= PERCENT * (sizes + len(own) - common)):
+                        if k not in done and names[k] != nodes[i]:
+                            done.add(k)
+                            found.append((names[k], nodes[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def _alike(n: str, m: str):
     """Sizes that can reach the similarity."""
     return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
@@ -270,10 +321,7 @@ def join(docs: DataFrame) -> DataFrame:
     union = _full_sets(texts.join(inside.hint("merge"), "node", "left_semi")).join(inside.hint("merge"), "node").select("other", "token").distinct()
     reach = apart.join(asked.hint("merge"), "node").join(union.hint("merge"), ["other", "token"]).groupBy("node", "other").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     apart = stored(reach.where(F.col("k") * 100 >= F.col("n") * PERCENT).select("node", "other"), "reach")
-    member = probes.select(F.col("group").alias("other"), "token", F.col("node").alias("b"))
-    every = apart.join(probes.select("node", "token").hint("merge"), "node").join(member.hint("merge"), ["other", "token"]).select(F.col("node").alias("a"), "b")
-    every = _plausible(every.join(star.unionByName(tried).hint("merge"), ["a", "b"], "left_anti"), nodes)
-    groups = _regroup(joined, stored(verified(every, texts), "links"))
+    groups = _regroup(joined, stored(_opened(apart, large, texts), "links"))
 
     named = nodes.select("node", "doc_id").join(groups.hint("merge"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     smallest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
