@@ -301,13 +301,15 @@ def join(docs: DataFrame) -> DataFrame:
     target = target.select(F.col("group").alias("other"), F.col("members").alias("others"), "token", F.col("o.node").alias("b"))
     # a query meets only larger groups, since links are seen from both ends
     met = probes.join(target.hint("merge"), "token").where("others > members OR (others = members AND other > group)")
-    met = stored(met.select("node", "n", "other", "b").distinct(), "met")
-    query = met.select("node", "n", "other").distinct()
+    met = stored(met.select("node", "n", "other", "others", "b").distinct(), "met")
+    # the union of a group of one is its sketch, which the pair itself is held against below
+    alone = met.where("others = 1").select(F.col("node").alias("a"), "b")
+    query = met.where("others > 1").select("node", "n", "other").distinct()
     bound = query.join(tokens.select("node", "token").hint("merge"), "node").join(matrix.select(F.col("group").alias("other"), "token").hint("merge"), ["other", "token"])
     bound = stored(bound.groupBy("node", "other").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= _need()).select("node", "other"), "open")
 
     # 3. open the groups: one member a token, then every member
-    one = met.join(bound.hint("merge"), ["node", "other"]).select(F.col("node").alias("a"), "b")
+    one = met.join(bound.hint("merge"), ["node", "other"]).select(F.col("node").alias("a"), "b").unionByName(alone)
     tried = _plausible(one.join(star.hint("merge"), ["a", "b"], "left_anti"), nodes)
     joined = _regroup(groups, stored(verified(tried, texts), "links"))
     now = lambda c: joined.select(F.col("node").alias(c), F.col("group").alias(f"now_{c}"))
