@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,33 @@ def test_chains_equal_quadratic_search():
         assert score == pytest.approx(max(best.values()))
 
 
+def test_chains_do_not_lose_a_second_passage_behind_a_far_better_one():
+    rng = random.Random(7)
+    for apart in range(110, 601, 35):
+        n = itertools.count(1)
+        first, second = [next(n) for _ in range(120)], [next(n) for _ in range(60)]
+        a = first + [next(n) for _ in range(apart)] + second
+        b = first + [next(n) for _ in range(apart + rng.randint(-5, 5))] + second[:30] + [next(n)] + second[30:]
+        at = {tuple(b[j : j + passages.K]): j for j in range(len(b))}
+        matches = [(i, at[w]) for i in range(len(a)) if len(w := tuple(a[i : i + passages.K])) == passages.K and w in at]
+        spans = [passages.align(np.array(a), np.array(b), c)[:2] for c in passages.chains(matches[::6])]
+        assert (0, 119) in spans and (120 + apart, 179 + apart) in spans, apart
+
+
+def test_chains_equal_quadratic_search_with_the_gap_limit():
+    rng = random.Random(8)
+    far = passages.GAP_MOST + passages.K
+    for _ in range(60):
+        matches = sorted({(rng.randrange(900), rng.randrange(900)) for _ in range(rng.randint(1, 120))})
+        best = {}
+        for x, y in matches:
+            options = [best[p] + passages.K - passages.GAP_COST * (x - p[0] + y - p[1]) for p in best if 0 < x - p[0] <= far and 0 < y - p[1] <= far]
+            best[x, y] = max([float(passages.K), *options])
+        chain = passages.chains(matches)[0]
+        score = float(passages.K) + sum(passages.K - passages.GAP_COST * (b[0] - a[0] + b[1] - a[1]) for a, b in zip(chain, chain[1:]))
+        assert score == pytest.approx(max(best.values()))
+
+
 # 3 ---------------------------------------------------------------------------------------
 
 
