@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,40 @@ def test_op2_finds_planted_fuzzy_passages_and_nothing_else(spark, odd_docs, no_d
     assert passages.passages(odd_docs).count() == 0 and passages.passages(no_docs).count() == 0
 
 
+def test_op2_finds_a_passage_behind_fragments_of_it_and_behind_a_common_phrase(spark):
+    rng = random.Random(11)
+    word = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    shared, phrase = word(60), word(20)
+    rows = [(i, word(30) + shared[a:z] + word(30)) for i, (a, z) in enumerate([(0, 30), (15, 45), (30, 60)], 1)]
+    rows += [(i, word(25) + shared + word(25)) for i in (10, 20)]
+    twice = word(50)  # the phrase stands in front of the passage as well, and in many other documents
+    rows += [(i, word(10) + phrase + word(40) + phrase + twice + word(10)) for i in (60, 61)] + [(i, word(30) + phrase + word(30)) for i in range(30, 60)]
+    found = passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {10, 20, 60, 61}
+    assert {(r.doc_id, r.other_id) for r in found if r.doc_id < 30 and r.first_word <= 25 and r.last_word >= 84} == {(10, 20), (20, 10)}
+    assert {r.doc_id for r in found if r.first_word <= 70 and r.last_word >= 139} == {60, 61}
+
+
+def test_op2_links_equal_those_of_a_whole_sort_at_any_batch_size():
+    rng = random.Random(12)
+    rows = sorted((rng.randrange(6), rng.randrange(5), rng.randrange(4), p, rng.randrange(3) - 1, rng.random() < 0.3) for p in range(120))
+
+    def links(size):
+        cut = (rows[i : i + size] for i in range(0, len(rows), size))
+        batches = (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], ["seed", "key", "doc_id", "pos", "before", "thin"]) for part in cut)
+        return sorted(tuple(r.values()) for b in passages.neighbours(batches) for r in b.to_pylist())
+
+    want = set()
+    for i, a in enumerate(rows):
+        for side in (rows[:i][::-1], rows[i + 1 :]):
+            b = next((b for b in side if b[0] != a[0] or b[2] != a[2]), None)
+            if b and b[0] == a[0] and (a[4] != b[4] or a[4] < 0 or a[5] or b[5]):
+                x, y = max(a, b, key=lambda r: r[2]), min(a, b, key=lambda r: r[2])
+                want.add((x[2], y[2], x[3], y[3]))
+    for size in (1, 2, 3, 7, 50, 120):
+        assert links(size) == sorted(want)
+
+
 def test_chains_equal_quadratic_search():
     rng = random.Random(4)
     for _ in range(60):
