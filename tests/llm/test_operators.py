@@ -94,6 +94,23 @@ def test_op2_finds_a_passage_behind_fragments_of_it_and_behind_a_common_phrase(s
     assert {r.doc_id for r in found if r.first_word <= 70 and r.last_word >= 139} == {60, 61}
 
 
+def test_op2_recall_by_identity(spark):
+    rng = random.Random(3)
+    word = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    rows, planted = [], collections.defaultdict(list)
+    for percent in (80, 85, 90, 95):
+        for _ in range(100):
+            passage = word(60)
+            copy = list(passage)
+            for i in rng.sample(range(60), 60 * (100 - percent) // 100):
+                copy[i] = word(1)[0]
+            planted[percent].append(len(rows))
+            rows += [(len(rows), " ".join(word(30) + passage + word(30))), (len(rows) + 1, " ".join(word(30) + copy + word(30)))]
+    got = {r.doc_id for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {percent: len(got.intersection(ids)) / len(ids) for percent, ids in planted.items()}
+    assert recall[80] >= 0.95 and recall[85] >= 0.98 and recall[90] == recall[95] == 1, recall
+
+
 def test_op2_links_equal_those_of_a_whole_sort_at_any_batch_size():
     rng = random.Random(12)
     rows = sorted((rng.randrange(6), rng.randrange(5), rng.randrange(4), p, rng.randrange(3) - 1, rng.random() < 0.3) for p in range(120))
