@@ -34,3 +34,16 @@ def test_originality_penalty_reaches_exact_copies_and_distance_six(spark, folder
     got = {r.doc_id: r.penalty for r in catalog.run("originality_penalty", spark, folder(rows)).collect()}
     assert at & {4, 5, 6} and want[2] == want[3] == 30
     assert got == want
+
+
+def test_guide_backfill_gives_every_long_document_a_guide(spark, folder):
+    long = "Some plain words stand in this line and they go on for a while."
+    rows = [(i, long) for i in range(1, 8)] + [(9, "short"), (12, " " * 60 + "x"), (15, "")]
+    got = {r.doc_id: r.nuggets is not None for r in catalog.run("guide_backfill", spark, folder(rows)).collect()}
+    assert got == {i: i < 9 for i, _ in rows}
+
+
+def test_search_anchor_reaches_every_paragraph(spark, folder):
+    text = "\n".join(f"Paragraph {k} tells of a thing of its own." for k in "abcdefgh")
+    got = {r.i: r.anchor for r in catalog.run("search_anchor", spark, folder([(1, text)])).collect()}
+    assert sorted(got) == list(range(1, 9)) and all(text.count(a) == 1 for a in got.values())

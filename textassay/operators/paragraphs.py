@@ -98,7 +98,7 @@ def _tldr(d) -> str:
 
 def _anchor(d) -> str:
     sizes = d.only(d.each(d.seq("1", "13"), "k", "23 - k"), "m", "m <= length(p) AND length(t) - length(replace(t, substring(p, 1, m), '')) = m")
-    return f"SELECT doc_id, i, substring(p, 1, coalesce({d.at('sizes', 1)}, least(10, length(p)))) AS anchor FROM (SELECT a.doc_id, a.i, a.p, {sizes} AS sizes FROM paras a JOIN docs b ON a.doc_id = b.doc_id WHERE a.i <= 5)"
+    return f"SELECT doc_id, i, substring(p, 1, coalesce({d.at('sizes', 1)}, least(10, length(p)))) AS anchor FROM (SELECT a.doc_id, a.i, a.p, {sizes} AS sizes FROM paras a JOIN docs b ON a.doc_id = b.doc_id)"
 
 
 def _evidence(d) -> str:
@@ -126,6 +126,7 @@ QUERIES = {
     "search_anchor": _anchor,
     "position_label": lambda d: "SELECT doc_id, i, CASE WHEN n <= 1 THEN 'whole' WHEN r <= 0.12 THEN 'opening' WHEN r <= 0.35 THEN 'early' WHEN r <= 0.65 THEN 'middle' WHEN r <= 0.88 THEN 'late' ELSE 'end' END AS label, CAST(CASE WHEN n <= 1 THEN 50 ELSE floor(100.0 * (2 * i - 1) / (2 * n) + 0.5) END AS INT) AS percent FROM (SELECT doc_id, i, n, CAST(i - 1 AS DOUBLE) / greatest(n - 1, 1) AS r FROM paras)",
     "dimension_evidence": _evidence,
-    "guide_backfill": lambda d: "SELECT d.doc_id, g.nuggets, g.empties FROM docs d LEFT JOIN guide g ON d.doc_id = g.doc_id AND length(d.t) >= 50 AND d.doc_id % 3 = 0",
+    # no table stores guides, so every document lacks one
+    "guide_backfill": lambda d: f"SELECT d.doc_id, g.nuggets, g.empties FROM docs d LEFT JOIN guide g ON d.doc_id = g.doc_id AND length({trim(d, 'd.t')}) >= 50",
     "paragraph_lag_jaccard": lambda d: "SELECT doc_id, i, CAST(round(distance, 6) AS DOUBLE) AS distance FROM drift WHERE distance IS NOT NULL",
 }
