@@ -4,8 +4,10 @@ import math
 
 import pytest
 
-from textassay.operators import simhash
+from textassay.functions.dialect import SPARK
+from textassay.operators import pages, simhash
 from textassay.plans import catalog
+from textassay.streaming import jobs
 
 
 @pytest.fixture
@@ -47,3 +49,25 @@ def test_search_anchor_reaches_every_paragraph(spark, folder):
     text = "\n".join(f"Paragraph {k} tells of a thing of its own." for k in "abcdefgh")
     got = {r.i: r.anchor for r in catalog.run("search_anchor", spark, folder([(1, text)])).collect()}
     assert sorted(got) == list(range(1, 9)) and all(text.count(a) == 1 for a in got.values())
+
+
+def test_rescored_pages_keep_url_score_cycle_and_delta(spark, tmp_path):
+    calm = "<article>" + "<p>The mill on the river ran for many years and the town grew around it.</p>" * 12 + "</article>"
+    loud = calm.replace("town", "worthless trash scam!!! license apache")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages.parquet")
+        return {r.url: r for r in jobs.rescore_pages(spark, str(tmp_path), f"{tmp_path}/state").collect()}
+
+    def score(html):
+        spark.createDataFrame([(1, pages.main_block(html), "en", "x")], "doc_id long, text string, lang string, source string").createOrReplaceTempView("documents")
+        return spark.sql(catalog.sql("scored", SPARK)).collect()[0].overall
+
+    first = arrive([(1, "a", loud), (2, "a", calm), (3, "b", calm), (4, None, calm)])
+    assert {u: (r.score, r.cycle, r.delta) for u, r in first.items()} == {u: (score(calm), 1, None) for u in "ab"}
+    second = arrive([(5, "a", loud), (6, "c", loud)])
+    assert score(loud) != score(calm)
+    assert {u: (r.score, r.cycle) for u, r in second.items()} == {"a": (score(loud), 2), "b": (score(calm), 1), "c": (score(loud), 2)}
+    assert second["a"].delta == pytest.approx(score(loud) - score(calm), abs=0.06) and second["c"].delta is None
+    again = jobs.rescore_pages(spark, str(tmp_path), f"{tmp_path}/state").collect()
+    assert {r.url: r for r in again} == second

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html.parser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements and class or id tokens that are no content.
@@ -71,14 +71,19 @@ def main_block(page: str | None) -> str:
     return largest
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, text, content_hash of pages(page_id, html)."""
+def text_of(html: str) -> Column:
+    """The main block of each page in a column."""
 
     @F.pandas_udf("string")
     def text(pages: pd.Series) -> pd.Series:
         return pages.map(main_block)
 
-    return pages.select("page_id", text(F.coalesce("html", F.lit(""))).alias("text")).withColumn("content_hash", F.sha2("text", 256))
+    return text(F.coalesce(html, F.lit("")))
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, text, content_hash of pages(page_id, html)."""
+    return pages.select("page_id", text_of("html").alias("text")).withColumn("content_hash", F.sha2("text", 256))
 
 
 def _simple(d) -> str:

@@ -138,6 +138,7 @@ QUERIES = {
     "stream_weights": jobs.weights,
     "stream_upsert": jobs.latest_by_user,
     "stream_rescore": jobs.rescore,
+    "stream_rescore_pages": jobs.rescore_pages,
 }
 
 

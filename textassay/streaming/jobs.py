@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textassay.functions.dialect import SPARK
+from textassay.operators import pages
 from textassay.plans import catalog
 from textassay.sources.shared import folder
 
@@ -161,3 +162,36 @@ def rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = table(spark, sf_dir, "pages")
     host = F.regexp_replace(F.lower(F.expr("try_parse_url(url, 'HOST')")), "^www[.]", "")
     return _run(stream.groupBy(host.alias("host")).agg(F.count("*").alias("n")), "complete")
+
+
+def rescore_pages(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """url, score, cycle, delta: the pages that arrived with each trigger are scored, and replace the stored scores of their urls.
+
+    A call with the base of an earlier one goes on from there.  Of a url that comes twice in
+    a cycle the last page counts; pages without url have no place to be stored.
+    """
+    base = base or f"{folder(spark)}/rescore-{uuid.uuid4().hex}"
+    kind = "url string, score double, cycle bigint, delta double"
+
+    def score(batch: DataFrame, n: int) -> None:
+        own = batch.sparkSession
+        newest = batch.where("url IS NOT NULL").groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("p")).select("url", "p.*")
+        stored = f"{base}/cycles/{n}"
+        newest.withColumn("text", pages.text_of("html")).drop("html").write.mode("overwrite").parquet(f"{stored}/texts")
+        texts = own.read.parquet(f"{stored}/texts")
+        texts.selectExpr("page_id AS doc_id", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "text").createOrReplaceTempView("documents")
+        scores = texts.join(own.sql(catalog.sql("scored", SPARK)).select(F.col("doc_id").alias("page_id"), "overall"), "page_id").select("url", "overall")
+        old = own.read.schema(kind).parquet(f"{base}/cycles/{n - 1}/scores") if n else own.createDataFrame([], kind)
+        both = old.alias("o").join(scores.alias("s"), "url", "full")
+        new = F.col("s.overall").isNotNull()
+        both.select("url", F.when(new, F.col("s.overall")).otherwise(F.col("o.score")).cast("double").alias("score"), F.when(new, F.lit(n + 1)).otherwise(F.col("o.cycle")).cast("bigint").alias("cycle"), F.when(new, F.round(F.col("s.overall") - F.col("o.score"), 1)).otherwise(F.col("o.delta")).cast("double").alias("delta")).write.mode("overwrite").parquet(f"{stored}/scores")
+        last.append(n)
+
+    last: list[int] = []
+    query = table(spark, sf_dir, "pages").select("page_id", "url", "html").writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(score).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not last:  # nothing came: what an earlier call has stored stands
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/cycles")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        last = [max(int(f.getPath().getName()) for f in files.listStatus(path))] if files.exists(path) else []
+    return spark.read.schema(kind).parquet(f"{base}/cycles/{last[-1]}/scores") if last else spark.createDataFrame([], kind)
