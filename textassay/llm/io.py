@@ -44,3 +44,22 @@ def drop(df: DataFrame) -> None:
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of an Arrow batch that carries texts, so that a task holds few of them at once.
+BATCH_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def free(name: str, taken: list[str]) -> str:
+    """`name`, with trailing underscores until it clashes with none of `taken` (names differ by more than case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

@@ -3,26 +3,31 @@
 A document's set is its distinct 5-word shingles (63-bit hashes).  Documents with equal
 sets are one node.  Links are pairs of nodes with 100 * |x & y| >= 80 * |x | y|.
 
-Candidates come from sketches, the SKETCH smallest hashes of a set.  At J >= 0.8 two
-sketches share at least LEAST_COMMON hashes but with probability below 1e-12 (the
-smallest hashes of the union are a random sample of it); sets no larger than a sketch
-are compared whole.
-
-1. Groups: each node is compared with one leader of the tokens it shares; nodes that
-   link form groups.  A near-copy group of any size costs one comparison a node.
-2. Token-group matrix: each group's token union is stored as (group, token).  Tokens of
-   many groups (shared passages) are left out of the look-up where the rest of a node's
-   tokens suffice; else the node's full set is looked up.  The overlap of a node with a
-   group's union is a bound, and only groups that reach it are opened.
-3. An opened group is first tried with one member per shared token; for what stays
-   unlinked, and reaches the bound with whole sets, every member is held against it.
-
-All links between different groups are found that way; links inside a group do not
-change components.  Every candidate is verified on the whole texts.
+1. Candidates: of each set the SKETCH smallest hashes are counted.  Two sets that link share
+   LEAST_COMMON of them at least, but with probability below 1e-12 (the smallest hashes of
+   the union are a random sample of it; sets no larger than a sketch are compared whole),
+   so a node with fewer hashes in common with others links with nothing.  From here on
+   everything is exact and on whole sets: a node links with nothing either if less than
+   80 % of its tokens occur in other candidates.
+2. Groups: each node joins the leader that it shares most tokens with, if that is half of
+   them.  Nodes that link with their leader are connected at once, by one comparison each.
+3. Token-group matrix: each group's token union is stored as (group, token).  A node meets
+   another group over the rarest tokens that any link must share one of (prefix filter);
+   its overlap with the group's union is a bound, and only groups that reach it are
+   opened, besides its own group where not all of that is connected.
+4. An opened group's members stream past the query nodes in a grid of blocks; overlaps are
+   counted on whole sets, and what a cell has connected is not linked again, so a cell
+   gives fewer links than it has nodes, and no pair becomes a row.
+
+All links between parts that are not connected are found that way; links inside a
+connected part do not change components.
 
 Defined cases: texts without words and null texts have empty sets and link with
 nothing (component = own doc_id); fewer than five words are one shingle; repeated rows
-and equal texts share a node; a component's id is its smallest doc_id (nulls last).
+and equal texts share a node; very long texts are read whole; a component's id is its
+smallest doc_id (rows without id belong to components too, and one of them alone has none);
+ties of leaders go by hash; an empty table gives an empty result; further columns are
+ignored, whatever their names, but those named in `keep`.
 """
 
 from __future__ import annotations
@@ -34,17 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textassay.llm.io import drop, stored
+from textassay.llm.io import bounded, drop, stored
 from textassay.llm.textops import SPACE_WORDS, Slice, as_signed, mix64, slices
 
 WORDS = 5
 PERCENT = 80
 SKETCH = 48
-BLOCK = 256
-#: Query sets that an opened group's members are held against at once.
-QUERIES = 64
-#: A token in more groups than this is common.
-COMMON = 16
+#: Members and query nodes that meet in a cell of an opened group's grid, about.
+BLOCK, QUERIES = 1024, 64
+#: Rounds in which nodes of too many tokens of their own are taken out.
+ROUNDS = 2
 
 
 def _least_common() -> int:
@@ -76,20 +80,25 @@ def shingle_sets(part: Slice) -> list[np.ndarray]:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the whole set, null if empty) and sketch of each row of docs(doc_id, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def sketches(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep, n (size of the set), node (hash of the whole set, null if empty) and sketch of each row of docs(doc_id, text)."""
+    names = ["doc_id", *keep]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
         for batch in batches:
             for part in slices(batch.column("text")):
                 sets = shingle_sets(part)
-                nodes = [int(as_signed(mix64(s).sum(keepdims=True) ^ np.uint64(len(s)))[0]) if len(s) else None for s in sets]
                 short = [s[:SKETCH] for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in short])]), pa.int32()), pa.array(as_signed(np.concatenate(short))))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, part.n), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "n_shingles", "node", "sketch"])
+                own = batch.slice(part.first, part.n)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_node, sets), pa.int64()), lists], [*names, "n", "node", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, sketch array<bigint>")
+    return docs.select(*(f"`{c}`" for c in names), "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "n bigint, node bigint, sketch array<bigint>"]))
+
+
+def _node(tokens: np.ndarray) -> int | None:
+    return int(as_signed(mix64(tokens).sum(keepdims=True) ^ np.uint64(len(tokens)))[0]) if len(tokens) else None
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -106,238 +115,192 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity; texts(node, text).
-
-    Pairs are dealt by b in blocks of about BLOCK, so that a leader of many is spread.
-    """
-    pairs = stored(pairs.distinct(), "pairs")
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    probes = pairs.join(sizes.hint("merge"), "b").select("b", block.alias("block"), F.col("a").alias("node"))
-    probes = probes.join(texts.hint("merge"), "node").select("b", "block", F.col("node").alias("a"), "text")
-    bases = sizes.join(texts.withColumnRenamed("node", "b").hint("merge"), "b")
-    bases = bases.select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("bigint").alias("a"), "text")
-    dealt = bases.unionByName(probes).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
+def _sets(texts: DataFrame) -> DataFrame:
+    """node and tokens, its whole set, of each row of texts(text) that has words."""
 
     def run(batches):
-        base = np.zeros(0, np.uint64)
         for batch in batches:
-            b, a = batch.column("b").to_pylist(), batch.column("a").to_pylist()
-            found = []
             for part in slices(batch.column("text")):
-                for i, own in enumerate(shingle_sets(part), part.first):
-                    if a[i] is None:
-                        base = own
-                        continue
-                    common = len(np.intersect1d(base, own, assume_unique=True))
-                    if 100 * common >= PERCENT * (len(base) + len(own) - common):
-                        found.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                sets = [s for s in shingle_sets(part) if len(s)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(as_signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))))
+                yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), lists], ["node", "tokens"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return texts.select("text").mapInArrow(run, "node bigint, tokens array<bigint>")
+
+
+def _need():
+    """Tokens that the sketch of a node of n shingles shares with any sketch it links with."""
+    return F.when(F.col("n") * 100 <= SKETCH * PERCENT, F.ceil(F.col("n") * PERCENT / 100)).otherwise(LEAST_COMMON)
 
 
-def _opened(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """For each (node, other) of asked, a link (a, b) of the node with a member of that group, if there is one.
+def _candidates(wide: DataFrame) -> DataFrame:
+    """node, doc_id, n, copies of the nodes of wide(doc_id, n, node, sketch) whose sketches allow a link."""
+    nodes = wide.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = stored(nodes, "nodes")
+    tokens = nodes.select("node", F.explode("sketch").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    shared = tokens.join(common.hint("merge"), "token").groupBy("node").agg(F.count("*").alias("k"))
+    slim = nodes.select("node", "doc_id", "n", "copies")
+    return stored(shared.join(slim.hint("merge"), "node").where(F.col("k") >= _need()).drop("k"), "candidates")
+
+
+def _pruned(sets: DataFrame) -> DataFrame:
+    """node, n, copies, s, token, k of sets(node, n, copies, tokens): tokens of k > 1 nodes, of nodes that have s of them, enough for a link."""
+    held = sets.select("node", "n", "copies", F.explode("tokens").alias("token"))
+    for _ in range(ROUNDS):
+        spread = held.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+        held = held.select("node", "n", "copies", "token").join(spread.hint("merge"), "token")
+        enough = held.groupBy("node").agg(F.count("*").alias("s"), F.first("n").alias("m")).where(F.col("s") * 100 >= F.col("m") * PERCENT).select("node", "s")
+        held = stored(held.join(enough.hint("merge"), "node"), "held")
+    return held
+
+
+def _grouped(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, group of every node of held, and the links (a, b) of nodes with the leaders of their groups."""
+    # of a token the leader is the node with most copies, then by a hash
+    order = F.struct((-F.col("copies")).alias("c"), F.xxhash64("node").alias("h"), F.col("node").alias("leader"))
+    leaders = held.groupBy("token").agg(F.min(order).alias("o")).select("token", "o.leader")
+    met = held.join(leaders.hint("merge"), "token").groupBy("node", "leader").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("k", "leader")).alias("o"), F.first("n").alias("n"))
+    groups = stored(best.select("node", "n", F.when(F.col("o.k") * 2 >= F.col("n"), F.col("o.leader")).otherwise(F.col("node")).alias("group")), "groups")
+    # one comparison a node, on all tokens that others have
+    star = groups.where("node != group")
+    theirs = held.select(F.col("node").alias("group"), "token", F.col("n").alias("m"))
+    both = star.join(held.select("node", "token").hint("merge"), "node").join(theirs.hint("merge"), ["group", "token"])
+    both = both.groupBy("node", "group").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    links = both.where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * PERCENT)
+    return groups.select("node", "group"), stored(links.select(F.col("node").alias("a"), F.col("group").alias("b")), "star-links")
+
+
+def _asked(held: DataFrame, members: DataFrame) -> DataFrame:
+    """node, other: the groups that a node has to be held against; members(node, group, part)."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
+    parts = members.groupBy("group", "part").agg(F.count("*").alias("size")).groupBy("group").agg(F.max(F.struct("size", "part")).alias("o")).select("group", F.col("o.part").alias("most"))
+    # in its own group a node of the largest part is met by the others
+    own = members.join(parts.hint("merge"), "group").where("part != most").select("node", F.col("group").alias("other"))
+
+    # tokens of which any two nodes that link share one: the rarest, as many as may be missing and one more
+    place = F.row_number().over(Window.partitionBy("node").orderBy("k", "token"))
+    prefix = held.select("node", "n", "s", "token", "k").withColumn("place", place).where(F.col("place") <= F.col("s") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    prefix = stored(prefix.select("node", "n", "s", "token").join(members.join(sizes.hint("merge"), "group").hint("merge"), "node"), "prefixes")
+    least = lambda c: F.min(c).alias(f"least_{c}")
+    target = prefix.withColumn("u", F.col("n") - F.col("s")).groupBy("token", "group").agg(F.first("size").alias("others"), least("n"), least("u"), F.max("s").alias("most_s"), F.min("part").alias("low"), F.max("part").alias("high"))
+    target = target.withColumnRenamed("group", "other")
+    # links are seen from both ends, so a node asks the larger group
+    larger = (F.col("others") > F.col("size")) | ((F.col("others") == F.col("size")) & (F.col("other") > F.col("group")))
+    apart = (F.col("low") != F.col("part")) | (F.col("high") != F.col("part"))
+    # tokens that only one of two nodes has count in the union
+    union = F.greatest(F.col("n") + F.col("least_u"), F.col("least_n") + F.col("n") - F.col("s"))
+    reach = F.least("s", "most_s") * 100 >= union * PERCENT
+    met = prefix.join(target.hint("merge"), "token").where((F.col("group") != F.col("other")) & larger & apart & reach)
+    met = stored(met.select("node", "n", "other").distinct(), "met")
+
+    # the matrix, and the bound over all tokens: |x & y| >= 4/9 of both sizes
+    named = held.select("node", "n", "token").join(members.select("node", F.col("group").alias("other")).join(met.select("other").distinct().hint("merge"), "other", "left_semi").hint("merge"), "node")
+    matrix = named.groupBy("other", "token").agg(F.lit(1).alias("one")).select("other", "token")
+    smallest = named.groupBy("other").agg(F.min("n").alias("least_n"))
+    bound = met.select("node", "other").join(held.select("node", "n", "token").hint("merge"), "node").join(matrix.hint("merge"), ["other", "token"])
+    bound = bound.groupBy("node", "other").agg(F.count("*").alias("c"), F.first("n").alias("n")).join(smallest.hint("merge"), "other")
+    bound = bound.where((F.col("c") * 100 >= F.col("n") * PERCENT) & (F.col("c") * 9 * 100 >= (F.col("n") * 100 + F.greatest(F.col("least_n") * 100, F.col("n") * PERCENT)) * 4))
+    return stored(own.unionByName(bound.select("node", "other")), "asked")
+
+
+def _opened(asked: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between parts, by the nodes of asked(node, other) and the members of those groups.
 
     Queries and members of a group are dealt as a grid of blocks; in a cell members stream
-    past the sets of at most about QUERIES queries, and no pair becomes a row.
+    past the sets of at most about QUERIES queries.
     """
-    members = members.join(asked.select("other").distinct().hint("merge"), "other", "left_semi")
-    rows = members.groupBy("other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+    held = members.withColumnRenamed("group", "other").join(asked.select("other").distinct().hint("merge"), "other", "left_semi")
+    rows = held.groupBy("other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
     columns = asked.groupBy("other").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("columns"))
     grid = rows.join(columns.hint("merge"), "other")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    queries = asked.join(grid.hint("merge"), "other").select("other", every("rows").alias("row"), mine("columns").alias("column"), F.lit(0).alias("kind"), "node")
-    stream = members.join(grid.hint("merge"), "other").select("other", mine("rows").alias("row"), every("columns").alias("column"), F.lit(1).alias("kind"), "node")
-    dealt = queries.unionByName(stream).join(texts.select("node", "text").hint("merge"), "node")
-    dealt = dealt.repartition("other", "row", "column").sortWithinPartitions("other", "row", "column", "kind")
+    queries = asked.join(members.select("node", "part").hint("merge"), "node").join(grid.hint("merge"), "other").select("other", every("rows").alias("row"), mine("columns").alias("column"), F.lit(0).alias("kind"), "node", "part")
+    stream = held.join(grid.hint("merge"), "other").select("other", mine("rows").alias("row"), every("columns").alias("column"), F.lit(1).alias("kind"), "node", "part")
+    dealt = queries.unionByName(stream).join(sets.select("node", "tokens").hint("merge"), "node")
+    dealt = dealt.repartition("other", "row", "column").sortWithinPartitions("other", "row", "column", "kind", "node")
 
     def run(batches):
-        cell, names, sets, done = None, [], [], set()
-        tokens = owner = sizes = None
+        cell = None
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("other", "row", "column")), strict=True))
-            kinds, nodes = batch.column("kind").to_pylist(), batch.column("node").to_pylist()
+            kinds, nodes, parts = (batch.column(c).to_pylist() for c in ("kind", "node", "part"))
+            lists = batch.column("tokens")
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             found = []
-            for part in slices(batch.column("text")):
-                for i, own in enumerate(shingle_sets(part), part.first):
-                    if keys[i] != cell:
-                        cell, names, sets, done, tokens = keys[i], [], [], set(), None
-                    if kinds[i] == 0:
-                        names.append(nodes[i])
-                        sets.append(own)
-                        continue
-                    if tokens is None:
-                        tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                        sizes = np.array([len(x) for x in sets])
-                        owner = np.repeat(np.arange(len(sets)), sizes)
-                    if len(done) == len(names):
-                        continue
-                    at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
-                    common = np.bincount(owner[own[at] == tokens], minlength=len(sets))
-                    for k in np.flatnonzero(100 * common >= PERCENT * (sizes + len(own) - common)):
-                        if k not in done and names[k] != nodes[i]:
-                            done.add(k)
-                            found.append((names[k], nodes[i]))
+            for i in range(batch.num_rows):
+                if keys[i] != cell:
+                    cell, names, of, sets, block, parent = keys[i], [], [], [], None, {}
+                own = np.array(values[ends[i] : ends[i + 1]])
+                if kinds[i] == 0:
+                    names.append(nodes[i])
+                    of.append(parts[i])
+                    sets.append(own)
+                    continue
+                if block is None:
+                    # the queries' tokens, and which query has which
+                    flat = np.concatenate([*sets, np.zeros(0, np.int64)])
+                    order = np.argsort(flat, kind="stable")
+                    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+                    known, first = np.unique(flat[order], return_index=True)
+                    block = known, np.append(first, len(flat)), owner, np.array([len(x) for x in sets])
+                known, first, owner, sizes = block
+                if not len(known):
+                    continue
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                at = at[known[at] == own]
+                times = first[at + 1] - first[at]
+                hits = owner[np.repeat(first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+                common = np.bincount(hits, minlength=len(sizes))
+                for k in np.flatnonzero(100 * common >= PERCENT * (sizes + len(own) - common)):
+                    a, b = _root(parent, of[k]), _root(parent, parts[i])
+                    if a != b:
+                        parent[a] = b
+                        found.append((names[k], nodes[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _alike(n: str, m: str):
-    """Sizes that can reach the similarity."""
-    return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
+def _root(parent: dict, x):
+    while x in parent:
+        x = parent[x]
+    return x
 
 
-def _regroup(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """groups(node, group) after edges(a, b) between nodes join their groups."""
-    of = lambda c: groups.select(F.col("node").alias(c), F.col("group").alias(f"g{c}"))
-    links = edges.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where("ga != gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-    merged = components(links).select(F.col("node").alias("group"), F.col("group").alias("into"))
-    return stored(groups.join(merged.hint("merge"), "group", "left").select("node", F.coalesce("into", "group").alias("group")), "groups")
+def _joined(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members(node, group, part) after edges(a, b) between nodes join their parts."""
+    of = lambda c: members.select(F.col("node").alias(c), F.col("part").alias(f"p{c}"))
+    links = edges.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where("pa != pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    merged = components(links).select(F.col("node").alias("part"), F.col("group").alias("into"))
+    return stored(members.join(merged.hint("merge"), "part", "left").select("node", "group", F.coalesce("into", "part").alias("part")), "members")
 
 
-def _full_sets(texts: DataFrame) -> DataFrame:
-    """Distinct node, n, token of every shingle of texts(node, n, text)."""
+def join(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, part and the columns named in `keep` of every row of docs(doc_id, text).
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch.column("text")):
-                sets = shingle_sets(part)
-                times = [len(x) for x in sets]
-                own = [np.repeat(batch.column(c).slice(part.first, part.n).to_numpy(), times) for c in ("node", "n")]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(as_signed(np.concatenate(sets)))], ["node", "n", "token"])
-
-    return texts.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, token bigint").distinct()
-
-
-def _matrix(tokens: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The token-group matrix (group, token) of tokens(node, token), and how many groups hold each token."""
-    matrix = stored(tokens.join(groups.hint("merge"), "node").select("group", "token").distinct(), "matrix")
-    return matrix, stored(matrix.groupBy("token").agg(F.count("*").alias("spread")).where("spread > 1"), "spread")
-
-
-def _probes(tokens: DataFrame, texts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sketch matrix, and probes(node, n, token, spread): tokens such that any two nodes that link share one.
-
-    A node whose sketch has fewer common tokens (in more than COMMON groups) than two
-    linking sketches must share finds all its links over the others.  A node with more of
-    them is looked up with its full set; if that is common to 80 % or more, it meets
-    nodes of its own kind over its rarest tokens (exact prefix filter).
+    part tells components apart even where no row has an id; it is null for empty sets.
     """
-    matrix, spread = _matrix(tokens, groups)
-    sketch_matrix = matrix
-    full, heavy = None, None
-    while True:
-        seen = tokens.join(spread.hint("merge"), "token")
-        crowded = seen.where(F.col("spread") > COMMON).groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= _need() / 2)
-        if heavy is not None:
-            crowded = crowded.where(F.col("k") >= _need()).join(heavy, "node", "left_anti")
-        crowded = stored(crowded.select("node"), "crowded")
-        if crowded.isEmpty():
-            break
-        more = _full_sets(texts.join(crowded.hint("merge"), "node", "left_semi"))
-        full = stored(more if full is None else full.unionByName(more), "full-sets")
-        heavy = crowded if heavy is None else heavy.unionByName(crowded)
-        matrix, spread = _matrix(tokens.select("node", "token").unionByName(full.select("node", "token")), groups)
-    probes = seen.where(F.col("spread") <= COMMON)
-    if full is None:
-        return sketch_matrix, probes
-    held = full.join(spread.hint("merge"), "token", "left").withColumn("spread", F.coalesce("spread", F.lit(1)))
-    probes = probes.select("node", "n", "token", "spread").unionByName(held.where((F.col("spread") <= COMMON) & (F.col("spread") > 1)).select("node", "n", "token", "spread")).distinct()
-    common = held.groupBy("node").agg(F.count_if(F.col("spread") > COMMON).alias("k"))
-    rest = held.join(common.hint("merge"), "node").where(F.col("k") * 100 >= F.col("n") * PERCENT)
-    place = F.row_number().over(Window.partitionBy("node").orderBy("spread", "token"))
-    rest = rest.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-    # tokens of this kind are told from the others by their sign: they meet each other only
-    return sketch_matrix, probes.unionByName(rest.select("node", "n", (-F.col("token") - 1).alias("token"), "spread"))
-
-
-def _need():
-    """Tokens that the sketch of a node of n shingles shares with any sketch it links with."""
-    return F.when(F.col("n") * 100 <= SKETCH * PERCENT, F.ceil(F.col("n") * PERCENT / 100)).otherwise(LEAST_COMMON)
-
-
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
-    wide = stored(sketches(docs), "sketches")
-    nodes = wide.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = stored(nodes, "nodes")
+    bounded(docs.sparkSession)
+    wide = stored(sketches(docs, keep), "sketches")
+    few = _candidates(wide)
     rows = stored(wide.drop("sketch"), "rows")
     drop(wide)
-    # a token of one node links nothing, nor does a node with fewer tokens in common with others than a link needs
-    all_tokens = nodes.select("node", F.explode("sketch").alias("token"))
-    common = all_tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    shared = stored(all_tokens.join(common.hint("merge"), "token"), "shared")
-    slim = nodes.select("node", "n", "copies")
-    active = shared.groupBy("node").agg(F.count("*").alias("k")).join(slim.hint("merge"), "node").where(F.col("k") >= _need()).drop("k")
-    tokens = stored(shared.join(active.hint("merge"), "node").select("node", "n", "copies", "token"), "tokens")
-
-    # 1. groups: of a token the leader is the node with most copies, then by a hash; of a node the leader it shares most tokens with
-    order = F.struct((-F.col("copies")).alias("c"), F.xxhash64("node").alias("h"), F.col("node").alias("leader"), F.col("n").alias("m"))
-    leaders = tokens.groupBy("token").agg(F.min(order).alias("o"), F.count("*").alias("k")).where("k > 1").select("token", "o.leader", "o.m")
-    met = tokens.join(leaders.hint("merge"), "token").where("node != leader").where(_alike("n", "m")).groupBy("node", "leader").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    best = met.groupBy("node").agg(F.max(F.struct("k", "leader")).alias("o"), F.first("n").alias("n"))
-    star = stored(best.where(F.col("o.k") >= F.least(F.lit(SKETCH // 8), F.ceil(F.col("n") / 2))).select(F.col("node").alias("a"), F.col("o.leader").alias("b")), "star")
-
-    # whole texts of the nodes that may link
-    first = nodes.select("node", "doc_id").join(tokens.select("node").distinct().hint("merge"), "node", "left_semi")
-    # an id may belong to several texts, so the text's own node decides
-    ids = stored(first.select("doc_id").distinct(), "ids")  # its size is known, so Spark may choose how to join
-    texts = sketches(docs.join(ids, "doc_id", "left_semi").select(F.struct("doc_id", "text").alias("doc_id"), "text"))
-    texts = texts.select("node", F.col("n_shingles").alias("n"), "doc_id.text").join(first.select("node").hint("merge"), "node", "left_semi")
-    texts = stored(texts, "texts")  # a node with several rows of that id stands in it several times
-    links = stored(verified(star, texts), "star-links")
-    groups = stored(tokens.select("node").distinct().join(components(links).hint("merge"), "node", "left").select("node", F.coalesce("group", "node").alias("group")), "groups")
-
-    # 2. which groups a node meets over a probe, and whether their union can hold enough of its sketch
-    matrix, probes = _probes(tokens, texts, groups)
-    sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("members")).hint("merge"), "group")
-    probes = stored(probes.join(sized.hint("merge"), "node").select("node", "n", "group", "members", "token"), "probes")
-    target = probes.groupBy("group", "members", "token").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("o"))
-    target = target.select(F.col("group").alias("other"), F.col("members").alias("others"), "token", F.col("o.node").alias("b"))
-    # a query meets only larger groups, since links are seen from both ends
-    met = probes.join(target.hint("merge"), "token").where("others > members OR (others = members AND other > group)")
-    met = stored(met.select("node", "n", "other", "others", "b").distinct(), "met")
-    # the union of a group of one is its sketch, which the pair itself is held against below
-    alone = met.where("others = 1").select(F.col("node").alias("a"), "b")
-    query = met.where("others > 1").select("node", "n", "other").distinct()
-    bound = query.join(tokens.select("node", "token").hint("merge"), "node").join(matrix.select(F.col("group").alias("other"), "token").hint("merge"), ["other", "token"])
-    bound = stored(bound.groupBy("node", "other").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= _need()).select("node", "other"), "open")
-
-    # 3. open the groups: one member a token, then every member
-    one = met.join(bound.hint("merge"), ["node", "other"]).select(F.col("node").alias("a"), "b").unionByName(alone)
-    tried = _plausible(one.join(star.hint("merge"), ["a", "b"], "left_anti"), nodes)
-    joined = _regroup(groups, stored(verified(tried, texts), "links"))
-    now = lambda c: joined.select(F.col("node").alias(c), F.col("group").alias(f"now_{c}"))
-    # a group's name is one of its nodes; a group of one member has been opened whole
-    apart = bound.join(now("node").hint("merge"), "node").join(now("other").hint("merge"), "other").where("now_node != now_other").select("node", "other")
-    large = sized.where("members > 1").select("node", F.col("group").alias("other"))
-    apart = stored(apart.join(large.select("other").distinct().hint("merge"), "other", "left_semi"), "apart")
-    # what is left must reach the bound with whole sets against the union of whole sets
-    asked = _full_sets(texts.join(apart.select("node").distinct().hint("merge"), "node", "left_semi"))
-    inside = large.join(apart.select("other").distinct().hint("merge"), "other", "left_semi")
-    union = _full_sets(texts.join(inside.hint("merge"), "node", "left_semi")).join(inside.hint("merge"), "node").select("other", "token").distinct()
-    reach = apart.join(asked.hint("merge"), "node").join(union.hint("merge"), ["other", "token"]).groupBy("node", "other").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    apart = stored(reach.where(F.col("k") * 100 >= F.col("n") * PERCENT).select("node", "other"), "reach")
-    groups = _regroup(joined, stored(_opened(apart, large, texts), "links"))
-
-    named = nodes.select("node", "doc_id").join(groups.hint("merge"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    smallest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.select("node", "group").join(smallest.hint("merge"), "group").select("node", "component_id")
-    return rows.join(of_node.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) whose sizes and sketches allow a link."""
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    # sizes first: sketches are wide
-    small = lambda c: of(c).drop(f"s{c}").hint("merge")
-    pairs = stored(pairs.distinct().join(small("a"), "a").join(small("b"), "b").where(_alike("na", "nb")), "alike")
-    pairs = pairs.join(of("a").drop("na").hint("merge"), "a").join(of("b").drop("nb").hint("merge"), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    need = F.when(F.greatest("na", "nb") <= SKETCH, F.ceil(F.greatest("na", "nb") * PERCENT / 100)).otherwise(LEAST_COMMON)
-    return stored(pairs.where(both >= need).select("a", "b"), "plausible")
+    # an id may belong to several texts, so the text's own node decides; its size is known, so Spark may choose how to join
+    ids = stored(few.select(F.col("doc_id").alias("id")).distinct(), "ids")
+    sets = _sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")).dropDuplicates(["node"])
+    sets = stored(sets.join(few.select("node", "n", "copies").hint("merge"), "node"), "sets")
+    held = _pruned(sets)
+    groups, links = _grouped(held)
+    members = _joined(groups.withColumn("part", F.col("node")), links)
+    members = _joined(members, stored(_opened(_asked(held, members), members, sets), "links"))
+
+    # the smallest id of a part, and of a node outside
+    ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    named = ids.join(members.select("node", "part").hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    smallest = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    of_node = named.select("node", "part").join(smallest.hint("merge"), "part").select("node", "part", "component_id")
+    found = rows.join(of_node.hint("merge"), "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "part", *(f"`{c}`" for c in keep))
