@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next stage's docs.  All stages but the last return the columns of
-documents.  Rows are told apart by doc_id; a doc_id that stands in several rows is judged
-as one document by the second and third stage.
+documents.
+
+Defined cases: a row is told by its id (a missing one too) and its text, so texts under one
+id are judged each; of rows that repeat both, one stays in the second stage.  Null and empty
+texts fail the base rules, so they go in the first stage; given to a later one, they link
+with nothing, hold no benchmark window, are never taken by the mix, and get a shard.  Very
+long texts are read whole; empty tables give empty results; further columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -12,36 +18,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textassay.llm import decontaminate, jaccard, mixing, quality, sharding
-from textassay.llm.io import stored, table
-
-MARK = "_stage_"
-
+from textassay.llm.io import free, stored, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or are judged poor."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, prefix=MARK).where(f"{MARK}kept").select(docs.columns)
+    kept = free("kept", docs.columns)
+    return quality.score(docs, model).where(f"`{kept}`").select(*_own(docs))
+
+
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _key(docs: DataFrame) -> list:
+    """What tells a row: its id and a hash of its text, neither of them null."""
+    return [F.coalesce(F.hex(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit("-")).alias("_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_text")]
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key stands in gone(_id, _text)."""
+    named = dict(zip(("_id", "_text"), _key(docs), strict=True))
+    return docs.join(gone, (named["_id"] == gone["_id"]) & (named["_text"] == gone["_text"]), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-copies the document with the smallest id."""
-    found = jaccard.join(docs.select("doc_id", "text"))
-    # written out, so that the join below knows its true size
-    gone = stored(found.where("component_id < doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.select("doc_id", "text", *_key(docs))
+    found = jaccard.join(keyed, keep=("_id", "_text"))
+    # a part is a component, or a set without words, which is alone
+    rows = found.groupBy("_id", "_text").agg(F.min("doc_id").alias("doc_id"), F.min("part").alias("part"), F.count("*").alias("rows"))
+    rows = stored(rows, "rows")
+    first = rows.where("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_id", "_text")).alias("o"))
+    first = first.select("part", F.col("o._id").alias("kept_id"), F.col("o._text").alias("kept_text"))
+    # written out, so that the joins below know their true sizes
+    gone = rows.join(first.hint("merge"), "part").where("_id != kept_id OR _text != kept_text").select("_id", "_text")
+    left = _without(docs, stored(gone, "copies"))
+    again = stored(rows.where("rows > 1").select("_id", "_text"), "repeats")
+    if again.isEmpty():
+        return left.select(*_own(docs))
+    # of repeated rows the smallest stays
+    named = dict(zip(("_id", "_text"), _key(docs), strict=True))
+    own = F.struct(*_own(docs)).alias("own")
+    repeats = left.select(own, *named.values()).join(again, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min("own").alias("own"))
+    return _without(left, again).select(*_own(docs)).unionByName(repeats.select("own.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    gone = stored(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    key = F.struct(*_key(docs)).alias("doc_id")
+    found = decontaminate.contamination(docs.select(key, "text"), table(spark, sf_dir, "benchmark"))
+    gone = stored(found.where("contaminated").select("doc_id.*").distinct(), "contaminated")
+    return _without(docs, gone).select(*_own(docs))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources come near their target weights."""
     mixed = mixing.mix(docs, F.array("source"), carry=tuple(docs.columns))
-    copies = mixed.where("passes > 0").select("carry", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))).alias("_copy"))
+    copies = mixed.where("passes > 0").select("carry", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
     return copies.select(*(F.col(f"carry.`{c}`") for c in docs.columns))
 
 

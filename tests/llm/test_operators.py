@@ -120,7 +120,7 @@ def brute_leaders(rows):
             alike = [r for r in rows if r[0] == seed and r[1] >> 64 - bits == key >> 64 - bits]
             least = min(r[2] for r in alike)
             if least != node:
-                link = (node, least, pos, next(r[3] for r in alike if r[2] == least), 1 + (level > 0))
+                link = (node, least, pos, next(r[3] for r in alike if r[2] == least), min(1 + level, 3))
         out += [link] if link else []
     return sorted(out)
 

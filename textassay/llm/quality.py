@@ -1,16 +1,20 @@
 """Quality rules: base counts, and a calibrated logistic regression over hashed n-grams.
 
-Features of a text are its word 1- and 2-grams and byte 3- and 5-grams, hashed into
-2**18 buckets and divided by their number in each family, so a score is a bias plus
-the mean weight over each family: two gathers and a running sum per byte, whole texts
-only.  The classifier is fitted on at most ``sample_rows`` labelled documents, chosen
-by a hash of their id in equal shares of both classes; Platt scaling on a held-out
+Features of a text are its word 1- and 2-grams and its 3- and 5-grams of code points,
+hashed into 2**18 buckets and divided by their number in each family, so a score is a
+bias plus the mean weight over each family: two gathers and a running sum per character,
+whole texts only.  The classifier is fitted on at most ``sample_rows`` labelled documents,
+chosen by a hash of their id in equal shares of both classes; Platt scaling on a held-out
 fifth, re-weighted to the class shares of *all* labels, turns scores into
 probabilities, which fixed thresholds judge.
 
 Defined cases: a null text has no words and fails the base rules; an empty table gives
 an empty result; without labels of both classes the probability is the share of good
-labels (1.0 without any), so only the base rules reject; repeated rows are scored each.
+labels (1.0 without any), so only the base rules reject; repeated rows are scored each,
+and of several labels of an id the mean decides, a tie being good; of several texts under
+a labelled id the smallest is learned from; very long texts are read whole, each as one
+slice (a learned text has at most one entry a bucket); a further column of docs with the
+name of a new one stays as it is, and the new one gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -21,12 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from textassay.llm.io import bounded, free
 from textassay.llm.textops import SPACE_WORDS, Slice, mix64, segment_sums, slices
 
 BUCKET_BITS = 18
 #: Documented bound of the classifier's sample: rows, half of each class.
 SAMPLE_ROWS = 4000
+#: Entries of the fitting matrix that are multiplied at once.
+BLOCK_ENTRIES = 1 << 20
 KEEP_FROM = 0.5
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -56,7 +64,7 @@ def _families(part: Slice, words):
     if len(words.hash):
         pairs = mix64(words.hash[:-1] * np.uint64(3) + words.hash[1:] + salt(1))
         yield (pairs >> _SHIFT).astype(np.int64), words.rows[:-1], np.maximum(words.rows[:-1], words.rows[1:] - 1)
-    data = part.data.astype(np.uint32)
+    data, bounds = _characters(part)
     for width in (3, 5):
         n = len(data) - width + 1
         if n <= 0:
@@ -66,8 +74,23 @@ def _families(part: Slice, words):
             gram = (gram ^ (data[k : k + n] * _MULTIPLIERS[k])) * np.uint32(0x01000193)
         gram ^= gram >> np.uint32(15)
         gram *= np.uint32(0x2C1B3C6D)
-        first = np.minimum(part.bounds[:-1], n)
-        yield (gram >> _SHIFT32).astype(np.int64), first, np.maximum(first, np.minimum(part.bounds[1:] - width + 1, n))
+        first = np.minimum(bounds[:-1], n)
+        yield (gram >> _SHIFT32).astype(np.int64), first, np.maximum(first, np.minimum(bounds[1:] - width + 1, n))
+
+
+def _characters(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a slice (their UTF-8 bytes as one number), and where each row begins and ends."""
+    data = part.data.astype(np.uint32)
+    more = (part.data & 0xC0) == 0x80
+    if not more.any():
+        return data, part.bounds
+    at = np.flatnonzero(~more)
+    codes, open_ = data[at], np.ones(len(at), bool)
+    for k in range(1, 4):
+        open_ &= at + k < len(data)
+        open_[open_] = more[at[open_] + k]
+        codes[open_] = codes[open_] << np.uint32(8) | data[at[open_] + k]
+    return codes, np.searchsorted(at, part.bounds)
 
 
 def raw_scores(part: Slice, words, model: Model) -> np.ndarray:
@@ -129,43 +152,77 @@ def base_counts(part: Slice, words) -> dict[str, np.ndarray]:
 
 
 def _featurise(batches):
+    """(good, buckets, values) of each row; a bucket's value is summed over the families."""
     for batch in batches:
-        ids, good = batch.column(0), batch.column(1)
+        good = batch.column(1)
         for part in slices(batch.column(2)):
-            words = part.words(SPACE_WORDS)
-            keys: list[list[np.ndarray]] = [[] for _ in range(part.n)]
-            for buckets, first, last in _families(part, words):
-                for i in range(part.n):
-                    got, n = np.unique(buckets[first[i] : last[i]], return_counts=True)
-                    keys[i].append(np.stack([got, n / max(1, last[i] - first[i])]))
+            found = list(_families(part, part.words(SPACE_WORDS)))
             for i in range(part.n):
-                if keys[i]:
-                    both = np.concatenate(keys[i], axis=1)
-                    yield ids[part.first + i].as_py(), good[part.first + i].as_py(), both[0].astype(np.int32), both[1].astype(np.float32)
-
-
-def _fit(rows, share_good: float) -> Model:
-    """Full-batch Adam on the sparse rows, then Platt scaling on the held-out fifth."""
-    rows = sorted(rows, key=lambda r: (mix64(np.array([r[0] or 0], np.int64).view(np.uint64))[0], r[0] or 0))
-    y = np.array([r[1] for r in rows], np.float64)
-    index = np.concatenate([r[2] for r in rows])
-    value = np.concatenate([r[3] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    held = np.arange(len(rows)) % 5 == 4
+                own = [buckets[first[i] : last[i]] for buckets, first, last in found]
+                share = [np.full(len(b), 1 / max(1, len(b)), np.float32) for b in own]
+                got, at = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]), return_inverse=True)
+                yield good[part.first + i].as_py(), got.astype(np.int32), np.bincount(at, np.concatenate([*share, np.zeros(0, np.float32)]), len(got)).astype(np.float32)
+
+
+class _Sparse:
+    """Rows of (bucket, value), kept once; products go by blocks of rows, so their working memory is bounded."""
+
+    def __init__(self, rows):
+        good, sizes, index, value = [], [0], np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.float32)
+        for y, buckets, values in rows:
+            n = sizes[-1] + len(buckets)
+            while n > len(index):
+                index.resize(2 * len(index), refcheck=False)
+                value.resize(2 * len(value), refcheck=False)
+            index[sizes[-1] : n], value[sizes[-1] : n] = buckets, values
+            good.append(y)
+            sizes.append(n)
+        self.good, self.ends = np.array(good, np.float64), np.array(sizes)
+        self.index, self.value = index[: sizes[-1]], value[: sizes[-1]]
+        self.blocks, first = [], 0
+        while first < len(good):
+            last = max(first + 1, int(np.searchsorted(self.ends, self.ends[first] + BLOCK_ENTRIES, side="right")) - 1)
+            self.blocks.append((first, min(last, len(good))))
+            first = self.blocks[-1][1]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """One sum of value * w[bucket] a row."""
+        out = np.zeros(len(self.good))
+        for a, z in self.blocks:
+            o = np.s_[self.ends[a] : self.ends[z]]
+            out[a:z] = segment_sums(self.value[o] * w[self.index[o]], self.ends[a : z + 1] - self.ends[a])
+        return out
+
+    def spread(self, error: np.ndarray, n: int) -> np.ndarray:
+        """One sum of value * error[row] a bucket."""
+        out = np.zeros(n)
+        for a, z in self.blocks:
+            o = np.s_[self.ends[a] : self.ends[z]]
+            out += np.bincount(self.index[o], self.value[o] * np.repeat(error[a:z], np.diff(self.ends[a : z + 1])), n)
+        return out
+
+
+def _fit(rows, share_good: float) -> Model | None:
+    """Full-batch Adam on the sparse rows, then Platt scaling on the held-out fifth; None without both classes."""
+    x = _Sparse(rows)
+    y = x.good
+    if len(set(y)) != 2:
+        return None
+    held = np.arange(len(y)) % 5 == 4
     train = ~held
     class_weight = np.where(y > 0, 0.5 / max(1, (y[train] > 0).sum()), 0.5 / max(1, (y[train] == 0).sum()))
     w, b = np.zeros(1 << BUCKET_BITS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, 61):
-        z = np.bincount(owner, weights=value * w[index], minlength=len(rows)) + b
+        z = x.times(w) + b
         error = np.where(train, (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * class_weight, 0)
-        g = np.bincount(index, weights=value * error[owner], minlength=len(w)) + 1e-7 * w
+        g = x.spread(error, len(w)) + 1e-7 * w
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= 0.4 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         b -= 0.02 * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-7)
-    z = np.bincount(owner, weights=value * w[index], minlength=len(rows)) + b
+    z = x.times(w) + b
     use = held if len(set(y[held])) == 2 else train
     zs, ys = z[use], y[use]
     sample_weight = np.where(ys > 0, share_good / max(1, (ys > 0).sum()), (1 - share_good) / max(1, (ys == 0).sum()))
@@ -201,11 +258,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # at most sample_rows ids, so the hint is bounded
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked.select("doc_id", "good")), "doc_id")
     sample = sample.groupBy("doc_id").agg(F.first("good").alias("good"), F.min("text").alias("text")).select("doc_id", "good", "text").coalesce(1)
+    sample = sample.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
 
     def fit(batches):
-        rows = list(_featurise(batches))
-        if len({r[1] for r in rows}) == 2:
-            model = _fit(rows, share)
+        model = _fit(_featurise(batches), share)
+        if model is not None:
             yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset]})
 
     # the fitted model is one row of 1 MB whatever the input
@@ -219,11 +276,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def score(docs: DataFrame, model: Model, threshold: float = KEEP_FROM, prefix: str = "") -> DataFrame:
     """Every row of `docs` (needs column text) with the base counts, quality probability and verdict.
 
-    The new columns are named with `prefix`; a name that docs already has is an error of the caller.
+    The new columns are named with `prefix`, and a trailing underscore where docs has such a name.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{prefix}{n}` bigint" for n in names), f"`{prefix}base_failed` boolean, `{prefix}kept` boolean, `{prefix}p_good` double"])
+    named = {n: free(prefix + n, docs.columns) for n in [*names, "base_failed", "kept", "p_good"]}
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.BooleanType() if k in ("base_failed", "kept") else T.DoubleType() if k == "p_good" else T.LongType()) for k, n in named.items())])
     at = docs.columns.index("text")
 
     def run(batches):
@@ -236,6 +295,6 @@ def score(docs: DataFrame, model: Model, threshold: float = KEEP_FROM, prefix: s
                 p = model.probability(raw_scores(part, words, model))
                 rows = batch.slice(part.first, part.n)
                 columns = [*rows.columns, *(pa.array(counts[n]) for n in names), pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(prefix + n for n in names), prefix + "base_failed", prefix + "kept", prefix + "p_good"])
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *named.values()])
 
     return docs.mapInArrow(run, schema)
