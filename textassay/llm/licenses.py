@@ -4,12 +4,14 @@ Templates are word sequences; one automaton recognises every run of words of any
 template.  A file is streamed through it and yields matching statistics: at each word
 the length of the longest run that ends there and occurs in a template.  Maximal runs
 of MIN_RUN words or more become (file, template) matches, which are chained in order
-along each template; the share of a template's words that the best chain covers is
+along each template over gaps of GAP_MOST words at most; the share of a template's words that the best chain covers is
 its score.  Words of most texts occur in no template run, so only stretches whose
 adjacent word pairs all occur in a template are walked.
 
 Defined cases: null and empty texts have no words, no labels and score 0; texts are
-scanned whole; repeated rows are scanned each; equal chains prefer the earlier one.
+scanned whole, very long ones too, in slices of rows; repeated rows are scanned each; equal
+chains prefer the earlier one; further columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from textassay.llm.textops import ALNUM_WORDS, hash_words, slices
 MIN_RUN = 4
 #: Share of a template that must be covered for its label.
 COVERED = 0.6
+#: Words, of the file or of the template, that may stand between two runs of a span.
+GAP_MOST = 40
 
 # Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -33,6 +37,7 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 # Public licence notices.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("mit", "Released under the MIT License."),
     ("mit", "This project is licensed under the terms of the MIT license."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -42,7 +47,11 @@ TEMPLATES = (
     ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
 )
 
@@ -173,13 +182,16 @@ class Scanner:
         out = []
         for template in sorted({m[2] for m in matches}):
             own = sorted(m for m in matches if m[2] == template)
+            longest = max(m[1] for m in own)
             best: list[tuple[int, int]] = []  # covered words, first word of the chain
             for i, (f, n, _, t) in enumerate(own):
                 score = (n, f)
-                for j in range(i - 1, max(-1, i - 64), -1):  # nearest matches first; a template is short
+                for j in range(i - 1, -1, -1):
                     g, m, _, u = own[j]
+                    if f - g > GAP_MOST + longest:
+                        break  # what begins earlier ends too far away
                     gain = n - max(0, g + m - f, u + m - t)  # overlaps count once
-                    if g < f and u < t and gain > 0 and t - u - m <= 40 and f - g - m <= 40 and best[j][0] + gain > score[0]:
+                    if g < f and u < t and gain > 0 and t - u - m <= GAP_MOST and f - g - m <= GAP_MOST and best[j][0] + gain > score[0]:
                         score = (best[j][0] + gain, best[j][1])
                 best.append(score)
             k = max(range(len(own)), key=lambda i: (best[i][0], -i))

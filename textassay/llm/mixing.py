@@ -9,7 +9,9 @@ from sums per hash bucket; only the bucket that holds the cut is looked at row b
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of
 its own, last in order; repeated rows are rows of their own; an empty table gives an
-empty result; reruns give the same rows, since order depends on doc_id and text only.
+empty result; reruns give the same rows, since order depends on doc_id and text only; ties
+of sizes go by that order; very long texts are counted whole; further columns pass through
+`carry` whatever their names; more than MAX_PATTERNS patterns are an error.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ PASS_COSTS = (0, 1, 3)
 #: A bucket this small is cut row by row inside one task.
 CUT_ROWS = 1024
 LEVEL_BITS = 8
-MAX_PATTERNS = 100_000
+#: The patterns and their sums are held on the driver; this many take about 1 GB.
+MAX_PATTERNS = 1_000_000
 
 
 def targets(sizes: dict[str | None, int], total: int, weights: tuple[int, ...] = (1, 2, 3), most: int = MAX_PASSES) -> dict[str | None, float]:
@@ -51,8 +54,14 @@ def targets(sizes: dict[str | None, int], total: int, weights: tuple[int, ...] =
 def min_cost_flow(patterns: dict[str, tuple[list[str | None], int]], quotas: dict[str | None, int]) -> dict[str, dict[str | None, int]]:
     """Words that each pattern gives to each source: quotas met as far as possible, at the least repetition cost.
 
-    Successive shortest paths with potentials over patterns + sources + 2 nodes.
+    A source that shares no pattern with another is met by its own words.  For the others the flow
+    grows by one round a price of repetition (potentials from shortest ways, then blocking flows).
     """
+    apart = {members[0] for members, _ in patterns.values() if len(members) == 1}
+    apart -= {s for members, _ in patterns.values() if len(members) > 1 for s in members}
+    alone = {p: {members[0]: min(quotas[members[0]], MAX_PASSES * words)} for p, (members, words) in patterns.items() if len(members) == 1 and members[0] in apart}
+    patterns = {p: v for p, v in patterns.items() if p not in alone}
+    quotas = {s: q for s, q in quotas.items() if s not in apart}
     names = ["", *patterns, *(("source", s) for s in quotas), "end"]
     index = {n: k for k, n in enumerate(names)}
     edges: list[list] = []  # to, capacity, cost; edge k ^ 1 is the reverse
@@ -72,8 +81,8 @@ def min_cost_flow(patterns: dict[str, tuple[list[str | None], int]], quotas: dic
         edge(("source", s), "end", q, 0)
     potential = [0] * len(names)
     while True:
-        dist, via = [math.inf] * len(names), [-1] * len(names)
-        dist[0], heap = 0, [(0, 0)]
+        dist, heap = [math.inf] * len(names), [(0, 0)]
+        dist[0] = 0
         while heap:
             d, x = heapq.heappop(heap)
             if d > dist[x]:
@@ -81,23 +90,55 @@ def min_cost_flow(patterns: dict[str, tuple[list[str | None], int]], quotas: dic
             for k in at[x]:
                 y, capacity, cost = edges[k]
                 if capacity and (e := d + cost + potential[x] - potential[y]) < dist[y]:
-                    dist[y], via[y] = e, k
+                    dist[y] = e
                     heapq.heappush(heap, (e, y))
         if math.isinf(dist[-1]):
             break
-        potential = [p + (d if d < math.inf else 0) for p, d in zip(potential, dist, strict=True)]
-        path, x = [], len(names) - 1
-        while x:
-            path.append(via[x])
-            x = edges[via[x] ^ 1][0]
-        amount = min(edges[k][1] for k in path)
-        for k in path:
-            edges[k][1] -= amount
-            edges[k ^ 1][1] += amount
+        potential = [p + min(d, dist[-1]) for p, d in zip(potential, dist, strict=True)]
+        while _push(edges, at, potential):
+            pass
     flow: dict[str, dict[str | None, int]] = {}
     for p in patterns:
         flow[p] = {names[edges[k][0]][1]: edges[k ^ 1][1] for k in at[index[p]] if k % 2 == 0}
-    return flow
+    return flow | alone
+
+
+def _push(edges: list[list], at: list[list[int]], potential: list[int]) -> int:
+    """Words sent along shortest ways of no reduced cost until every such way is blocked."""
+    end = len(at) - 1
+    level, queue = {0: 0}, [0]
+    for x in queue:
+        for k in at[x]:
+            y, capacity, cost = edges[k]
+            if capacity and y not in level and cost + potential[x] == potential[y]:
+                level[y] = level[x] + 1
+                queue.append(y)
+    if end not in level:
+        return 0
+    turn, path, total, x = [0] * len(at), [], 0, 0
+    while True:
+        if x == end:
+            amount = min(edges[k][1] for k in path)
+            for k in path:
+                edges[k][1] -= amount
+                edges[k ^ 1][1] += amount
+            total += amount
+            full = next(i for i, k in enumerate(path) if not edges[k][1])
+            x = edges[path[full] ^ 1][0]
+            del path[full:]
+        elif turn[x] < len(at[x]):
+            k = at[x][turn[x]]
+            y, capacity, cost = edges[k]
+            if capacity and level.get(y) == level[x] + 1 and cost + potential[x] == potential[y]:
+                path.append(k)
+                x = y
+            else:
+                turn[x] += 1
+        elif path:
+            x = edges[path.pop() ^ 1][0]
+            turn[x] += 1
+        else:
+            return total
 
 
 def whole_quotas(wanted: dict[str | None, float]) -> dict[str | None, int]:

@@ -2,14 +2,18 @@
 
 A page is read once as tags and text.  Raw-text elements, comments and the head are
 skipped; containers that by name, role, class or id are menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments yield no blocks.  The first pass
-judges each block by stop-word density, length and link density; inside <article> or
-<main> only link density speaks against a block.  In the second pass undecided short
-blocks take the label of their nearest decided neighbours on both sides.
+sidebars, notices, adverts, forms or reader comments yield no blocks, wherever they stand.
+A container with a doubtful class is overruled by the blocks: if it holds most of the
+page's readable text, it is the page.  The first pass judges each block by stop-word
+density, length and link density (inside <article> or <main> with more favour).  In the
+second pass undecided short blocks take the label of their nearest decided neighbours.
 
 Defined cases: null, empty and markup-only pages give an empty text; an unclosed
-element ends where a block that cannot be inside it begins, or with the page; broken
-markup is read as text from a '<' that opens no tag; repeated pages are read each.
+element ends where a block that cannot be inside it begins, or with the page, an unclosed
+menu at <article> or <main>; broken markup is read as text from a '<' that opens no tag;
+repeated pages are read each; a tie of neighbours goes to the one before; very long pages
+are read whole, one row at a time; further columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form menu dialog button head".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog menu menubar form alert".split())
+#: Words of a class or id that a container with most of the text may have.
+DOUBTFUL_WORDS = frozenset("sidebar side-bar header masthead banner search related social share sharing toolbar widget menu nav navigation notice notices alert overlay promo promotion sponsor sponsored form skip login register signup subscribe subscription breadcrumb breadcrumbs pagination pager footer".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
     "header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register comment comments comment-list respond replies disqus "
@@ -42,10 +48,13 @@ STOP_WORDS = frozenset(
     "el los las del y que en un una por con no su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy hasta desde".split()
 )
 
-_RAW = re.compile(rf"<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\s(?:hidden|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+# Frequent function characters of Chinese and Japanese.
+STOP_CHARACTERS = frozenset("的了是在不和有我他这中为们个也就要说到一のはをにがでともし")
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.2
@@ -53,35 +62,51 @@ LINK_MOST = 0.33
 GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+NO, MAYBE, YES = 0, 1, 2
+
+
+def _is_noise(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether a container holds no text of the page: by its name, role, hiding or class; MAYBE by a doubtful class."""
     if tag in NOISE_TAGS or (tag == "header" and not in_article):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return YES
+    if not attributes or tag in ("html", "body", "main"):
+        return NO
+    found = NO
     for name, *values in _ATTRIBUTE.findall(attributes):
-        words = "".join(values).lower().split()
-        if name.lower() == "role":
-            if NOISE_ROLES.intersection(words):
-                return True
-        elif any(w in NOISE_WORDS or not NOISE_WORDS.isdisjoint(re.split(r"[-_]+", w)) and not w.startswith(("has-", "with-", "no-")) for w in words):
-            return True
-    return bool(_HIDDEN.search(attributes))
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _NONE.search(value)):
+            return YES
+        if name == "role" and NOISE_ROLES.intersection(value.split()):
+            return YES
+        if name in ("class", "id"):
+            for word in value.split():
+                if word in NOISE_WORDS:
+                    parts = {word}
+                elif word.startswith(("has-", "with-", "no-")):
+                    continue
+                else:
+                    parts = NOISE_WORDS.intersection(re.split(r"[-_]+", word))
+                if parts:
+                    found = max(found, MAYBE if parts <= DOUBTFUL_WORDS else YES)
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, heading, inside the article) of each block outside noise containers."""
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, bool, bool, int]] = []
     text: list[str] = []
     linked = [0]
     skip: list[str] = []  # open noise element, and elements of the same name inside it
-    state = {"a": 0, "article": 0, "heading": False, "br": False}
+    doubt: list[tuple[str, int]] = []  # open doubtful container and its number, and elements of the same name inside it
+    state = {"a": 0, "article": 0, "heading": False, "br": False, "doubts": 0}
     page = _RAW.sub(" ", page)
+    low = page.lower()
 
     def end() -> None:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append((whole, linked[0], state["heading"], state["article"] > 0))
+                out.append((whole, linked[0], state["heading"], state["article"] > 0, doubt[0][1] if doubt else 0))
             text.clear()
         linked[0] = 0
 
@@ -100,13 +125,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         closing = bool(m[1] or m[4])
         attributes = m[3] or m[6] or ""
-        if tag in ("article", "main"):
-            end()
-            skip.clear()
-            state["article"] = max(0, state["article"] + (-1 if closing else 1))
-            continue
+        whole = tag in ("article", "main")
         if skip:
-            if tag == "body" or (skip[0] == "p" and tag in BLOCKS and not (tag == "p" and closing)):
+            if tag == "body" or (whole and not closing and f"</{skip[0]}" not in low[at:]) or (skip[0] == "p" and tag in BLOCKS and not (tag == "p" and closing)):
                 skip.clear()
             elif tag == skip[0]:
                 if closing:
@@ -116,7 +137,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 continue
             else:
                 continue
-        if not closing and tag not in VOID and _is_noise(tag, attributes, state["article"] > 0):
+        noise = NO if closing or tag in VOID else _is_noise(tag, attributes, state["article"] > 0)
+        if noise == YES:
             if tag in BLOCKS or tag == "button":
                 end()
             if not attributes.endswith("/"):
@@ -133,24 +155,50 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             state["br"] = True
         elif tag == "a":
             state["a"] = 0 if closing else 1
+        if whole:
+            state["article"] = max(0, state["article"] + (-1 if closing else 1))
+        if doubt and tag == "p" == doubt[0][0] and not closing:
+            doubt.clear()
+        if doubt and tag == doubt[0][0]:
+            if closing:
+                doubt.pop()
+            elif tag not in VOID:
+                doubt.append((tag, doubt[0][1]))
+        elif not doubt and noise == MAYBE:
+            end()
+            state["doubts"] += 1
+            doubt.append((tag, state["doubts"]))
     if at < len(page) and not skip:
         text.append(page[at:])
         if state["a"]:
             linked[0] += len(page[at:].strip())
     end()
-    return out
+    # a doubtful container with most of the readable text is none
+    readable: dict[int, int] = {}
+    for block, links, _, _, number in out:
+        if len(block) >= LENGTH_LOW and links <= LINK_MOST * len(block):
+            readable[number] = readable.get(number, 0) + len(block)
+    return [b[:4] for b in out if not b[4] or 2 * readable.get(b[4], 0) > sum(readable.values())]
+
+
+def _stop_density(text: str) -> float:
+    """Share of function words; in text without spaces between words, four times that of function characters."""
+    wide = len(_WIDE.findall(text))
+    if 3 * wide > len(text):
+        return 4 * sum(c in STOP_CHARACTERS for c in text) / len(text)
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()*#$%&") in STOP_WORDS for w in words) / len(words)
 
 
 def _first_pass(text: str, linked: int, heading: bool, in_article: bool) -> str:
     density = linked / len(text)
-    if in_article:
-        return GOOD if density <= 0.5 else BAD
-    if density > LINK_MOST or "©" in text:
+    if density > (0.5 if in_article else LINK_MOST) or ("©" in text and not in_article):
         return BAD
     if len(text) < LENGTH_LOW:
-        return SHORT if linked == 0 else BAD
-    words = text.lower().split()
-    stop = sum(w.strip(".,;:!?\"'()*#$%&") in STOP_WORDS for w in words) / len(words)
+        return SHORT if linked == 0 or in_article else BAD
+    stop = _stop_density(text)
+    if in_article:
+        return GOOD if stop >= STOP_LOW else NEAR
     if stop >= STOP_HIGH:
         return GOOD if len(text) > LENGTH_HIGH else NEAR
     return NEAR if stop >= STOP_LOW else BAD
@@ -180,7 +228,10 @@ def main_text(page: str | None) -> str:
         return BAD
 
     for i, label in enumerate(first):
-        if label == SHORT:
+        if label == SHORT and found[i][3]:
+            # inside the article only links on both sides speak against a short block
+            labels[i] = BAD if neighbour(i, -1, False) == neighbour(i, 1, False) == BAD and BAD in first else GOOD
+        elif label == SHORT:
             both = {neighbour(i, -1, True), neighbour(i, 1, True)}
             near = NEAR in (neighbour(i, -1, False), neighbour(i, 1, False))
             labels[i] = GOOD if both == {GOOD} or (len(both) == 2 and near) else BAD
