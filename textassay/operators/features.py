@@ -39,7 +39,7 @@ FROM (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS char_count, CAST({d.rxcount
   CAST({d.rxcount('t', '[!！]')} AS BIGINT) AS exclamations, CAST({d.rxcount('t', '[?？]')} AS BIGINT) AS questions, CAST({d.rxcount('t', '[.][.][.]|…')} AS BIGINT) AS ellipses,
   {total([d.contains('t', w) for w in LATIN.scam])} AS scam_keywords, {total([d.rx('t', p) for p in LATIN.anxiety])} AS emotional_patterns, {total([d.contains('t', w) for w in LATIN.promo])} AS ad_keywords, {total([d.contains('t', w) for w in LATIN.hedging])} AS ai_patterns,
   {d.rx('t', '(?m)^#')} AS has_title, CAST({d.rxcount('t', '(?m)^.*[^ \\t\\n\\r\\f].*$')} AS BIGINT) AS paragraphs_n, CAST({d.rxcount('t', 'https?://')} AS BIGINT) AS link_n, {d.rxcount('t', '[0-9]+')} AS numbers,
-  CAST({d.size(d.distinct(d.chars('t')))} AS DOUBLE) / greatest(length(t), 1) AS char_diversity, {sentences} AS sents FROM docs WHERE t <> '')"""
+  CAST({d.size(d.distinct(d.chars('t')))} AS DOUBLE) / greatest(length(t), 1) AS char_diversity, {sentences} AS sents FROM docs)"""
 
 
 def classes(d) -> str:

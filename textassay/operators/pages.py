@@ -87,7 +87,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def _simple(d) -> str:
-    bare = d.rxreplace(d.rxreplace(d.rxreplace("coalesce(html, '')", "(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>", " "), "<[^>]*>", " "), "[ \\t\\n\\r]+", " ")
+    bare = "coalesce(html, '')"
+    for tag in ("script", "style", "head"):  # a name ends where the word does: <header> is no <head>
+        bare = d.rxreplace(bare, f"(?is)<{tag}\\b[^>]*>.*?</{tag}[ \\t\\n\\r]*>", " ")
+    bare = d.rxreplace(d.rxreplace(bare, "<[^>]*>", " "), "[ \\t\\n\\r]+", " ")
     return f"SELECT page_id, substring(trim({bare}), 1, 10000) AS text FROM pages"
 
 

@@ -49,6 +49,9 @@ def _upsert(d) -> str:
     return f"SELECT coalesce(o.content_hash, n.content_hash) AS content_hash, CAST(CASE WHEN n.content_hash IS NULL OR (o.content_hash IS NOT NULL AND o.owner IS NOT NULL AND o.owner <> n.user_id) THEN o.overall ELSE n.overall END AS DOUBLE) AS overall, CASE WHEN o.content_hash IS NULL THEN n.user_id ELSE o.owner END AS owner FROM ({old}) o FULL OUTER JOIN ({new}) n ON o.content_hash = n.content_hash"
 
 
+# Articles that a site needs, and the mean score up to which it is blacklisted.
+AUTO_BLACKLIST = "n >= 5 AND mean_score <= 30"
+
 QUERIES = {
     "score_report": lambda d: "SELECT lang, source, count(*) AS n, CAST(round(avg(overall), 1) AS DOUBLE) AS mean_score, count(CASE WHEN worst >= 70 THEN 1 END) AS junk FROM scored GROUP BY lang, source",
     "score_store_upsert": _upsert,
@@ -58,7 +61,7 @@ QUERIES = {
     "batch_summary": lambda d: "SELECT count(CASE WHEN overall > 60 THEN 1 END) AS ok, count(CASE WHEN overall >= 40 AND overall <= 60 THEN 1 END) AS caution, count(CASE WHEN overall < 40 THEN 1 END) AS junk, CAST(round(avg(overall), 2) AS DOUBLE) AS mean_score FROM store WHERE t <> ''",
     "daily_tier_counts": lambda d: "SELECT scored_on, count(CASE WHEN confident THEN 1 END) AS rules_only, count(CASE WHEN NOT confident THEN 1 END) AS escalated FROM store GROUP BY scored_on",
     "domain_reputation": lambda d: "SELECT host, mean_score, n FROM sites",
-    "auto_blacklist": lambda d: "SELECT host, mean_score, n FROM sites WHERE n >= 2 AND mean_score <= 70",
+    "auto_blacklist": lambda d: f"SELECT host, mean_score, n FROM sites WHERE {AUTO_BLACKLIST}",
     "top_sites": lambda d: "SELECT host, n, CAST(quality AS DOUBLE) AS quality FROM sites ORDER BY n DESC, host LIMIT 50",
     "top_site": lambda d: "SELECT host, n, CAST(round(quality / n, 2) AS DOUBLE) AS mean_quality FROM sites ORDER BY n DESC, host LIMIT 1",
     "verdict_daily": lambda d: "SELECT scored_on, count(*) AS total, count(CASE WHEN status IN ('quality', 'normal') THEN 1 END) AS quality, count(CASE WHEN status = 'suspicious' THEN 1 END) AS suspicious, count(CASE WHEN status = 'junk' THEN 1 END) AS junk FROM verdicts GROUP BY scored_on",
