@@ -9,6 +9,9 @@ from textassay.functions.packs import LATIN, ZH
 from textassay.operators import rules
 
 TEXTS = [
+    "Double your money! You have been selected: wire transfer the upfront fee. LAST CHANCE, before it's too late!",
+    "buy now, limited time offer, free shipping, add to cart, studies show it works instantly. In conclusion, in conclusion, needless to say.",
+    "fact check: sources say guaranteed returns; you are scum, trash, an idiot. HELLO WORLD! ### $$$",
     "",
     "Plain words about nothing in particular.",
     "trash and scum and worthless clown!!!!!!",
@@ -76,7 +79,7 @@ def plain(text, pack):
             names.append(f"platform_{name}_patterns")
             score["adv"], conf["adv"] = min(100, score.get("adv", 0) + 15), max(conf.get("adv", 0), 0.7)
     for r in pack.custom:
-        if sum(keyword(text, w) for w in r.keywords) + sum(bool(re.search(p, text)) for p in r.patterns) >= r.min_hits:
+        if sum(w in text for w in r.keywords) + sum(bool(re.search(p, text)) for p in r.patterns) >= r.min_hits:
             names.append(r.name)
             score[r.dimension], conf[r.dimension] = min(100, score.get(r.dimension, 0) + r.contribution), max(conf.get(r.dimension, 0), r.confidence)
     if "scam" in score and any(m in text for m in pack.citing):

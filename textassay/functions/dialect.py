@@ -33,6 +33,14 @@ class Spark:
     def rxreplace(self, x, p, to=""):
         return f"regexp_replace({x}, {self.lit(p)}, {self.lit(to)})"
 
+    def without(self, x, chars):
+        """x less the given characters."""
+        return f"translate({x}, {quote(chars)}, '')"
+
+    def trim(self, x, chars):
+        """x less the given characters at both ends."""
+        return f"trim(BOTH {quote(chars)} FROM {x})"
+
     def rxall(self, x, p):
         return f"regexp_extract_all({x}, {self.lit(p)}, 0)"
 
@@ -116,8 +124,11 @@ class Spark:
         return f"get_json_object({x}, {self.lit('$.' + path)})"
 
     def explode(self, columns, array, source):
-        """Subquery with columns, i (1-based) and x."""
-        return f"(SELECT {columns}, _i + 1 AS i, x FROM {source} LATERAL VIEW posexplode({array}) AS _i, x)"
+        """Subquery with columns, i (1-based) and x.
+
+        OUTER keeps Spark from inferring a filter that works the array out a second time.
+        """
+        return f"(SELECT {columns}, _i + 1 AS i, x FROM {source} LATERAL VIEW OUTER posexplode({array}) AS _i, x WHERE _i IS NOT NULL)"
 
     def rows(self, columns, rows):
         body = ", ".join("(" + ", ".join(r) + ")" for r in rows)
@@ -148,6 +159,12 @@ class Duck(Spark):
     def rxreplace(self, x, p, to=""):
         return f"regexp_replace({x}, {self.lit(p)}, {self.lit(to)}, 'g')"
 
+    def without(self, x, chars):
+        return f"regexp_replace({x}, {quote(f'[{chars}]')}, '', 'g')"
+
+    def trim(self, x, chars):
+        return f"regexp_replace({x}, {quote(f'^[{chars}]+|[{chars}]+$')}, '', 'g')"
+
     def rxall(self, x, p):
         return f"regexp_extract_all({x}, {self.lit(p)})"
 

@@ -30,26 +30,87 @@ class Pack:
     custom: tuple[CustomRule, ...] = ()
 
 
+#: English wording of each concern.
 LATIN = Pack(
-    scam=("trash", "worthless", "scum", "disgusting", "clown", "wire transfer", "act now"),
-    anxiety=("last chance", "the [a-z]+ was ", "!!", "not [^\\n]* but "),
-    promo=("License", "sponsored", "buy now", "Apache", "MIT"),
-    hedging=(" it is ", " that is ", "in order", "may be"),
-    credibility=(("sources say", "studies show", "with the "), ("they hide", "is that "), ("100%", "instantly")),
-    combos=(("combo_licence", ("License", "Apache"), "adv", 15.0), ("combo_abuse", ("trash", "scum"), "scam", 20.0)),
-    platforms=(("forum", ("thread", " is the ", " and the ")), ("shop", ("cart", " for the ", " on the "))),
-    citing=("fact check", "according to", "Version 2.0"),
+    scam=(
+        "guaranteed returns",
+        "guaranteed profit",
+        "risk-free profit",
+        "double your money",
+        "get rich quick",
+        "wire transfer",
+        "upfront fee",
+        "claim your prize",
+        "you have been selected",
+        "send your bank details",
+        "verify your account now",
+        "no experience needed",
+        "earn from home",
+        "secret system",
+        "act now",
+    ),
+    anxiety=(
+        "(?i)last chance",
+        "(?i)before it(’|')?s too late",
+        "(?i)you(’|')?(ll| will) regret",
+        "(?i)(everyone|everybody) (else )?is already",
+        "(?i)don(’|')?t be left behind",
+        "(?i)if you (still )?don(’|')?t .{1,40} now",
+        "(?i)most people (will )?never",
+    ),
+    promo=(
+        "sponsored",
+        "buy now",
+        "order today",
+        "limited time offer",
+        "use code",
+        "free shipping",
+        "click the link",
+        "sign up today",
+        "discount code",
+        "affiliate link",
+        "add to cart",
+        "special price",
+    ),
+    hedging=(
+        "it is worth noting",
+        "it is important to note",
+        "in conclusion",
+        "in today's fast-paced world",
+        "plays a crucial role",
+        "in summary",
+        "a wide range of",
+        "delve into",
+        "on the one hand",
+        "needless to say",
+    ),
+    credibility=(
+        ("sources say", "studies show", "experts agree", "scientists have proven"),
+        ("they don't want you to know", "the truth they hide", "what nobody tells you", "mainstream media won't"),
+        ("100% effective", "works instantly", "miracle cure", "proven to cure"),
+    ),
+    combos=(
+        ("combo_urgent_offer", ("limited time offer", "buy now"), "adv", 15.0),
+        ("combo_fee_first", ("upfront fee", "wire transfer"), "scam", 20.0),
+    ),
+    platforms=(
+        ("forum", ("upvote", "original poster", "this thread", "mods please")),
+        ("shop", ("add to cart", "free shipping", "five-star review", "link in bio")),
+    ),
+    citing=("fact check", "beware of", "how to spot", "consumer warning", "debunked"),
     custom=(
-        CustomRule("custom_hash", ("###", "$$$"), ("[*]{3}",), "adv", 25.0, 0.75, None, 2),
-        CustomRule("custom_shout", (), ("[A-Z]{4,}[ !]",), "emo", 30.0, 0.8),
+        CustomRule("custom_abuse", ("trash", "worthless", "scum", "disgusting", "clown", "idiot"), (), "emo", 25.0, 0.75, None, 2),
+        CustomRule("custom_symbols", ("###", "$$$", "&&&"), ("[*]{3}",), "adv", 25.0, 0.75, None, 2),
+        CustomRule("custom_shout", (), ("[A-Z]{4,} [A-Z]{4,}[ !]",), "emo", 30.0, 0.8),
     ),
 )
 
+#: Chinese wording.
 ZH = Pack(
-    scam=("稳赚不赔", "日入过万", "内部名额", "先交押金"),
-    anxiety=("再不.*就晚了", "后悔一辈子", "最后.*机会"),
-    promo=("限时优惠", "扫码领取", "点击下单"),
-    hedging=("众所周知", "值得注意的是", "总而言之"),
+    scam=("稳赚不赔", "日入过万", "内部名额", "先交押金", "轻松月入", "保本高收益", "刷单返利", "转账到指定账户"),
+    anxiety=("再不.*就晚了", "后悔一辈子", "最后.*机会", "别人都已经", "错过.*再等"),
+    promo=("限时优惠", "扫码领取", "点击下单", "立即购买", "优惠券", "包邮", "下单立减"),
+    hedging=("众所周知", "值得注意的是", "总而言之", "综上所述", "不可否认", "与此同时"),
     credibility=(("专家称", "据知情人士"), ("他们不想让你知道",), ("百分百有效", "立竿见影")),
     combos=(("combo_promo", ("限时优惠", "扫码领取"), "adv", 15.0),),
     platforms=(("shop", ("种草", "拔草", "好物")),),

@@ -6,13 +6,13 @@ from textassay.functions.packs import LATIN
 from textassay.operators.rules import overall_of, status, total
 
 #: White space of lines and sentences, the ideographic and the no-break space included.
-SPACE = "[ \\t\\n\\r\\f　 ]"
+SPACE = " \t\n\r\f\u3000\u00a0"
 # Sentence ends.
 ENDS = "[。！？.!?]+"
 
 
 def trim(d, x: str) -> str:
-    return d.rxreplace(x, f"^{SPACE}+|{SPACE}+$")
+    return d.trim(x, SPACE)
 
 
 def _stats(d) -> str:
@@ -57,12 +57,12 @@ def classes(d) -> str:
 
 
 def genres(d) -> str:
-    signals = total([f"{d.rxcount('t', '(?m)^[0-9]+[.)] ')} >= 4", f"{d.rxcount('t', 'github[.]com/')} >= 2", d.rx("t", "(?i)pip install|npm install|brew install"), d.rx("t", "(?i)comparison table"), d.rx("t", "(?i)complete guide|best [0-9]+| is the | and the ")])
+    signals = total([f"{d.rxcount('t', '(?m)^[0-9]+[.)] ')} >= 4", f"{d.rxcount('t', 'github[.]com/')} >= 2", d.rx("t", "(?i)pip install|npm install|brew install"), d.rx("t", "(?i)comparison table"), d.rx("t", "(?i)complete guide|best [0-9]+|top [0-9]+|roundup of")])
     numbered, repos, installs = d.rxcount("t", "(?m)^[0-9]+[.)] "), d.rxcount("t", "github[.]com/"), total([d.contains("lower(t)", w) for w in ("pip install", "npm install", "brew install")])
     return f"""
-SELECT doc_id, t, CASE WHEN length(t) < 200 THEN 'default' WHEN scam_n >= 2 OR promo_n >= 3 THEN 'advertorial' WHEN {d.rx('t', 'reported|according to| was in ')} AND {d.rx('t', 'yesterday|today| for the ')} THEN 'news'
-  WHEN {d.rx('t', 'I think|in my view|that is')} THEN 'opinion' WHEN {signals} >= 2 THEN 'roundup' WHEN {signals} >= 1 THEN 'roundup_profile' ELSE 'default' END AS genre,
-  CASE WHEN t = '' THEN 0.0 ELSE CAST(round(CAST(greatest(0.0, least(100.0, 28.0 + least(28.0, {repos} * 2.5) + least(18.0, {numbered} * 1.8) + least(14.0, {installs} * 5.0) + CASE WHEN {d.rx('t', '(?i)comparison table')} THEN 12.0 ELSE 0.0 END + CASE WHEN {d.rx('t', '(?i)install|stars|plugin|License')} THEN 6.0 ELSE 0.0 END)) AS DECIMAL(18, 6)), 1) AS DOUBLE) END AS reference_value
+SELECT doc_id, t, CASE WHEN length(t) < 200 THEN 'default' WHEN scam_n >= 2 OR promo_n >= 3 THEN 'advertorial' WHEN {d.rx('t', '(?i)reported|according to|announced|spokes(man|woman|person)')} AND {d.rx('t', '(?i)yesterday|today|this morning|on (mon|tues|wednes|thurs|fri|satur|sun)day')} THEN 'news'
+  WHEN {d.rx('t', '(?i)i think|in my (view|opinion)|i believe|i would argue')} THEN 'opinion' WHEN {signals} >= 2 THEN 'roundup' WHEN {signals} >= 1 THEN 'roundup_profile' ELSE 'default' END AS genre,
+  CASE WHEN t = '' THEN 0.0 ELSE CAST(round(CAST(greatest(0.0, least(100.0, 28.0 + least(28.0, {repos} * 2.5) + least(18.0, {numbered} * 1.8) + least(14.0, {installs} * 5.0) + CASE WHEN {d.rx('t', '(?i)comparison table')} THEN 12.0 ELSE 0.0 END + CASE WHEN {d.rx('t', '(?i)install|stars|plugin|changelog')} THEN 6.0 ELSE 0.0 END)) AS DECIMAL(18, 6)), 1) AS DOUBLE) END AS reference_value
 FROM hits"""
 
 

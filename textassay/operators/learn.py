@@ -7,6 +7,7 @@ from textassay.operators.rules import total
 # Keywords of the candidate rule set.
 CANDIDATE = ("***", "&&&", "worthless")
 MIN_COUNT = 3
+MISSED = "verdict = 'junk' AND scale <> 'junk'"
 
 
 def judged(d) -> str:
@@ -24,21 +25,23 @@ SELECT s.doc_id, s.lang, s.source, s.t, s.overall, s.worst, f.quality, f.toxic,
 def grams(d) -> str:
     """Distinct word 1- and 2-grams of each judged document."""
     words = d.rxall("t", "[^ \\t\\n\\r\\f]+")
-    pairs = d.each(d.seq("1", f"{d.size('w')} - 1"), "k", f"concat({d.at('w', 'k')}, ' ', {d.at('w', 'k + 1')})")
-    both = f"concat(w, {pairs})" if d.name == "spark" else f"list_concat(w, {pairs})"
-    return f"SELECT doc_id, x AS gram FROM {d.explode('doc_id', d.distinct(both), f'(SELECT doc_id, {words} AS w FROM judged)')}"
+    if d.name == "spark":
+        both = "concat(w, zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, size(w)), (a, b) -> concat(a, ' ', b)))"
+    else:
+        both = f"list_concat(w, {d.each(d.seq('1', 'len(w) - 1'), 'k', 'concat(list_extract(w, k), chr(32), list_extract(w, k + 1))')})"
+    return f"SELECT doc_id, quality, miss, x AS gram FROM {d.explode('doc_id, quality, miss', d.distinct(both), f'(SELECT doc_id, quality, {MISSED} AS miss, {words} AS w FROM judged)')}"
 
 
 def missed(d) -> str:
     """Junk by the user's word that the score let pass."""
-    return "SELECT doc_id FROM judged WHERE verdict = 'junk' AND scale <> 'junk'"
+    return f"SELECT doc_id FROM judged WHERE {MISSED}"
 
 
 def terms(d) -> str:
     """TF-IDF of grams of missed documents: share of missed documents times log of inverse document frequency."""
     return f"""
 SELECT gram, fn_df, df, CAST(round(CAST(fn_df AS DOUBLE) / nf * ln(CAST(n AS DOUBLE) / df), 9) AS DOUBLE) AS tfidf
-FROM (SELECT gram, count(*) AS df, count(CASE WHEN m.doc_id IS NOT NULL THEN 1 END) AS fn_df FROM grams g LEFT JOIN missed m ON g.doc_id = m.doc_id GROUP BY gram) a
+FROM (SELECT gram, count(*) AS df, count(CASE WHEN miss THEN 1 END) AS fn_df FROM grams GROUP BY gram) a
 CROSS JOIN (SELECT count(*) AS n FROM judged) b CROSS JOIN (SELECT greatest(count(*), 1) AS nf FROM missed) c WHERE fn_df >= {MIN_COUNT}"""
 
 
@@ -87,9 +90,21 @@ def _accumulate(d) -> str:
 
 
 def _distinctive(d, target: str) -> str:
+    """Grams of the target's documents that no rightly passed document holds."""
+    if d.name == "spark":
+        passed = "verdict = scale AND verdict <> 'junk'"
+        marked = f"SELECT g.gram, m.hit, m.passed FROM grams g JOIN (SELECT doc_id, {target} AS hit, {passed} AS passed FROM judged) m ON g.doc_id = m.doc_id"
+        return f"SELECT gram, n FROM (SELECT gram, count(CASE WHEN hit THEN 1 END) AS n, count(CASE WHEN passed THEN 1 END) AS others FROM ({marked}) GROUP BY gram) WHERE others = 0 AND n >= 2 ORDER BY n DESC, gram LIMIT 10"
     return f"SELECT gram, n FROM (SELECT g.gram, count(*) AS n FROM grams g JOIN (SELECT doc_id FROM judged WHERE {target}) m ON g.doc_id = m.doc_id LEFT JOIN (SELECT DISTINCT g.gram FROM grams g JOIN (SELECT doc_id FROM judged WHERE verdict = scale AND verdict <> 'junk') b ON g.doc_id = b.doc_id) x ON g.gram = x.gram WHERE x.gram IS NULL GROUP BY g.gram) WHERE n >= 2 ORDER BY n DESC, gram LIMIT 10"
 
 
+def _vocab(d, where: str, operation: str) -> str:
+    """Grams by the quality of their documents: one aggregation here, a set operation in the oracle."""
+    if d.name == "spark":
+        return f"SELECT gram FROM (SELECT gram, count(CASE WHEN quality = 0 THEN 1 END) AS low, count(CASE WHEN quality = 1 THEN 1 END) AS high FROM grams GROUP BY gram) WHERE {where}"
+    return f"SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 0 {operation} SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 1"
+
+
 QUERIES = {
     "calibration_stats": lambda d: "SELECT total, CASE WHEN total = 0 THEN 0.0 ELSE 100.0 * agreed / total END AS agreement, fp, fn FROM (SELECT CAST(count(*) AS DOUBLE) AS total, count(CASE WHEN scale = verdict THEN 1 END) AS agreed, count(CASE WHEN scale = 'junk' AND verdict <> 'junk' THEN 1 END) AS fp, count(CASE WHEN scale <> 'junk' AND verdict = 'junk' THEN 1 END) AS fn FROM judged)",
     "confusion_binary": _binary,
@@ -110,7 +125,7 @@ QUERIES = {
     "client_calibration": lambda d: f"SELECT user_id, {d.max_by('step', 'moved')} AS adjustment FROM (SELECT user_id, CASE WHEN event_type = 'error' AND k > 5 THEN 5 WHEN event_type = 'signup' AND k > 3 THEN -5 END AS step, CASE WHEN event_type = 'error' AND k > 5 OR event_type = 'signup' AND k > 3 THEN n END AS moved FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)) WHERE moved IS NOT NULL GROUP BY user_id",
     "consistent_median": lambda d: f"SELECT user_id, CAST({d.percentile('value', 0.5)} AS DOUBLE) AS median FROM events GROUP BY user_id",
     "explanation_similarity": lambda d: f"SELECT doc_id, CAST(round(CASE WHEN n = 0 THEN 0.0 ELSE CAST(k AS DOUBLE) / n END, 4) AS DOUBLE) AS similarity FROM (SELECT doc_id, {d.size(d.intersect('a', 'b'))} AS k, {d.size(d.union('a', 'b'))} AS n FROM (SELECT doc_id, {d.distinct(d.each(d.seq('1', 'length(x) - 1'), 'k', 'substring(x, k, 2)'))} AS a, {d.distinct(d.each(d.seq('1', 'length(y) - 1'), 'k', 'substring(y, k, 2)'))} AS b FROM (SELECT doc_id, concat(matched, ' ', lang) AS x, concat(source, ' emotional_excessive_punctuation en') AS y FROM scored)))",
-    "vocab_intersect": lambda d: "SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 0 INTERSECT SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 1",
-    "vocab_except": lambda d: "SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 0 EXCEPT SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 1",
+    "vocab_intersect": lambda d: _vocab(d, "low > 0 AND high > 0", "INTERSECT"),
+    "vocab_except": lambda d: _vocab(d, "low > 0 AND high = 0", "EXCEPT"),
 }
-BASES["hits_top"] = lambda d: "SELECT g.doc_id, g.gram FROM grams g JOIN top_terms t ON g.gram = t.gram JOIN missed m ON g.doc_id = m.doc_id"
+BASES["hits_top"] = lambda d: "SELECT g.doc_id, g.gram FROM grams g JOIN top_terms t ON g.gram = t.gram WHERE g.miss"

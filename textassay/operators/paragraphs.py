@@ -6,8 +6,11 @@ from textassay.operators.features import ENDS, trim
 from textassay.operators.rules import total
 
 # Fixed values of the Latin pack: filler, transition and judgement wording.
-FILLERS = (" it is ", " that is ", "in order")
-TRANSITIONS = ("the ", "and ", "for ", "however", "moreover", "furthermore")
+FILLERS = ("needless to say", "it goes without saying", "as we all know", "at the end of the day", "in today's world", "to be honest", "more or less", "it is worth noting")
+TRANSITIONS = ("however", "moreover", "furthermore", "in addition", "on the other hand", "as a result", "in conclusion", "first of all")
+#: A paragraph of numbers with wording of a data sheet and none of judgement is thin.
+JUDGEMENTS = (" but ", "however", "drawback", "disappoint", "problem", "expected", "in practice")
+SPECIFICATIONS = ("GB", "Pro ", "megapixel", "inch", "starting at", "Version", "mAh")
 NAMES = "[A-Z][a-z]+( [A-Z][a-z]+)+"
 QUOTES = "[“”「」『』]"
 
@@ -28,8 +31,9 @@ def density(d) -> str:
     """Information density 0..1 of each paragraph, with the signals it is made of."""
     fillers = "(" + " + ".join(f"(length(p) - length(replace(p, {d.lit(f)}, ''))) / {len(f)}" for f in FILLERS) + ")"
     fillers = f"CAST({fillers} AS INT)"
+    any_of = lambda words: "(" + " OR ".join(d.contains("p", w) for w in words) + ")"
     specific = f"({d.rx('p', '[0-9]+')} OR {d.rx('p', QUOTES)} OR {d.rx('p', NAMES)})"
-    score = f"CASE WHEN {d.rx('p', '[0-9]+')} THEN 0.3 ELSE 0.0 END + CASE WHEN {d.rx('p', QUOTES)} THEN 0.2 ELSE 0.0 END + CASE WHEN {d.rx('p', NAMES)} THEN 0.2 ELSE 0.0 END - 0.2 * fillers - CASE WHEN length(p) < 20 THEN 0.2 ELSE 0.0 END + CASE WHEN length(p) > 100 AND specific THEN 0.2 ELSE 0.0 END - CASE WHEN {d.rxcount('p', '[0-9]+')} >= 3 AND NOT contains(p, ' but ') AND contains(p, 'Version') THEN 0.15 ELSE 0.0 END"
+    score = f"CASE WHEN {d.rx('p', '[0-9]+')} THEN 0.3 ELSE 0.0 END + CASE WHEN {d.rx('p', QUOTES)} THEN 0.2 ELSE 0.0 END + CASE WHEN {d.rx('p', NAMES)} THEN 0.2 ELSE 0.0 END - 0.2 * fillers - CASE WHEN length(p) < 20 THEN 0.2 ELSE 0.0 END + CASE WHEN length(p) > 100 AND specific THEN 0.2 ELSE 0.0 END - CASE WHEN {d.rxcount('p', '[0-9]+')} >= 3 AND NOT {any_of(JUDGEMENTS)} AND {any_of(SPECIFICATIONS)} THEN 0.15 ELSE 0.0 END"
     return f"SELECT doc_id, i, p, n, fillers, specific, transitions, CAST(round(greatest(0.0, least(1.0, {score})), 6) AS DOUBLE) AS density FROM (SELECT *, {fillers} AS fillers, {specific} AS specific, {total([d.contains('lower(p)', t) for t in TRANSITIONS])} AS transitions FROM paras)"
 
 
@@ -42,18 +46,53 @@ def _bigrams(d, x: str) -> str:
     return d.distinct(d.each(d.seq("1", f"length({x}) - 1"), "k", f"substring({x}, k, 2)"))
 
 
+def shapes(d) -> str:
+    """One row a document, without a shuffle: paragraphs, their lengths, sentence lengths, distances of neighbours.
+
+    Spark only; the oracle has its own relational form of each value.
+    """
+    lines = d.only(d.each(d.split("t", "\\n"), "s", trim(d, "s")), "s", "length(s) > 0")
+    pairs = "zip_with(split(left(p, length(p) - 1), ''), split(substring(p, 2), ''), (a, b) -> concat(a, b))"
+    bigrams = f"transform(ps, p -> CASE WHEN length(p) > 1 THEN array_distinct({pairs}) ELSE slice(array(''), 1, 0) END)"
+    sentences = f"flatten(transform(ps, p -> {d.only(d.each(d.split('p', ENDS), 's', f'length({trim(d, chr(115))})'), 'n', 'n > 0')}))"
+    both, sizes = "size(array_intersect(x, y))", "size(x) + size(y)"
+    gap = f"CASE WHEN y IS NULL OR {sizes} = 0 THEN NULL ELSE 1.0D - CAST({both} AS DOUBLE) / ({sizes} - {both}) END"
+    return f"""
+SELECT doc_id, ps, transform(ps, p -> length(p)) AS lens, {sentences} AS sent_lens, zip_with(bs, slice(bs, 2, size(bs)), (x, y) -> {gap}) AS gaps
+FROM (SELECT *, {bigrams} AS bs FROM (SELECT doc_id, {lines} AS ps FROM docs))"""
+
+
 def drift(d) -> str:
     """Jaccard distance of the bigram sets of each paragraph and the next; NULL if both are empty."""
+    if d.name == "spark":
+        return "SELECT doc_id, CAST(pos + 1 AS BIGINT) AS i, distance FROM shapes LATERAL VIEW OUTER posexplode(gaps) AS pos, distance WHERE pos IS NOT NULL"
     both = f"{d.size(d.intersect('b', 'c'))}"
     return f"""
 SELECT doc_id, i, CASE WHEN c IS NULL OR {d.size('b')} + {d.size('c')} = 0 THEN NULL ELSE 1.0 - CAST({both} AS DOUBLE) / ({d.size('b')} + {d.size('c')} - {both}) END AS distance
 FROM (SELECT doc_id, i, b, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM (SELECT doc_id, i, {_bigrams(d, 'p')} AS b FROM paras))"""
 
 
+def _moments(a: str) -> str:
+    """Count and mean of an array of numbers."""
+    return f"named_struct('n', CAST(size({a}) AS BIGINT), 'mean', aggregate({a}, 0.0D, (s, x) -> s + x) / nullif(size({a}), 0))"
+
+
+def _deviation(a: str, m: str) -> str:
+    """Sample standard deviation of an array with moments m, 0 if undefined."""
+    return f"CASE WHEN {m}.n > 1 THEN sqrt(aggregate({a}, 0.0D, (s, x) -> s + (x - {m}.mean) * (x - {m}.mean)) / ({m}.n - 1)) ELSE 0.0D END"
+
+
 def rhythms(d) -> str:
+    # The piecewise lines of both scores.
     pl = "CASE WHEN pn < 2 THEN 50.0 WHEN pcv < 0.1 THEN 95.0 WHEN pcv < 0.2 THEN 95.0 - (pcv - 0.1) * 200.0 WHEN pcv < 0.35 THEN 75.0 - (pcv - 0.2) * (25.0 / 0.15) WHEN pcv < 0.5 THEN 50.0 - (pcv - 0.35) * (30.0 / 0.15) ELSE greatest(5.0, 20.0 - (pcv - 0.5) * 30.0) END"
     sl = "CASE WHEN coalesce(sn, 0) < 3 THEN 50.0 WHEN scv >= 0.6 THEN least(95.0, 85.0 + (scv - 0.6) * 25.0) WHEN scv >= 0.3 THEN 50.0 + (scv - 0.3) * (35.0 / 0.3) WHEN scv >= 0.15 THEN 25.0 + (scv - 0.15) * (25.0 / 0.15) ELSE greatest(5.0, 25.0 - (0.15 - scv) * 133.0) END"
     r = lambda x: f"CAST(round(CAST(round(CAST({x} AS DOUBLE), 7) AS DECIMAL(18, 7)), 1) AS DOUBLE)"
+    if d.name == "spark":
+        return f"""
+SELECT doc_id, pn AS paragraph_count, {r('pmean')} AS avg_paragraph_length, {r('psd')} AS length_std_dev, {r(pl)} AS uniformity, {r(sl)} AS diversity, {r('coalesce(dist * 100.0, 50.0)')} AS topic_drift
+FROM (SELECT doc_id, pm.n AS pn, pm.mean AS pmean, psd, psd / pm.mean AS pcv, sm.n AS sn, ssd / sm.mean AS scv, aggregate(known, 0.0D, (s, x) -> s + x) / nullif(size(known), 0) AS dist
+FROM (SELECT *, {_deviation('lens', 'pm')} AS psd, {_deviation('sent_lens', 'sm')} AS ssd
+FROM (SELECT doc_id, lens, sent_lens, filter(gaps, x -> x IS NOT NULL) AS known, {_moments('lens')} AS pm, {_moments('sent_lens')} AS sm FROM shapes WHERE size(ps) > 0)))"""
     return f"""
 SELECT p.doc_id, p.pn AS paragraph_count, {r('p.pmean')} AS avg_paragraph_length, {r('p.psd')} AS length_std_dev, {r(pl)} AS uniformity, {r(sl)} AS diversity, {r('coalesce(dist * 100.0, 50.0)')} AS topic_drift
 FROM (SELECT doc_id, count(*) AS pn, avg(length(p)) AS pmean, coalesce(stddev_samp(length(p)), 0.0) AS psd, coalesce(stddev_samp(length(p)), 0.0) / avg(length(p)) AS pcv FROM paras GROUP BY doc_id) p
@@ -107,7 +146,7 @@ SELECT x.doc_id, x.dim, {d.join(d.collect('CAST(k.i AS STRING)', 'k.i'), ',')} A
 JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, state ORDER BY i) AS rn FROM statuses) k ON x.doc_id = k.doc_id AND x.state = k.state WHERE k.rn <= 6 GROUP BY x.doc_id, x.dim"""
 
 
-BASES = {"paras": paras, "sents": sents, "density": density, "kinds": kinds, "drift": drift, "rhythms": rhythms, "statuses": statuses, "runs": runs, "guide": guide, "sent_density": sent_density}
+BASES = {"paras": paras, "sents": sents, "density": density, "kinds": kinds, "shapes": shapes, "drift": drift, "rhythms": rhythms, "statuses": statuses, "runs": runs, "guide": guide, "sent_density": sent_density}
 
 QUERIES = {
     "paragraphs": lambda d: "SELECT doc_id, i, p FROM paras",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from textassay.functions.packs import DIMENSIONS, LABELS, LATIN, NEGATIVE, POSITIVE, Pack
 
 # White space and punctuation that do not count as characters of a text.
-IGNORED = "[ \\t\\n\\r\\f，。！？、；：“”‘’（）《》]"
+IGNORED = " \t\n\r\f，。！？、；：“”‘’（）《》"
 LINK = "https?://[^ \\t\\n\\r\\f]+"
 
 
@@ -33,7 +33,6 @@ def documents(d) -> str:
 
 
 def hits(d, pack: Pack = LATIN, source: str = "docs") -> str:
-    bare = d.rxreplace("t", IGNORED)
     parts = [
         f"{total(keyword(d, 't', w) for w in pack.scam) if pack.scam else 0} AS scam_n",
         "CAST(length(t) - length(replace(t, '!', '')) + length(t) - length(replace(t, '！', '')) AS BIGINT) AS bangs",
@@ -41,14 +40,14 @@ def hits(d, pack: Pack = LATIN, source: str = "docs") -> str:
         f"{d.rxcount('t', LINK)} AS links",
         f"{total([keyword(d, 't', w) for w in pack.promo])} AS promo_n",
         "CAST(" + (" + ".join(f"((length(t) - length(replace(t, {d.lit(w)}, ''))) / {len(w)}.0)" for w in pack.hedging) or "0") + " AS INT) AS hedge_n",
-        f"CASE WHEN length({bare}) = 0 THEN 1.0 ELSE CAST({d.size(d.distinct(d.chars(bare)))} AS DOUBLE) / length({bare}) END AS diversity",
+        f"CASE WHEN length(bare) = 0 THEN 1.0 ELSE CAST({d.size(d.distinct(d.chars('bare')))} AS DOUBLE) / length(bare) END AS diversity",
         f"{total([keyword(d, 't', w) for group in pack.credibility for w in group])} AS cred_n",
         f"({' OR '.join(d.contains('t', w) for w in pack.citing) or 'FALSE'}) AS cited",
     ]
     parts += [f"{all_of([keyword(d, 't', w) for w in words])} AS combo_{k}" for k, (_, words, _, _) in enumerate(pack.combos)]
     parts += [f"{total([keyword(d, 't', w) for w in words])} AS platform_{k}" for k, (_, words) in enumerate(pack.platforms)]
-    parts += [f"{total([keyword(d, 't', w) for w in r.keywords] + [d.rx('t', p) for p in r.patterns])} AS custom_{k}" for k, r in enumerate(pack.custom)]
-    return f"SELECT *, {', '.join(parts)} FROM {source}"
+    parts += [f"{total([d.contains('t', w) for w in r.keywords] + [d.rx('t', p) for p in r.patterns])} AS custom_{k}" for k, r in enumerate(pack.custom)]
+    return f"SELECT *, {', '.join(parts)} FROM (SELECT *, {d.without('t', IGNORED)} AS bare FROM {source})"
 
 
 def base_rules(d) -> str:
@@ -79,7 +78,7 @@ def merged(d, pack: Pack = LATIN) -> str:
     name = lambda when, n: f"CASE WHEN {when} THEN '{n}' END"
     combos = [(dim, f"combo_{k}", boost, n) for k, (n, _, dim, boost) in enumerate(pack.combos)]
     later = [("adv", f"platform_{k} >= 2", 15.0, 0.7, f"platform_{n}_patterns") for k, (n, _) in enumerate(pack.platforms)]
-    later += [(r.dimension, f"custom_{k} >= {r.min_hits}", r.contribution, r.confidence, r.name) for k, r in enumerate(pack.custom)]
+    later += [(r.dimension, f"custom_{k} >= {r.min_hits}" + (f" AND coalesce(source = {d.lit(r.platform)}, FALSE)" if r.platform else ""), r.contribution, r.confidence, r.name) for k, r in enumerate(pack.custom)]
     base = {"scam": ("scam_1", "scam_c1"), "emo": ("emo_1", "emo_c1"), "adv": ("adv_1", "adv_c1"), "ai": ("ai", "ai_conf")}
     out = []
     for dim, (score, conf) in base.items():
@@ -150,7 +149,13 @@ def _verdict(x: str) -> str:
 
 
 # Violation classes in order, with the hits each needs.
-VIOLATIONS = (("violence", ("disgusting", "scum"), 2), ("drugs", ("overdose",), 1), ("porn", ("explicit",), 1), ("gambling", ("jackpot", "casino", " the "), 2), ("phishing", ("password", "account"), 1))
+VIOLATIONS = (
+    ("violence", ("disgusting", "scum", "beat you up", "you deserve to die"), 2),
+    ("drugs", ("buy cocaine", "sell meth", "overdose", "no prescription needed"), 1),
+    ("porn", ("explicit video", "adult webcam"), 1),
+    ("gambling", ("jackpot", "casino", "place your bets", "betting odds"), 2),
+    ("phishing", ("confirm your password", "account suspended", "verify your identity"), 1),
+)
 
 
 def _prefilter(d) -> str:
@@ -160,7 +165,8 @@ def _prefilter(d) -> str:
 
 def _evidence(d) -> str:
     lines = d.explode("doc_id", d.split("t", "\n"), "docs")
-    words = [(name, k, w) for name, group in (("scam", LATIN.scam), ("promo", LATIN.promo)) for k, w in enumerate(group)]
+    groups = [("scam", LATIN.scam), ("promo", LATIN.promo), ("wording", LATIN.hedging), ("credibility", sum(LATIN.credibility, ())), *((r.name, r.keywords) for r in LATIN.custom)]
+    words = [(name, k, w) for name, group in groups for k, w in enumerate(group)]
     table = d.rows("category, pos, keyword", [[d.lit(c), str(k), d.lit(w)] for c, k, w in words])
     return f"""
 SELECT doc_id, category, keyword, line FROM (
@@ -221,7 +227,7 @@ QUERIES = {
     "rule_credibility": lambda d: "SELECT doc_id, cred_n, CAST(cred AS DOUBLE) AS cred, CAST(least(coalesce(scam_1, 0.0) + cred, 100.0) AS DOUBLE) AS scam_with_cred FROM base_rules",
     "rule_combo": lambda d: "SELECT doc_id, combo_0, combo_1 FROM hits",
     "rule_platform_patterns": lambda d: "SELECT doc_id, platform_0, platform_1, platform_0 >= 2 AS forum, platform_1 >= 2 AS shop FROM hits",
-    "rule_custom": lambda d: "SELECT doc_id, custom_0, custom_1, custom_0 >= 2 AS hash_fired, custom_1 >= 1 AS shout_fired FROM hits",
+    "rule_custom": lambda d: "SELECT doc_id, custom_0, custom_1, custom_2, custom_0 >= 2 AS abuse_fired, custom_1 >= 2 AS symbols_fired, custom_2 >= 1 AS shout_fired FROM hits",
     "rule_educational_cap": lambda d: "SELECT doc_id, contains(matched, 'educational') AS capped, scam, scam_conf FROM rules",
     "rule_score_all": lambda d: "SELECT doc_id, matched, scam, scam_conf, emo, emo_conf, adv, adv_conf, ai, ai_conf FROM rules",
     "rule_escalation": lambda d: "SELECT doc_id, reason, reason LIKE 'high%' AS skip FROM scored",

@@ -15,6 +15,8 @@ MODULES = ("rules", "features", "paragraphs", "store", "joins", "learn", "simhas
 #: Steps that Spark writes out once and reads back: many queries filter on their columns,
 #: and a filter pushed below them would repeat their large expressions.
 STORED = ("scored", "fp")
+#: Tables with long texts, whose rows are costly to work on, and the size below which they are dealt out.
+TEXTS, SMALL = ("documents", "pages"), 1 << 28
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -52,10 +54,19 @@ def step(name: str, dialect) -> str:
     return _registry()[0][name](dialect)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal a small table in fewer files than cores over all cores; larger ones are split by the scan itself."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(cores) if size < SMALL and len(rows.inputFiles()) < cores else rows
+
+
 def run_text(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     for table in TABLES:
         if re.search(rf"\b{table}\b", text):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            (spread(rows) if table in TEXTS else rows).createOrReplaceTempView(table)
     for name in STORED:
         if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
             kept(spark, sf_dir, name, lambda name=name: MAKERS[name](spark, sf_dir)).createOrReplaceTempView(name)
