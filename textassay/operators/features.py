@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textassay.functions.packs import LATIN
+from textassay.functions.packs import LATIN, NEGATIVE, POSITIVE
 from textassay.operators.rules import overall_of, status, total
 
 #: White space of lines and sentences, the ideographic and the no-break space included.
@@ -11,6 +11,10 @@ SPACE = " \t\n\r\f\u3000\u00a0"
 ENDS = "[。！？.!?]+"
 
 
+# Most characters of a stored text and the mark of a cut one.
+STORED_CHARS, CUT = 120_000, "[truncated]"
+
+
 def trim(d, x: str) -> str:
     return d.trim(x, SPACE)
 
@@ -66,11 +70,22 @@ SELECT doc_id, t, CASE WHEN length(t) < 200 THEN 'default' WHEN scam_n >= 2 OR p
 FROM hits"""
 
 
+# Floors, caps, blend and weights of round-ups.
+FLOORS = {"info_density": 45.0, "reasoning_quality": 32.0, "readability": 55.0, "timeliness": 48.0}
+CAPS = {"ai": 68.0, "adv": 58.0, "scam": 30.0}
+BLEND = 0.55
+ROUNDUP_WEIGHTS = {"originality": 0.85, "info_density": 1.15, "reasoning_quality": 0.35, "readability": 0.75, "timeliness": 0.65, "ai": 0.55, "emo": 1.0, "adv": 0.75, "scam": 1.15}
+
+
 def _calibrated(d) -> str:
-    density = "CAST(least(95.0, greatest(20.0, 0.45 * 50.0 + 0.55 * reference_value)) AS DOUBLE)"
-    positive = {"originality": "50.0", "info_density": density, "reasoning_quality": "50.0", "readability": "55.0", "timeliness": "62.0"}
-    negative = {"ai": "least(coalesce(s.ai, 0.0), 35.0)", "emo": "coalesce(s.emo, 0.0)", "adv": "least(coalesce(s.adv, 0.0), 30.0)", "scam": "coalesce(s.scam, 0.0)"}
-    return f"SELECT s.doc_id, g.genre, CASE WHEN g.genre LIKE 'roundup%' THEN {overall_of(positive, negative)} ELSE s.overall END AS overall FROM scored s JOIN genres g ON s.doc_id = g.doc_id"
+    """Overall score; round-ups have floors, caps and weights of their own.
+
+    Dimensions that only a judge gives stand at 50.
+    """
+    positive = {n: f"greatest(50.0, {FLOORS.get(n, 0.0)})" for n, _ in POSITIVE}
+    positive["info_density"] = f"least(100.0, greatest(50.0, {FLOORS['info_density']}, reference_value * {BLEND} + 50.0 * {round(1 - BLEND, 2)}))"
+    negative = {n: f"least(coalesce(s.{n}, 0.0), {CAPS.get(n, 100.0)})" for n, _ in NEGATIVE}
+    return f"SELECT s.doc_id, g.genre, CASE WHEN g.genre LIKE 'roundup%' THEN {overall_of(positive, negative, {n: str(w) for n, w in ROUNDUP_WEIGHTS.items()})} ELSE s.overall END AS overall FROM scored s JOIN genres g ON s.doc_id = g.doc_id"
 
 
 def _action(d) -> str:
@@ -105,5 +120,5 @@ QUERIES = {
     "reading_action": _action,
     "dimension_highlights": lambda d: "SELECT doc_id, kind, dim, score, CAST(rn AS INT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY score DESC, pos) AS rn FROM dims) WHERE kind = 'good' AND rn <= 1 OR kind = 'risk' AND rn <= 2",
     "long_text_select": lambda d: "SELECT doc_id, length(t) < 100 AS short, CASE WHEN length(t) <= 5000 THEN t WHEN length(t) > 10000 THEN concat(substring(t, 1, 5000), ' [...] ', right(t, 2000)) ELSE substring(t, 1, 5000) END AS selected FROM docs",
-    "storage_truncate": lambda d: "SELECT doc_id, length(t) > 2000 AS truncated, CAST(length(CASE WHEN length(t) > 2000 THEN concat(substring(t, 1, 2000 - 11), '[truncated]') ELSE t END) AS BIGINT) AS stored_chars FROM docs",
+    "storage_truncate": lambda d: f"SELECT doc_id, length(t) > {STORED_CHARS} AS truncated, CASE WHEN length(t) > {STORED_CHARS} THEN concat(substring(t, 1, {STORED_CHARS - len(CUT)}), '{CUT}') ELSE t END AS stored FROM docs",
 }

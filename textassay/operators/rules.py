@@ -75,7 +75,7 @@ def merged(d, pack: Pack = LATIN) -> str:
     sum.  Expressions stay flat: nested steps would double in size when a filter on a
     score is pushed below them.
     """
-    name = lambda when, n: f"CASE WHEN {when} THEN '{n}' END"
+    name = lambda when, n: f"CASE WHEN {when} THEN {d.lit(n)} END"
     combos = [(dim, f"combo_{k}", boost, n) for k, (n, _, dim, boost) in enumerate(pack.combos)]
     later = [("adv", f"platform_{k} >= 2", 15.0, 0.7, f"platform_{n}_patterns") for k, (n, _) in enumerate(pack.platforms)]
     later += [(r.dimension, f"custom_{k} >= {r.min_hits}" + (f" AND coalesce(source = {d.lit(r.platform)}, FALSE)" if r.platform else ""), r.contribution, r.confidence, r.name) for k, r in enumerate(pack.custom)]

@@ -1,8 +1,11 @@
 """Structured Streaming jobs over event and document files.
 
-Each job runs what is there (availableNow) with its checkpoint in the shared folder, and
-returns the table that it has kept up.  Late data: ten minutes of watermark where a
-watermark bounds state.  The stateful operators keep one small value a key.
+Each job runs what is there (availableNow) and returns the table that it has kept up.  A
+job called with the base folder of an earlier call goes on from its checkpoint and table;
+without one it starts anew in the shared folder.  Batches are written under their number,
+so a batch that is run again replaces its own rows.  Late data: ten minutes of watermark
+where a watermark bounds state.  The stateful operators keep one small value a key, for as
+long as it can still decide an event.
 """
 
 from __future__ import annotations
@@ -35,63 +38,71 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
 
 
-def _run(df: DataFrame, mode: str, path: str | None = None, each=None) -> DataFrame:
-    """Run to the end of the input; complete output replaces the table, other output is appended."""
+def _run(df: DataFrame, mode: str, base: str | None = None) -> DataFrame:
+    """Run to the end of the input; complete output replaces the table, other output is kept by batch."""
     spark = df.sparkSession
-    base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    out = path or f"{base}/out"
+    base = base or f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = df.schema
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={n}")
 
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(each or write).trigger(availableNow=True).start()
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(schema).parquet(f"{base}/out").select(*schema.names)
 
 
-def daily_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_trends(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     w = F.window("ts", "1 day")
     found = events(spark, sf_dir).groupBy(w).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
-    return _run(found.select(F.col("window.start").cast("date").alias("day"), "n", "mean_value"), "complete")
+    return _run(found.select(F.col("window.start").cast("date").alias("day"), "n", "mean_value"), "complete", base)
 
 
-def sliding_junk_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sliding_junk_rate(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     w = F.window("ts", "1 hour", "10 minutes")
     found = events(spark, sf_dir).groupBy(w).agg(F.count("*").alias("n"), F.count_if(F.col("value") < 20).alias("low"))
-    return _run(found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "low"), "complete")
+    return _run(found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "low"), "complete", base)
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(events(spark, sf_dir).where("value < 5").select("event_id", "user_id", "value"), "append")
+def alerts(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    return _run(events(spark, sf_dir).where("value < 5").select("event_id", "user_id", "value"), "append", base)
 
 
-def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+def counters(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    return _run(events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")), "complete", base)
 
 
-def score_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def score_feed(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """The rule engine over documents as they arrive; the batch plan runs unchanged on the stream."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     scored = spark.sql(catalog.sql("scored", SPARK)).select("doc_id", "overall", "matched")
-    return _run(scored, "append")
+    return _run(scored, "append", base)
 
 
-def latest_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_by_user(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """Upsert per batch: the newest event of each user replaces the stored one."""
-    out = f"{folder(spark)}/upsert-{uuid.uuid4().hex}"
-    state = {"now": None}
+    base = base or f"{folder(spark)}/upsert-{uuid.uuid4().hex}"
+    kind = "user_id bigint, ts timestamp, event_id bigint, value double"
 
     def merge(batch: DataFrame, n: int) -> None:
-        rows = batch.select("user_id", "ts", "event_id", "value")
-        if state["now"]:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(state["now"]))
+        rows = batch.selectExpr("user_id", "ts", "event_id", "CAST(value AS DOUBLE) AS value")
+        if n:
+            rows = rows.unionByName(batch.sparkSession.read.schema(kind).parquet(f"{base}/{n - 1}"))
         newest = rows.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
-        newest.write.parquet(f"{out}/{n}")
-        state["now"] = f"{out}/{n}"
+        newest.write.mode("overwrite").parquet(f"{base}/{n}")
 
-    query = events(spark, sf_dir).writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(merge).trigger(availableNow=True).start()
+    query = events(spark, sf_dir).writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(merge).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(state["now"]).select("user_id", "event_id", "value")
+    last = _last(spark, base)
+    return (spark.createDataFrame([], kind) if last is None else spark.read.schema(kind).parquet(f"{base}/{last}")).select("user_id", "event_id", "value")
+
+
+def _last(spark: SparkSession, base: str) -> int | None:
+    """The highest batch number that stands as a folder in base."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return max((int(x) for x in found if x.isdigit()), default=None)
 
 
 def accept_ttl(times, last: float | None):
@@ -120,27 +131,34 @@ def _seconds(pdf: pd.DataFrame) -> pd.Series:
     return pdf["ts"].astype("int64") // 1000 / 1e6 if str(pdf["ts"].dtype).startswith("datetime64[ns") else pdf["ts"].astype("int64") / 1e6
 
 
-def _stateful(spark: SparkSession, sf_dir: str, fold, state_schema: str, load, save) -> DataFrame:
+def _stateful(spark: SparkSession, sf_dir: str, base: str | None, fold, seconds: int, state_schema: str, load, save) -> DataFrame:
+    """Accepted or not, for each event in order of time; a user's state goes once it is `seconds` behind the watermark."""
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        taken, value = fold(_seconds(rows), load(state.get) if state.exists else load(None))
+        times = _seconds(rows)
+        taken, value = fold(times, load(state.get) if state.exists else load(None))
         state.update(save(value))
+        state.setTimeoutTimestamp(max(int((times.iloc[-1] + seconds) * 1000), state.getCurrentWatermarkMs()) + 1000)
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "accepted": taken})
 
     stream = events(spark, sf_dir).select("user_id", "event_id", "ts")
-    found = stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, accepted boolean", state_schema, "append", GroupStateTimeout.NoTimeout)
-    return _run(found, "append")
+    found = stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, accepted boolean", state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return _run(found, "append", base)
 
 
-def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stateful(spark, sf_dir, accept_ttl, "last double", lambda s: s[0] if s else None, lambda v: (v,))
+def ttl_dedup(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    return _stateful(spark, sf_dir, base, accept_ttl, TTL_SECONDS, "last double", lambda s: s[0] if s else None, lambda v: (v,))
 
 
-def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stateful(spark, sf_dir, accept_rate, "recent array<double>", lambda s: list(s[0]) if s else [], lambda v: (v,))
+def rate_limit(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    return _stateful(spark, sf_dir, base, accept_rate, RATE_SECONDS, "recent array<double>", lambda s: list(s[0]) if s else [], lambda v: (v,))
 
 
-def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weights(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """Running weight of each user and event type, clamped to [-1, 1] at every step."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -153,15 +171,15 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream = events(spark, sf_dir).select("user_id", "event_type", "event_id", "ts")
     found = stream.groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id bigint, dim string, weight double, n bigint", "x double, n bigint", "update", GroupStateTimeout.NoTimeout)
-    kept = _run(found, "update")
+    kept = _run(found, "update", base)
     return kept.groupBy("user_id", "dim").agg(F.max_by("weight", "n").alias("weight"), F.max("n").alias("n"))
 
 
-def rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rescore(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """Score the pages' hosts again with each file that arrives; the count of pages seen per host."""
     stream = table(spark, sf_dir, "pages")
     host = F.regexp_replace(F.lower(F.expr("try_parse_url(url, 'HOST')")), "^www[.]", "")
-    return _run(stream.groupBy(host.alias("host")).agg(F.count("*").alias("n")), "complete")
+    return _run(stream.groupBy(host.alias("host")).agg(F.count("*").alias("n")), "complete", base)
 
 
 def rescore_pages(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
@@ -185,13 +203,8 @@ def rescore_pages(spark: SparkSession, sf_dir: str, base: str | None = None) ->
         both = old.alias("o").join(scores.alias("s"), "url", "full")
         new = F.col("s.overall").isNotNull()
         both.select("url", F.when(new, F.col("s.overall")).otherwise(F.col("o.score")).cast("double").alias("score"), F.when(new, F.lit(n + 1)).otherwise(F.col("o.cycle")).cast("bigint").alias("cycle"), F.when(new, F.round(F.col("s.overall") - F.col("o.score"), 1)).otherwise(F.col("o.delta")).cast("double").alias("delta")).write.mode("overwrite").parquet(f"{stored}/scores")
-        last.append(n)
 
-    last: list[int] = []
     query = table(spark, sf_dir, "pages").select("page_id", "url", "html").writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(score).trigger(availableNow=True).start()
     query.awaitTermination()
-    if not last:  # nothing came: what an earlier call has stored stands
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/cycles")
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        last = [max(int(f.getPath().getName()) for f in files.listStatus(path))] if files.exists(path) else []
-    return spark.read.schema(kind).parquet(f"{base}/cycles/{last[-1]}/scores") if last else spark.createDataFrame([], kind)
+    last = _last(spark, f"{base}/cycles")
+    return spark.createDataFrame([], kind) if last is None else spark.read.schema(kind).parquet(f"{base}/cycles/{last}/scores")
