@@ -26,7 +26,7 @@ def test_originality_penalty_reaches_exact_copies_and_distance_six(spark, folder
     words = "The river of the old town ran slowly past the mill and the bakers walked along it every morning in spring".split()
     base = " ".join(words * 4)
     rows = [(1, base), (2, base), (3, base)] + [(10 + k, base + " " + " ".join(f"extra{k}word{j}" for j in range(k))) for k in range(1, 40)]
-    prints = {i: simhash.simhash(t.lower(), {}) for i, t in rows}
+    prints = {i: int(simhash.simhashes([t.lower()], {})[0]) for i, t in rows}
     want, at = {}, set()
     for i, _ in rows:
         best = min(((prints[i] ^ prints[j]) % 2**64).bit_count() for j in prints if j < i) if i > 1 else 64

@@ -80,7 +80,7 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textassay.operators.simhash import fingerprints
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return fingerprints(docs.selectExpr("doc_id", "'document' AS kind", "text").unionByName(items.selectExpr("item_id AS doc_id", "'item' AS kind", "text")))
 
