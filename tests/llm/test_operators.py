@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, and on the defined odd cases."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -426,6 +427,22 @@ def test_op6_odd_rows_short_items_and_proximity(spark, odd_docs, no_docs):
     assert hits(0) == [2] and hits(1) == [1, 2]
 
 
+def test_op5_prefixes_over_several_special_strings():
+    library = tokenizers.Tokenizer.from_file(PATH)
+    special = next(iter(library.get_added_tokens_decoder().values())).content
+    text = f"one{special} two {special}{special}  three{special[:-1]}{special}!"
+    got = tokens.load(PATH).prefix_counts(text)
+    assert got == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(1, len(text) + 1)]
+
+
+def test_op6_repeated_items_count_once(spark):
+    words = " ".join(f"word{chr(97 + k)}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"x {words} y"), (2, "x y")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", words)] * 50 + [("b", words)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, items).collect()}
+    assert got[1] == (12, 2, hashlib.sha256(b"a,b").hexdigest()) and got[2][:2] == (0, 0)
+
+
 def test_op6_blocks_of_items_agree(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -108,7 +108,7 @@ def matches(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int =
     """
     spark = index.sparkSession
     kind = index.schema["docs"].dataType.elementType.simpleString()
-    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL").distinct()
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // ITEM_BLOCK_BYTES) * 2 - 1)
     numbered = index.withColumn("segment", F.monotonically_increasing_id())

@@ -175,11 +175,12 @@ class PrefixBPE:
         edges = [(m.start(), m.end()) for m in specials] + [(len(text), len(text))]
         at = 0
         for start, end in edges:
+            before = base
             out += [base + n for n in self._plain(text[at:start], latin)]
             base = out[-1] if out else 0
-            # inside a special string the prefix is ordinary text that continues what stands before it
+            # inside a special string the prefix is ordinary text that continues what stands since the last one
             for cut in range(start + 1, end):
-                out.append(self.count(text[:cut], latin))
+                out.append(before + self.count(text[at:cut], latin))
             if end > start:
                 base += 1
                 out.append(base)
