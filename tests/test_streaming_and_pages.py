@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 
 import pandas as pd
@@ -13,9 +14,9 @@ from textassay.streaming import jobs
 @settings(deadline=None)
 def test_ttl_fold_splits_at_any_batch_boundary(times):
     times = sorted(times)
-    whole, last = jobs.accept_ttl(times, None)
+    whole, last = jobs.accept_ttl(times, [])
     for cut in range(len(times) + 1):
-        a, mid = jobs.accept_ttl(times[:cut], None)
+        a, mid = jobs.accept_ttl(times[:cut], [])
         b, end = jobs.accept_ttl(times[cut:], mid)
         assert a + b == whole and end == last
     accepted = [t for t, ok in zip(times, whole) if ok]
@@ -41,6 +42,32 @@ def test_stream_rate_limit_equals_batch_fold(spark, sf_dir):
         assert [got[user, e] for e in own["event_id"]] == taken
 
 
+def test_states_go_on_over_batches_that_cut_runs(spark, tmp_path):
+    """A busy user, a quiet one and one without id arrive in two batches; both folds equal one fold over all rows."""
+    rows = [(None if i % 5 == 0 else i % 5 // 3, i, datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=(i * 37) % 900 + (7200 if i > 60 else 0) + i), "ab"[i % 2]) for i in range(120)]
+    rows.sort(key=lambda r: (r[2], r[1]))
+
+    def arrive(part):
+        spark.createDataFrame(part, "user_id long, event_id long, ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+
+    for part in (rows[:50], rows[50:]):
+        arrive(part)
+        ttl = jobs.ttl_dedup(spark, str(tmp_path), f"{tmp_path}/ttl").collect()
+        rate = jobs.rate_limit(spark, str(tmp_path), f"{tmp_path}/rate").collect()
+        weights = jobs.weights(spark, str(tmp_path), f"{tmp_path}/weights").collect()
+    for got, fold in ((ttl, jobs.accept_ttl), (rate, jobs.accept_rate)):
+        want = {}
+        for user in (None, 0, 1):
+            own = [r for r in rows if r[0] == user]
+            want |= dict(zip([r[1] for r in own], fold([r[2].timestamp() for r in own], [])[0], strict=True))
+        assert len(got) == len(rows) and {r.event_id: r.accepted for r in got} == want
+    want = {}
+    for user, event, _, dim in rows:
+        x, n = want.get((user, dim), (0.0, 0))
+        want[user, dim] = max(-1.0, min(1.0, x + (event % 7 - 3) * 0.3)), n + 1
+    assert {(r.user_id, r.dim): (r.weight, r.n) for r in weights} == {k: (round(x, 6), n) for k, (x, n) in want.items()}
+
+
 def plain_simhash(text):
     total = [0] * 64
     for shingle in [text[i : i + 3] for i in range(len(text) - 2)] or ([text] if text else []):

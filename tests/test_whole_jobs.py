@@ -71,3 +71,26 @@ def test_rescored_pages_keep_url_score_cycle_and_delta(spark, tmp_path):
     assert second["a"].delta == pytest.approx(score(loud) - score(calm), abs=0.06) and second["c"].delta is None
     again = jobs.rescore_pages(spark, str(tmp_path), f"{tmp_path}/state").collect()
     assert {r.url: r for r in again} == second
+
+
+def test_rule_candidates_group_terms_with_their_best_partner(spark, sf_dir):
+    from textassay.operators.learn import INDICATORS
+
+    top = {r.gram: r.tfidf for r in catalog.run("mine_rules_tfidf", spark, sf_dir).collect()}
+    near = {t: set() for t in top}
+    for r in catalog.run("term_cooccurrence", spark, sf_dir).collect():
+        near[r.term1].add(r.term2)
+        near[r.term2].add(r.term1)
+    ranked = sorted(top, key=lambda t: (-len(near[t]), -top[t], t))
+    groups = {}
+    for t in ranked:
+        if near[t]:
+            groups.setdefault(min(map(ranked.index, near[t] | {t})), []).append(t)
+    want = [g[:5] for _, g in sorted(groups.items())][:5] or [ranked[:5]]
+    got = sorted(catalog.run("rule_candidates", spark, sf_dir).collect(), key=lambda r: r.name)
+    assert [r.keywords for r in got] == [", ".join(g) for g in want]
+    for r, g in zip(got, want, strict=True):
+        hits = {d: sum(any(w in t.lower() for w in words) for t in g) for d, words in INDICATORS.items()}
+        assert r.dimension == max(hits, key=hits.get)
+        assert 0 < r.confidence <= (1 if any(hits.values()) else 0.5)
+        assert r.contribution == pytest.approx(min(50, max(15, 100 * max(top[t] for t in g))), abs=0.06)

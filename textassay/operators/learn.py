@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from textassay.operators.rules import total
 
-# Keywords of the candidate rule set.
+# Keywords of the candidate rule set, and parts of keywords that point to a dimension.
 CANDIDATE = ("***", "&&&", "worthless")
+INDICATORS = {"scam": ("trash", "worthless", "scum"), "adv": ("license", "apache", "***", "&&&"), "emo": ("!!",)}
 MIN_COUNT = 3
 MISSED = "verdict = 'junk' AND scale <> 'junk'"
 
@@ -105,6 +106,38 @@ def _vocab(d, where: str, operation: str) -> str:
     return f"SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 0 {operation} SELECT gram FROM grams g JOIN judged j ON g.doc_id = j.doc_id WHERE j.quality = 1"
 
 
+def near_terms(d) -> str:
+    """Each top term with each of its partners."""
+    return f"SELECT term1 AS gram, term2 AS near, n FROM ({_cooccurrence(d)}) UNION ALL SELECT term2 AS gram, term1 AS near, n FROM ({_cooccurrence(d)})"
+
+
+def term_places(d) -> str:
+    """Top terms by their number of partners, then by TF-IDF."""
+    return "SELECT gram, tfidf, degree, max(degree) OVER () AS most, row_number() OVER (ORDER BY degree DESC, rn) AS place FROM (SELECT t.gram, t.tfidf, t.rn, count(b.near) AS degree FROM top_terms t LEFT JOIN near_terms b ON t.gram = b.gram GROUP BY t.gram, t.tfidf, t.rn)"
+
+
+def term_groups(d) -> str:
+    """The best place among a term and its partners names its group; without any partners the first five terms are one group."""
+    led = "SELECT a.gram, a.tfidf, a.place, a.degree, a.most, min(CASE WHEN a.most = 0 THEN 1 WHEN c.place < a.place THEN c.place ELSE a.place END) AS leader FROM term_places a LEFT JOIN near_terms b ON a.gram = b.gram LEFT JOIN term_places c ON b.near = c.gram GROUP BY a.gram, a.tfidf, a.place, a.degree, a.most"
+    ordered = f"SELECT gram, tfidf, leader, row_number() OVER (PARTITION BY leader ORDER BY place) AS k FROM ({led}) WHERE degree > 0 OR most = 0"
+    return f"SELECT gram, tfidf, k, dense_rank() OVER (ORDER BY leader) AS g FROM ({ordered}) WHERE k <= 5"
+
+
+def _candidates(d) -> str:
+    """Five rules at most, of five keywords at most; confidence is the share of missed documents that hold a keyword."""
+    hints = ", ".join("sum(CASE WHEN " + " OR ".join(d.contains("lower(gram)", w) for w in words) + f" THEN 1 ELSE 0 END) AS {x}" for x, words in INDICATORS.items())
+    best = f"greatest({', '.join(INDICATORS)})"
+    named = " ".join(f"WHEN {x} = {best} THEN '{x}'" for x in INDICATORS)
+    rules = f"SELECT g, {d.collect('gram', 'k')} AS words, max(tfidf) AS top, {hints} FROM term_groups WHERE g <= 5 GROUP BY g"
+    held = "SELECT t.g, CAST(count(DISTINCT h.doc_id) AS DOUBLE) / max(c.nf) AS share FROM term_groups t JOIN hits_top h ON t.gram = h.gram CROSS JOIN (SELECT greatest(count(*), 1) AS nf FROM missed) c GROUP BY t.g"
+    return f"SELECT concat('mined_', CAST(r.g AS VARCHAR(9))) AS name, CASE WHEN {best} = 0 THEN 'scam' {named} END AS dimension, {d.join('r.words', ', ')} AS keywords, CAST(round(least(50.0, greatest(15.0, 100 * r.top)), 1) AS DOUBLE) AS contribution, CAST(round(CASE WHEN {best} = 0 THEN least(h.share, 0.5) ELSE h.share END, 2) AS DOUBLE) AS confidence FROM ({rules}) r JOIN ({held}) h ON r.g = h.g"
+
+
+def _cooccurrence(d) -> str:
+    return f"SELECT a.gram AS term1, b.gram AS term2, count(*) AS n FROM hits_top a JOIN hits_top b ON a.doc_id = b.doc_id AND a.gram < b.gram GROUP BY a.gram, b.gram HAVING count(*) >= {MIN_COUNT}"
+
+
+BASES |= {"near_terms": near_terms, "term_places": term_places, "term_groups": term_groups}
 QUERIES = {
     "calibration_stats": lambda d: "SELECT total, CASE WHEN total = 0 THEN 0.0 ELSE 100.0 * agreed / total END AS agreement, fp, fn FROM (SELECT CAST(count(*) AS DOUBLE) AS total, count(CASE WHEN scale = verdict THEN 1 END) AS agreed, count(CASE WHEN scale = 'junk' AND verdict <> 'junk' THEN 1 END) AS fp, count(CASE WHEN scale <> 'junk' AND verdict = 'junk' THEN 1 END) AS fn FROM judged)",
     "confusion_binary": _binary,
@@ -118,7 +151,8 @@ QUERIES = {
     "suggest_removals": lambda d: _distinctive(d, "verdict <> 'junk' AND scale = 'junk'"),
     "distinctive_anti": lambda d: "SELECT gram, fn_df FROM terms WHERE fn_df = df",
     "mine_rules_tfidf": lambda d: "SELECT gram, fn_df, df, tfidf FROM top_terms",
-    "term_cooccurrence": lambda d: f"SELECT a.gram AS term1, b.gram AS term2, count(*) AS n FROM hits_top a JOIN hits_top b ON a.doc_id = b.doc_id AND a.gram < b.gram GROUP BY a.gram, b.gram HAVING count(*) >= {MIN_COUNT}",
+    "term_cooccurrence": _cooccurrence,
+    "rule_candidates": _candidates,
     "feedback_deltas": lambda d: "SELECT doc_id, dim, delta FROM deltas",
     "weight_accumulate": _accumulate,
     # the last event that moved the sensitivity decides

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 NOISE_TAGS = frozenset("script style nav footer header aside form noscript iframe".split())
 NOISE_TOKENS = frozenset("ad ads advert sidebar menu nav navbar footer header comment comments share related promo banner cookie popup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAIN_HINTS = ("content", "article", "post", "entry", "main")
+MAIN_HINTS = ("content", "article", "post", "entry", "story")
 
 
 class _Blocks(html.parser.HTMLParser):

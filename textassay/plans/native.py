@@ -89,31 +89,6 @@ def ml_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(feats).select("doc_id", category.alias("category"), score.alias("score"), F.round(F.greatest(p, 1 - p), 6).alias("conf"))
 
 
-# Words that point to a dimension.
-INDICATORS = {"scam": ("trash", "worthless", "scum"), "adv": ("license", "apache", "***", "&&&"), "emo": ("!!",)}
-
-
-def rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules from the mined terms: a term with up to four neighbours, five rules at most; the terms (30 at most) are grouped here."""
-    top = [r["gram"] for r in catalog.run("mine_rules_tfidf", spark, sf_dir).orderBy(F.col("tfidf").desc(), "gram").collect()]
-    links = catalog.run("term_cooccurrence", spark, sf_dir).collect()
-    near: dict[str, set[str]] = {t: set() for t in top}
-    for r in links:
-        near[r["term1"]].add(r["term2"])
-        near[r["term2"]].add(r["term1"])
-    used, rules = set(), []
-    for t in sorted(top, key=lambda t: (-len(near[t]), top.index(t))):
-        if t in used or len(rules) == 5:
-            continue
-        group = [t, *sorted(x for x in near[t] if x not in used)[:4]]
-        used |= set(group)
-        overlap = {d: sum(w in " ".join(group).lower() for w in words) for d, words in INDICATORS.items()}
-        best = max(overlap, key=lambda d: overlap[d])
-        inferred = overlap[best] > 0
-        rules.append((f"mined_{len(rules) + 1}", best if inferred else "scam", ", ".join(group), float(min(50, max(15, 10 * len(group)))), 0.8 if inferred else 0.5))
-    return spark.createDataFrame(rules, "name string, dimension string, keywords string, contribution double, confidence double")
-
-
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(_table(spark, sf_dir, "pages"))
 
@@ -126,7 +101,6 @@ QUERIES = {
     "embedding_neighbors": embedding_neighbors,
     "near_dup_clusters": near_dup_clusters,
     "ml_class": ml_class,
-    "rule_candidates": rule_candidates,
     "page_extract": page_extract,
     "stream_score_feed": jobs.score_feed,
     "stream_ttl_dedup": ttl_counts,
