@@ -520,9 +520,10 @@ def brute_ppm(train, text):
     return out
 
 
-@pytest.mark.parametrize("block, frequent", [(4_000_000, 1 << 20), (300, 50)])
-def test_op8_equals_brute_force(spark, monkeypatch, block, frequent):
-    monkeypatch.setattr(lm, "BLOCK_GRAMS", block)
+@pytest.mark.parametrize("chunk, salt_chunks, frequent", [(8 << 20, 256, 1 << 20), (300, 1, 50)])
+def test_op8_equals_brute_force(spark, monkeypatch, chunk, salt_chunks, frequent):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(lm, "SALT_CHUNKS", salt_chunks)
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     rng = random.Random(8)
     texts = [" ".join("".join(rng.choices("abéC", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 30))) for _ in range(30)] + [None, "\x00 odd"]
