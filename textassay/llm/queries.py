@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.llm import decontaminate, jaccard, licenses, lm, mixing, oracles, pagetext, passages, quality, sharding, tokens
+from textassay.llm import decontaminate, jaccard, licenses, lm, mixing, oracles, pagetext, passages, periodic, quality, sharding, tokens
 from textassay.llm.io import table
 
 
@@ -57,6 +57,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").selectExpr("*", "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) AS h")
+    # a tenth of the documents get a repetition; only their texts are taken apart here
+    words = r"filter(split(text, r'[ \t\n\x0B\f\r]+'), w -> w != '')"
+    cut = docs.selectExpr("doc_id", "text", "h", f"CASE WHEN h % 10 = 0 THEN {words} END AS w", "h DIV 10 AS g")
+    cut = cut.selectExpr("*", "CASE WHEN size(w) > 0 THEN g % size(w) END AS a")
+    cut = cut.selectExpr("*", "1 + (size(w) - a) DIV (3 + g % 8) AS p")
+    planted = "concat_ws(' ', transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE w[CAST(a + (i - a) % p AS INT)] END))"
+    rows = cut.selectExpr("doc_id", f"CASE WHEN size(w) > 0 THEN {planted} ELSE text END AS text")
+    listed = "concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))"
+    best = "best.start, best.length, best.period, 1000 * best.length DIV best.period AS exponent_milli"
+    return periodic.runs(rows).selectExpr("doc_id", "CAST(size(runs) AS BIGINT) AS n_runs", *best.split(", "), f"sha2({listed}, 256) AS runs_sha256", "sha2(collapsed, 256) AS collapsed_sha256")
+
+
 QUERIES = {
     "op1_page_text": op1_page_text,
     "op2_substring_dedup": op2_substring_dedup,
@@ -68,5 +82,6 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op6_decontamination": oracles.OP6}
