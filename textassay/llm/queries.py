@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.llm import decontaminate, jaccard, licenses, lm, mixing, oracles, pagetext, passages, periodic, quality, sharding, tokens
+from textassay.llm import decontaminate, jaccard, licenses, lm, mixing, oracles, pagetext, passages, periodic, quality, sharding, tokens, whitening
 from textassay.llm.io import table
 
 
@@ -71,6 +71,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.runs(rows).selectExpr("doc_id", "CAST(size(runs) AS BIGINT) AS n_runs", *best.split(", "), f"sha2({listed}, 256) AS runs_sha256", "sha2(collapsed, 256) AS collapsed_sha256")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_page_text": op1_page_text,
     "op2_substring_dedup": op2_substring_dedup,
@@ -83,5 +87,6 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 ORACLES: dict[str, str] = {"op6_decontamination": oracles.OP6}
