@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.llm import decontaminate, jaccard, licenses, lm, mixing, oracles, pagetext, passages, periodic, quality, sharding, tokens, whitening
+from textassay.llm import decontaminate, jaccard, licenses, lm, mixing, oracles, pagetext, passages, periodic, quality, sharding, tokens, toxicity, whitening
 from textassay.llm.io import table
 
 
@@ -75,6 +75,14 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("pmod(crc32(CAST(doc_id AS STRING)), 4) != 2")
+    model = toxicity.train(docs.where("NOT held_out"), labels)
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_page_text": op1_page_text,
     "op2_substring_dedup": op2_substring_dedup,
@@ -88,5 +96,6 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES: dict[str, str] = {"op6_decontamination": oracles.OP6}
