@@ -19,9 +19,9 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 def channel():
     rng = random.Random(1)
     table = np.zeros(1 << toxicity.TABLE_BITS, np.int64)
-    text = " ".join(rng.choice(PLAIN + BAD) for _ in range(20_000))
-    toxicity.count_grams(text, table)
-    return toxicity.Channel(table, len(text))
+    words = collections.Counter(rng.choice(PLAIN + BAD) for _ in range(20_000))
+    toxicity.count_grams(words, table)
+    return toxicity.Channel(table, sum(len(w) * n for w, n in words.items()))
 
 
 @pytest.mark.parametrize(
@@ -35,7 +35,7 @@ def test_channel_restores(channel, span, said):
 def test_plain_tokens_are_not_suspect(channel):
     for token in ["town", "hall.", "that***", "a.", "2024", "été", "日本", "(rain)", "fell!!!", "wasn't"]:
         if token != "wasn't":
-            assert toxicity.reading(token, channel) is None
+            assert toxicity.reading(token, channel)[0] is None
     assert toxicity.clean("ＢＬ​orgat") == "blorgat"
 
 

@@ -51,8 +51,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 12000
 PREFIXES, MIN_WORD = (4, 5, 6, 7), 3
 MIN_ROWS, MIN_RATIO, MIN_ODDS, LEXICON = 3, 20.0, 1.5, 20_000
 MEMO, PENDING = 200_000, 200_000
-#: Characters whose n-grams are counted in one go.
-COUNTED_AT_ONCE = 1 << 20
+#: Distinct tokens whose n-grams are counted in one go.
+COUNTED_AT_ONCE = 1 << 18
 TOXIC_FROM = 0.3
 #: Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "aeiou"}
@@ -62,6 +62,7 @@ SEPARATORS = "._-~/'·"
 SUBSTITUTE, MASK, BREAK, SKIP, JOIN, ONCE, TWICE, SINGLE, ALIKE = 1.0, 2.0, 2.0, 2.0, 0.5, 1.0, 1.5, 3.0, 0.3
 EDGES = ".,;:?\"'()[]{}<>«»…“”„‘’-–—_~/#&%="
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD])
+_HIDDEN = re.compile("[\u200b\u200c\u200d\ufeff\u00ad]")
 _LETTERS = [chr(c) for c in range(97, 0x250) if chr(c).islower()]
 _CODE = {" ": 0} | {c: k + 1 for k, c in enumerate(_LETTERS)}
 _TABLE = np.zeros(0x251, np.uint8)
@@ -69,42 +70,40 @@ _TABLE[[ord(c) for c in _LETTERS]] = [_CODE[c] for c in _LETTERS]
 _OTHER = 255
 _ODD = 0x9E3779B1
 _SUSPECT = re.compile(r"[0-9@$!|+*€]|[^\W\d_][._\-~/'·]+[^\W\d_]|([^\W\d_])\1\1|[а-яіѕјα-ω]")
+_STRETCHED = re.compile(r"(.)\1\1|[а-яіѕјα-ω]")
 _LATIN = re.compile(r"[a-zß-ɏ]")
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,2}\S){2,}(?!\S)")
 _TAIL = re.compile(r"[!?]+$|([*$@+|])\1\1+$|^([*$@!+|])\2\2+")
 
 
-def _buckets(codes: np.ndarray, width: int) -> np.ndarray:
-    """Buckets of the n-grams of `width` characters that have no boundary inside."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    key, fine = np.zeros(n, np.uint32), np.ones(n, bool)
-    for k in range(width):
-        part = codes[k : k + n]
-        key = key << np.uint32(8) | part
-        if 0 < k < width - 1:
-            fine &= part > 0
-    key = key[fine] ^ np.uint32(width * 0x85EBCA6B & 0xFFFFFFFF)
+def _buckets(key: np.ndarray, width: int) -> np.ndarray:
+    """Buckets of n-grams of `width` characters, each packed into 32 bits."""
+    key = key ^ np.uint32(width * 0x85EBCA6B & 0xFFFFFFFF)
     key ^= key >> np.uint32(15)
     return (key * np.uint32(_ODD) >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
 
 
-def _codes(text: str) -> np.ndarray:
-    """Letters of a text by number, everything else as single boundaries."""
-    raw = np.frombuffer(f" {clean(text)} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = _TABLE[np.minimum(raw, 0x250)]
-    keep = codes > 0
-    keep[1:] |= codes[:-1] > 0
-    keep[0] = True
-    return codes[keep].astype(np.uint32)
-
-
-def count_grams(text: str, table: np.ndarray) -> None:
-    codes = _codes(text)
+def count_grams(words: collections.Counter, table: np.ndarray) -> None:
+    """Add the n-grams of words, with a boundary on both sides, as often as each word stands; what is no letter is a boundary."""
+    text = f" {' '.join(words)} "
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = _TABLE[np.minimum(raw, 0x250)].astype(np.uint32)
+    times = np.zeros(len(raw), np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1)  # of each word with the blank before it
+    times[: ends[-1]] = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes + 1)
+    key, fine = codes, np.ones(len(codes), bool)
     for width in range(1, ORDER + 1):
-        table += np.bincount(_buckets(codes, width), minlength=len(table))
+        if width > 1:
+            n = len(codes) - width + 1
+            key = key[:n] << np.uint32(8) | codes[width - 1 :]
+            if width > 2:
+                fine = fine[:n] & (codes[width - 2 : width - 2 + n] > 0)
+            else:
+                fine = (codes[:-1] > 0) | (codes[1:] > 0)
+        own = fine[: len(key)] & ((key > 0) | (width == 1))
+        table += np.bincount(_buckets(key[own], width), times[: len(key)][own], len(table)).astype(np.int64)
 
 
 def clean(text: str) -> str:
@@ -112,7 +111,8 @@ def clean(text: str) -> str:
     if not text.isascii():
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
-        text = text.translate(_INVISIBLE)
+        if _HIDDEN.search(text):
+            text = text.translate(_INVISIBLE)
     return text.lower()
 
 
@@ -211,12 +211,18 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     return nodes
 
 
-def reading(token: str, channel: Channel) -> str | None:
-    """What a lower-cased token may say; None where nothing about it is suspect."""
-    core = _TAIL.sub("", token.strip(EDGES)).strip(EDGES)
-    if not _SUSPECT.search(core) or not _LATIN.search(core):
-        return None
-    return channel.restore(core)
+def reading(token: str, channel: Channel) -> tuple[str | None, list[str]]:
+    """What a lower-cased token may say, None where nothing about it is suspect, and its words."""
+    core = token if token.isalpha() else token.strip(EDGES)
+    if core.isalpha():
+        if not _STRETCHED.search(core) or not _LATIN.search(core):
+            return None, [core]
+    else:
+        core = _TAIL.sub("", core).strip(EDGES)
+        if not _SUSPECT.search(core) or not _LATIN.search(core):
+            return None, _WORDS.findall(token)
+    said = channel.restore(core)
+    return said, said.split()
 
 
 def features(words: list[str]):
@@ -228,47 +234,38 @@ def features(words: list[str]):
                     yield w[:n]
 
 
-def tokens_of(text: str | None) -> tuple[list[str], list[str]]:
-    """(tokens, spans of blank-separated single characters) of the cleaned text."""
+def tokens_of(text: str | None) -> tuple[set[str], list[str]]:
+    """(distinct tokens, spans of blank-separated single characters) of the cleaned text."""
     low = clean(text or "")
-    return low.split(), [m.group() for m in _SPACED.finditer(low)]
+    tokens = low.split()
+    single = b"\1\1\1" in bytes(map((1).__eq__, map(len, tokens)))  # else no span can match
+    return set(tokens), [m.group() for m in _SPACED.finditer(low)] if single else []
 
 
-class Reader:
-    """Words of texts, token by token; equal tokens are read once."""
+class Reader(dict):
+    """What `keep(token, reading, words)` makes of a token; equal tokens are read once."""
 
     def __init__(self, channel: Channel, keep):
-        self.channel, self.keep, self._known = channel, keep, {}
-
-    def __call__(self, token: str):
-        try:
-            return self._known[token]
-        except KeyError:
-            said = reading(token, self.channel)
-            found = self.keep(token, said, _WORDS.findall(token) if said is None else said.split())
-            if len(self._known) >= MEMO:
-                self._known.clear()
-            if len(token) <= 64:
-                self._known[token] = found
-            return found
-
-    def span(self, span: str):
-        said = self.channel.restore(span)
-        return self.keep(span, said, said.split())
-
-
-def _words_only(token, said, words):
-    return tuple(words)
-
-
-def text_features(text: str | None, reader: Reader) -> set[str]:
-    tokens, spans = tokens_of(text)
-    found: set[str] = set()
-    for words in {reader(t) for t in tokens}:
-        found.update(features(words))
-    for span in spans:
-        found.update(features(reader.span(span)))
-    return found
+        super().__init__()
+        self.channel, self.keep = channel, keep
+
+    def __missing__(self, token: str):
+        found = self.keep(token, *reading(token, self.channel))
+        if len(self) >= MEMO:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = found
+        return found
+
+    def all(self, text: str | None) -> list:
+        """Of the distinct tokens and of the spans of a text, what is not None."""
+        tokens, spans = tokens_of(text)
+        found = {x for x in map(self.__getitem__, tokens) if x is not None}
+        for span in spans:
+            said = self.channel.restore(span)
+            found.add(self.keep(span, said, said.split()))
+        found.discard(None)
+        return sorted(found)
 
 
 def _summary(evidence: list[tuple[float, float]]) -> tuple[float, ...]:
@@ -279,9 +276,16 @@ def _summary(evidence: list[tuple[float, float]]) -> tuple[float, ...]:
     return (1.0, max(odds), math.log1p(max(ratios)), math.log1p(sum(ratios)), math.log1p(len(evidence)))
 
 
-def _evidence(words, lexicon: dict[str, tuple[float, float]]) -> tuple[float, float] | None:
-    """The strongest feature of one word or span."""
-    return max((lexicon[f] for f in features(words) if f in lexicon), key=lambda x: (x[1], x[0]), default=None)
+def evidence_in(lexicon: dict[str, tuple[float, float]]):
+    """keep() for a Reader: (token, reading, strongest feature) of a token with evidence, else None."""
+    heads = {f[:4] for f in lexicon}  # most words end here
+
+    def keep(token, said, words):
+        near = [w for w in words if f"{w} "[:4] in heads]
+        found = max((lexicon[f] for f in features(near) if f in lexicon), key=lambda x: (x[1], x[0]), default=None) if near else None
+        return None if found is None else (token, said or "", found)
+
+    return keep
 
 
 def character_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -298,17 +302,16 @@ def character_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         from pyspark import TaskContext
 
-        table, held, n = np.zeros(size, np.int64), [], 0
+        table, words = np.zeros(size, np.int64), collections.Counter()
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
-                    held.append(text.as_py())
-                    n += len(held[-1])
-                if n >= COUNTED_AT_ONCE:
-                    count_grams(" ".join(held), table)
-                    held, n = [], 0
-        if held:
-            count_grams(" ".join(held), table)
+                    words.update(clean(text.as_py()).split())
+                if len(words) >= COUNTED_AT_ONCE:
+                    count_grams(words, table)
+                    words.clear()
+        if words:
+            count_grams(words, table)
         if table.any():
             yield emit(table, TaskContext.get().partitionId())
 
@@ -334,7 +337,7 @@ def character_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     for r in sums.collect():  # SLICES rows, 2**TABLE_BITS numbers in all
         table[r["slice"] * part : (r["slice"] + 1) * part] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), "<i8")
     # characters in all: the unigrams
-    total = sum(int(table[b]) for b in np.unique(_buckets(np.arange(len(_CODE), dtype=np.uint32), 1)))
+    total = sum(int(table[b]) for b in np.unique(_buckets(np.arange(1, len(_CODE), dtype=np.uint32), 1)))
     return table, total
 
 
@@ -425,7 +428,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     names = ["a0", "b0", "a1", "b1"]  # toxic and clean texts, of the part for the lexicon and of the part kept out
 
     def count(batches):
-        reader = Reader(Channel(*channel.value), _words_only)
+        reader = Reader(Channel(*channel.value), lambda token, said, words: tuple(features(words)) or None)
         seen: dict[str, list[int]] = collections.defaultdict(lambda: [0, 0, 0, 0])
 
         def rows():
@@ -434,7 +437,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
         for batch in batches:
             for toxic, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for f in text_features(text.as_py(), reader):
+                for f in set().union(*reader.all(text.as_py())):
                     seen[f][2 * out + 1 - toxic] += 1
                 if len(seen) >= PENDING:
                     yield rows()
@@ -456,10 +459,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     seen_by = half if honest else whole
 
     def summarise(batches):
-        keep = lambda token, said, words: _evidence(words, seen_by)
-        reader = Reader(Channel(*channel.value), keep)
+        reader = Reader(Channel(*channel.value), evidence_in(seen_by))
         for batch in batches:
-            got = [_summary(evidence_of(text.as_py(), reader)) for text in batch.column(1)]
+            got = [_summary([e for _, _, e in reader.all(text.as_py())]) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(g) for g in got], pa.list_(pa.float64()))], ["toxic", "x"])
 
     used = rows.where("kept_out") if honest else rows
@@ -480,13 +482,6 @@ def _sketch(text: str | None) -> int:
     return min((zlib.crc32(" ".join(w[k : k + 3]).encode()) for k in range(max(1, len(w) - 2))), default=0) - (1 << 31)
 
 
-def evidence_of(text: str | None, reader: Reader) -> list[tuple[float, float]]:
-    """Evidence of the distinct tokens and of the spans of a text; `reader` keeps evidence or None."""
-    tokens, spans = tokens_of(text)
-    found = [reader(t) for t in set(tokens)] + [reader.span(s) for s in spans]
-    return [e for e in found if e is not None]
-
-
 def score(docs: DataFrame, model: Model, threshold: float = TOXIC_FROM) -> DataFrame:
     """Every row of docs (needs column text) with score, predicted, and restored: suspect spans that hold evidence, as read."""
     bounded(docs.sparkSession)
@@ -497,20 +492,15 @@ def score(docs: DataFrame, model: Model, threshold: float = TOXIC_FROM) -> DataF
     at = docs.columns.index("text")
     kind = pa.list_(pa.struct([("span", pa.string()), ("said", pa.string())]))
 
-    def keep(token, said, words):
-        own = _evidence(words, shared.value.lexicon)
-        return None if own is None else (own, token, said)
-
     def run(batches):
         model = shared.value
-        reader = Reader(Channel(model.counts, model.total), keep)
+        reader = Reader(Channel(model.counts, model.total), evidence_in(model.lexicon))
         for batch in batches:
             scores, restored = [], []
             for text in batch.column(at):
-                tokens, spans = tokens_of(text.as_py())
-                found = [x for x in [*(reader(t) for t in set(tokens)), *(reader.span(s) for s in spans)] if x is not None]
-                scores.append(model.probability([e for e, _, _ in found]))
-                restored.append(sorted(({"span": token, "said": said} for _, token, said in found if said is not None), key=lambda r: r["span"]))
+                found = reader.all(text.as_py())
+                scores.append(model.probability([e for _, _, e in found]))
+                restored.append([{"span": token, "said": said} for token, said, _ in found if said])
             new = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(restored, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *named])
 
