@@ -4,10 +4,11 @@ import hashlib
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textassay.operators import pages, simhash
 from textassay.plans import native
-from textassay.streaming import jobs
+from textassay.streaming import jobs, stateful
 
 
 @given(st.lists(st.integers(0, 500), max_size=40))
@@ -103,3 +104,41 @@ def test_main_block_prefers_article_and_drops_noise():
     text = pages.main_block(page)
     assert text.startswith("Head\nSome words") and "menu" not in text and "side" not in text and "x" not in text.split()
     assert pages.main_block(None) == "" and pages.main_block("") == ""
+
+
+def test_state_of_idle_keys_is_gone_and_replays_change_nothing(spark, tmp_path):
+    """Read through the state data source: only users near the watermark keep a state."""
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    rows = [(i % 20, i, start + datetime.timedelta(seconds=i), "a", "x") for i in range(200)]
+    rows += [(99, 1000 + i, start + datetime.timedelta(hours=9, seconds=i), "a", "x") for i in range(5)]
+    spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, event_type string, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    first = {tuple(r) for r in jobs.rate_limit(spark, str(tmp_path), f"{tmp_path}/rate").collect()}
+    with stateful.rocksdb(spark):
+        state = spark.read.format("statestore").option("stateVarName", "recent").load(f"{tmp_path}/rate/checkpoint")
+        assert {r.key[0] for r in state.select("key").collect()} == {'{"key":99}'}
+    assert {tuple(r) for r in jobs.rate_limit(spark, str(tmp_path), f"{tmp_path}/rate").collect()} == first
+    assert {tuple(r) for r in jobs.rate_limit(spark, str(tmp_path), f"{tmp_path}/again").collect()} == first
+
+
+@given(st.lists(st.integers(0, 300), max_size=40), st.integers(1, 4), st.integers(1, 90))
+@settings(deadline=None)
+def test_jumping_folds_equal_a_step_a_row(times, limit, seconds):
+    times = sorted(times)
+    recent, want = [], []
+    for t in times:
+        recent = [x for x in recent if x > t - seconds]
+        want.append(len(recent) < limit)
+        recent += [t] * want[-1]
+    assert stateful.accept_rate(limit, seconds)(times, []) == (want, recent)
+    last, want = None, []
+    for t in times:
+        want.append(last is None or t - last > seconds)
+        last = t if want[-1] else last
+    assert stateful.accept_ttl(seconds)(times, [])[0] == want
+
+
+def test_content_keys(spark):
+    rows = spark.createDataFrame([(1, " https://A.b/C "), (2, "https://A.b/C "), (3, "some text"), (4, None), (5, "")], "i int, c string")
+    got = {r.i: r.k for r in rows.select("i", stateful.content_key(F.col("c")).alias("k")).collect()}
+    digest = lambda x: "hash:" + hashlib.sha256(x.encode()).hexdigest()[:16]
+    assert got == {1: digest(" https://A.b/C "), 2: "url:https://a.b/c", 3: digest("some text"), 4: None, 5: digest("")}

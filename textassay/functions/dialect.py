@@ -13,6 +13,8 @@ def quote(s: str) -> str:
 
 class Spark:
     name = "spark"
+    #: Whether phrases come from one scan of each text (table `marked`) rather than one expression each.
+    scans = False
 
     def lit(self, s: str) -> str:
         return "r" + quote(s) if "\\" in s and "'" not in s else quote(s)
@@ -134,6 +136,10 @@ class Spark:
         body = ", ".join("(" + ", ".join(r) + ")" for r in rows)
         return f"(SELECT * FROM VALUES {body} AS _v({columns}))"
 
+    def div(self, a, b):
+        """Quotient of whole numbers, rounded towards zero."""
+        return f"({a} DIV {b})"
+
     def percentile(self, x, p):
         return f"percentile({x}, {p})"
 
@@ -241,8 +247,15 @@ class Duck(Spark):
         body = ", ".join("(" + ", ".join(r) + ")" for r in rows)
         return f"(SELECT * FROM (VALUES {body}) AS _v({columns}))"
 
+    def div(self, a, b):
+        return f"({a} // {b})"
+
     def percentile(self, x, p):
         return f"quantile_cont({x}, {p})"
 
 
-SPARK, DUCK = Spark(), Duck()
+class Scanned(Spark):
+    scans = True
+
+
+SPARK, SCANNED, DUCK = Spark(), Scanned(), Duck()

@@ -8,6 +8,8 @@ keyword hits are computed once in `hits` and all rules derive from them.
 
 from __future__ import annotations
 
+from textassay.functions import phrases
+from textassay.functions.dialect import SPARK
 from textassay.functions.packs import DIMENSIONS, LABELS, LATIN, NEGATIVE, POSITIVE, Pack
 
 # White space and punctuation that do not count as characters of a text.
@@ -32,12 +34,37 @@ def documents(d) -> str:
     return "SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents"
 
 
-def hits(d, pack: Pack = LATIN, source: str = "docs") -> str:
+def marked(docs, pack: Pack = LATIN):
+    """The document table (doc_id, t) with its phrases, all found in one scan."""
+    return phrases.mark(docs, pack, IGNORED)
+
+
+def _found(pack: Pack, category: str) -> str:
+    """Entries of a category in the array that marked() gives."""
+    first, last = phrases.numbers(pack).get(category, (0, 0))
+    return f"filter(found, f -> f.id >= {first} AND f.id < {last})"
+
+
+def _hits_found(pack: Pack) -> list[str]:
+    """Counts of keyword hits from what one scan found; their number does not grow with the phrases."""
+    n = lambda category: f"size({_found(pack, category)})"
+    parts = [
+        f"{n('scam')} AS scam_n",
+        f"{n('promo')} AS promo_n",
+        f"aggregate({_found(pack, 'hedging')}, 0, (s, f) -> s + f.n) AS hedge_n",
+        "CASE WHEN bare_n = 0 THEN 1.0 ELSE CAST(kinds AS DOUBLE) / bare_n END AS diversity",
+        f"{n('credibility')} AS cred_n",
+        f"{n('citing')} > 0 AS cited",
+    ]
+    parts += [f"{n(f'combo_{k}')} = {len(c[1])}" + (" AND FALSE" if not c[1] else "") + f" AS combo_{k}" for k, c in enumerate(pack.combos)]
+    parts += [f"{n(f'platform_{k}')} AS platform_{k}" for k in range(len(pack.platforms))]
+    return parts + [f"{n(f'custom_{k}')} + {total([SPARK.rx('t', p) for p in r.patterns])} AS custom_{k}" for k, r in enumerate(pack.custom)]
+
+
+def _hits_sought(d, pack: Pack) -> list[str]:
+    """The same counts phrase by phrase."""
     parts = [
         f"{total(keyword(d, 't', w) for w in pack.scam) if pack.scam else 0} AS scam_n",
-        "CAST(length(t) - length(replace(t, '!', '')) + length(t) - length(replace(t, '！', '')) AS BIGINT) AS bangs",
-        f"{total([d.rx('t', p) for p in pack.anxiety])} AS anx_n",
-        f"{d.rxcount('t', LINK)} AS links",
         f"{total([keyword(d, 't', w) for w in pack.promo])} AS promo_n",
         "CAST(" + (" + ".join(f"((length(t) - length(replace(t, {d.lit(w)}, ''))) / {len(w)}.0)" for w in pack.hedging) or "0") + " AS INT) AS hedge_n",
         f"CASE WHEN length(bare) = 0 THEN 1.0 ELSE CAST({d.size(d.distinct(d.chars('bare')))} AS DOUBLE) / length(bare) END AS diversity",
@@ -46,8 +73,18 @@ def hits(d, pack: Pack = LATIN, source: str = "docs") -> str:
     ]
     parts += [f"{all_of([keyword(d, 't', w) for w in words])} AS combo_{k}" for k, (_, words, _, _) in enumerate(pack.combos)]
     parts += [f"{total([keyword(d, 't', w) for w in words])} AS platform_{k}" for k, (_, words) in enumerate(pack.platforms)]
-    parts += [f"{total([d.contains('t', w) for w in r.keywords] + [d.rx('t', p) for p in r.patterns])} AS custom_{k}" for k, r in enumerate(pack.custom)]
-    return f"SELECT *, {', '.join(parts)} FROM (SELECT *, {d.without('t', IGNORED)} AS bare FROM {source})"
+    return parts + [f"{total([d.contains('t', w) for w in r.keywords] + [d.rx('t', p) for p in r.patterns])} AS custom_{k}" for k, r in enumerate(pack.custom)]
+
+
+def hits(d, pack: Pack = LATIN) -> str:
+    common = [
+        "CAST(length(t) - length(replace(t, '!', '')) + length(t) - length(replace(t, '！', '')) AS BIGINT) AS bangs",
+        f"{total([d.rx('t', p) for p in pack.anxiety])} AS anx_n",
+        f"{d.rxcount('t', LINK)} AS links",
+    ]
+    if d.scans:
+        return f"SELECT *, {', '.join([*common, *_hits_found(pack)])} FROM marked"
+    return f"SELECT *, {', '.join([*common, *_hits_sought(d, pack)])} FROM (SELECT *, {d.without('t', IGNORED)} AS bare FROM docs)"
 
 
 def base_rules(d) -> str:
@@ -140,6 +177,10 @@ BASES = {"docs": documents, "hits": hits, "base_rules": base_rules, "rules": mer
 
 
 def _long_form(d) -> str:
+    if d.scans:
+        kinds = ("scam", "promo", "hedging", "citing")
+        cases = " ".join(f"WHEN f.id >= {a} AND f.id < {b} THEN '{c}'" for c, (a, b) in phrases.numbers(LATIN).items() if c in kinds)
+        return f"SELECT * FROM (SELECT doc_id, CASE {cases} END AS rule, f.phrase AS keyword FROM marked LATERAL VIEW explode(found) AS f) WHERE rule IS NOT NULL"
     table = d.rows("rule, keyword", [[d.lit(rule), d.lit(w)] for rule, words in (("scam", LATIN.scam), ("promo", LATIN.promo), ("hedging", LATIN.hedging), ("citing", LATIN.citing)) for w in words])
     return f"SELECT docs.doc_id, k.rule, k.keyword FROM docs JOIN {table} k ON contains(docs.t, k.keyword)"
 
@@ -164,6 +205,10 @@ def _prefilter(d) -> str:
 
 
 def _evidence(d) -> str:
+    if d.scans:
+        groups = [("scam", "scam"), ("promo", "promo"), ("wording", "hedging"), ("credibility", "credibility"), *((r.name, f"custom_{k}") for k, r in enumerate(LATIN.custom))]
+        lists = ", ".join(f"transform(slice({_found(LATIN, own)}, 1, 4), f -> named_struct('category', {d.lit(name)}, 'keyword', f.phrase, 'line', f.line))" for name, own in groups)
+        return f"SELECT doc_id, e.category, e.keyword, e.line FROM marked LATERAL VIEW explode(concat({lists})) AS e"
     lines = d.explode("doc_id", d.split("t", "\n"), "docs")
     groups = [("scam", LATIN.scam), ("promo", LATIN.promo), ("wording", LATIN.hedging), ("credibility", sum(LATIN.credibility, ())), *((r.name, r.keywords) for r in LATIN.custom)]
     words = [(name, k, w) for name, group in groups for k, w in enumerate(group)]

@@ -13,7 +13,7 @@ FROM (SELECT x.*, x.doc_id % c.np AS pid FROM scored x CROSS JOIN (SELECT greate
 
 
 def sites(d) -> str:
-    return "SELECT host, CAST(round(avg(overall), 1) AS DOUBLE) AS mean_score, count(*) AS n, sum(100 - worst) AS quality FROM store WHERE host IS NOT NULL GROUP BY host"
+    return f"SELECT host, {mean(d, 'overall')} AS mean_score, count(*) AS n, sum(100 - worst) AS quality FROM store WHERE host IS NOT NULL GROUP BY host"
 
 
 def feedback(d) -> str:
@@ -29,6 +29,13 @@ def verdicts(d) -> str:
     return f"SELECT *, {status('100 - worst')} AS status FROM store"
 
 
+def mean(d, x: str, places: int = 1) -> str:
+    """Mean of scores of one decimal, rounded half up: whole numbers throughout, so no order of rows changes it; null without rows."""
+    scale = 10 ** (places - 1)
+    whole = f"(2 * {scale} * sum(CAST(round({x} * 10) AS BIGINT)) + count({x}))"
+    return f"CAST({d.div(whole, f'nullif(2 * count({x}), 0)')} AS DOUBLE) / {10 * scale}.0"
+
+
 BASES = {"store": store, "sites": sites, "feedback": feedback, "latest": latest, "verdicts": verdicts}
 
 
@@ -53,12 +60,12 @@ def _upsert(d) -> str:
 AUTO_BLACKLIST = "n >= 5 AND mean_score <= 30"
 
 QUERIES = {
-    "score_report": lambda d: "SELECT lang, source, count(*) AS n, CAST(round(avg(overall), 1) AS DOUBLE) AS mean_score, count(CASE WHEN worst >= 70 THEN 1 END) AS junk FROM scored GROUP BY lang, source",
+    "score_report": lambda d: f"SELECT lang, source, count(*) AS n, {mean(d, 'overall')} AS mean_score, count(CASE WHEN worst >= 70 THEN 1 END) AS junk FROM scored GROUP BY lang, source",
     "score_store_upsert": _upsert,
     "distinct_exact_dups": lambda d: "SELECT content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM store GROUP BY content_hash",
-    "daily_trends": lambda d: f"SELECT scored_on, CAST(round(avg(overall), 1) AS DOUBLE) AS mean_score, count(*) AS n, count(CASE WHEN overall < 40 THEN 1 END) AS junk FROM store WHERE scored_on > {d.day_minus(chr(68) + 'ATE ' + repr('2024-01-28'), 14)} GROUP BY scored_on",
-    "summary_stats": lambda d: "SELECT count(*) AS total, coalesce(CAST(round(avg(overall), 1) AS DOUBLE), 0.0) AS mean_score, count(CASE WHEN overall < 40 THEN 1 END) AS junk, count(CASE WHEN overall > 75 THEN 1 END) AS high FROM store",
-    "batch_summary": lambda d: "SELECT count(CASE WHEN overall > 60 THEN 1 END) AS ok, count(CASE WHEN overall >= 40 AND overall <= 60 THEN 1 END) AS caution, count(CASE WHEN overall < 40 THEN 1 END) AS junk, CAST(round(avg(overall), 2) AS DOUBLE) AS mean_score FROM store WHERE t <> ''",
+    "daily_trends": lambda d: f"SELECT scored_on, {mean(d, 'overall')} AS mean_score, count(*) AS n, count(CASE WHEN overall < 40 THEN 1 END) AS junk FROM store WHERE scored_on > {d.day_minus(chr(68) + 'ATE ' + repr('2024-01-28'), 14)} GROUP BY scored_on",
+    "summary_stats": lambda d: f"SELECT count(*) AS total, coalesce({mean(d, 'overall')}, 0.0) AS mean_score, count(CASE WHEN overall < 40 THEN 1 END) AS junk, count(CASE WHEN overall > 75 THEN 1 END) AS high FROM store",
+    "batch_summary": lambda d: f"SELECT count(CASE WHEN overall > 60 THEN 1 END) AS ok, count(CASE WHEN overall >= 40 AND overall <= 60 THEN 1 END) AS caution, count(CASE WHEN overall < 40 THEN 1 END) AS junk, {mean(d, 'overall', 2)} AS mean_score FROM store WHERE t <> ''",
     "daily_tier_counts": lambda d: "SELECT scored_on, count(CASE WHEN confident THEN 1 END) AS rules_only, count(CASE WHEN NOT confident THEN 1 END) AS escalated FROM store GROUP BY scored_on",
     "domain_reputation": lambda d: "SELECT host, mean_score, n FROM sites",
     "auto_blacklist": lambda d: f"SELECT host, mean_score, n FROM sites WHERE {AUTO_BLACKLIST}",
@@ -76,7 +83,7 @@ QUERIES = {
     "history_count": lambda d: "SELECT count(*) AS n FROM store WHERE overall BETWEEN 40 AND 73 AND matched LIKE '%emotional%' AND scored_on BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'",
     "history_page": lambda d: "SELECT doc_id, overall FROM store ORDER BY scored_on DESC, content_hash, doc_id LIMIT 20 OFFSET 40",
     "review_queue": lambda d: "SELECT doc_id, overall, worst FROM store WHERE overall < 40 OR worst >= 95",
-    "hash_prefix_lookup": lambda d: "SELECT q.prefix, min(l.doc_id) AS doc_id FROM (SELECT substring(content_hash, 1, 4) AS prefix FROM latest WHERE doc_id % 100 = 0) q JOIN (SELECT content_hash, doc_id, substring(content_hash, 1, 4) AS prefix FROM latest) l ON l.prefix = q.prefix GROUP BY q.prefix HAVING count(DISTINCT l.content_hash) = 1",
+    "hash_prefix_lookup": lambda d: "SELECT q.prefix, min(l.doc_id) AS doc_id FROM (SELECT DISTINCT substring(content_hash, 1, 4) AS prefix FROM latest WHERE doc_id % 100 = 0) q JOIN (SELECT content_hash, doc_id, substring(content_hash, 1, 4) AS prefix FROM latest) l ON l.prefix = q.prefix GROUP BY q.prefix HAVING count(DISTINCT l.content_hash) = 1",
     "feedback_join": lambda d: "SELECT s.content_hash, f.verdict, s.overall FROM feedback f JOIN store s ON s.doc_id = f.doc_id",
     "feedback_append": lambda d: "SELECT doc_id, verdict, CASE WHEN verdict IN ('junk', 'ok', 'excellent') AND toxic = 0 THEN 'accepted' ELSE 'rejected' END AS outcome FROM feedback",
     "parse_labels": lambda d: f"SELECT event_id, coalesce({d.json('props', 'device')}, {d.json('props', 'page')}, 'none') AS label FROM events",

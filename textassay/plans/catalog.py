@@ -5,16 +5,17 @@ from __future__ import annotations
 import functools
 import importlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textassay.functions.dialect import DUCK, SPARK
+from textassay.functions.dialect import DUCK, SCANNED
 from textassay.sources.shared import kept
 
 MODULES = ("rules", "features", "paragraphs", "store", "joins", "learn", "simhash", "pages")
 #: Steps that Spark writes out once and reads back: many queries filter on their columns,
 #: and a filter pushed below them would repeat their large expressions.
-STORED = ("scored", "fp")
+STORED = ("scored", "fp", "near_copies", "near_far", "near_items")
 #: Tables with long texts, whose rows are costly to work on, and the size below which they are dealt out.
 TEXTS, SMALL = ("documents", "pages"), 1 << 28
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,7 +40,7 @@ def sql(name: str, dialect) -> str:
 
     def need(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_][a-z_0-9]*", text)):
-            if word in bases and word not in done and not (word in STORED and word != top and dialect is SPARK) and re.search(rf"\b(?:FROM|JOIN)\s+{word}\b|,\s*{word}\s+(?:AS\s+)?[a-z]\b", text):
+            if word in bases and word not in done and not (word in STORED and word != top and dialect.name == "spark") and re.search(rf"\b(?:FROM|JOIN)\s+{word}\b|,\s*{word}\s+(?:AS\s+)?[a-z]\b", text):
                 done.add(word)
                 step = bases[word](dialect)
                 need(step)
@@ -62,19 +63,42 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < SMALL and len(rows.inputFiles()) < cores else rows
 
 
+def over(text: str, spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """A SQL text over these tables, by names that no one else's views have and that are gone afterwards."""
+    tag = f"textassay_{uuid.uuid4().hex}_"
+    for name, rows in tables.items():
+        rows.createOrReplaceTempView(tag + name)
+        text = re.sub(rf"\b(FROM|JOIN)(\s+){name}\b", rf"\1\2{tag}{name}", text)
+    try:
+        return spark.sql(text)  # names are resolved here
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(tag + name)
+
+
+def marked(documents: DataFrame) -> DataFrame:
+    from textassay.operators import rules
+
+    return rules.marked(documents.selectExpr("doc_id", "lang", "source", "coalesce(text, '') AS t"))
+
+
 def run_text(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    for table in TABLES:
-        if re.search(rf"\b{table}\b", text):
-            rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-            (spread(rows) if table in TEXTS else rows).createOrReplaceTempView(table)
+    used = lambda name: re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text)
+    tables = {}
+    for name in TABLES:
+        if used(name):
+            rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            tables[name] = spread(rows) if name in TEXTS else rows
     for name in STORED:
-        if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
-            kept(spark, sf_dir, name, lambda name=name: MAKERS[name](spark, sf_dir)).createOrReplaceTempView(name)
-    return spark.sql(text)
+        if used(name):
+            tables[name] = kept(spark, sf_dir, name, lambda name=name: MAKERS[name](spark, sf_dir))
+    if used("marked"):
+        tables["marked"] = marked(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return over(text, spark, tables)
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_text(sql(name, SPARK), spark, sf_dir)
+    return run_text(sql(name, SCANNED), spark, sf_dir)
 
 
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +109,13 @@ def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(docs.selectExpr("doc_id", "'document' AS kind", "text").unionByName(items.selectExpr("item_id AS doc_id", "'item' AS kind", "text")))
 
 
-MAKERS = {"scored": functools.partial(run, "scored"), "fp": _fingerprints}
+def _pairs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from textassay.operators.simhash import stored_pairs
+
+    return stored_pairs(spark, sf_dir, name)
+
+
+MAKERS = {"scored": functools.partial(run, "scored"), "fp": _fingerprints} | {name: functools.partial(_pairs, name=name) for name in ("near_copies", "near_far", "near_items")}
 
 
 def sql_queries() -> dict:

@@ -97,6 +97,10 @@ def ttl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.ttl_dedup(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
 
 
+def content_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.content_dedup(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
+
+
 QUERIES = {
     "embedding_neighbors": embedding_neighbors,
     "near_dup_clusters": near_dup_clusters,
@@ -105,6 +109,7 @@ QUERIES = {
     "stream_score_feed": jobs.score_feed,
     "stream_ttl_dedup": ttl_counts,
     "stream_rate_limit": jobs.rate_limit,
+    "stream_content_dedup": content_counts,
     "stream_daily_trends": jobs.daily_trends,
     "stream_sliding_junk_rate": jobs.sliding_junk_rate,
     "stream_alerts": jobs.alerts,
@@ -116,6 +121,23 @@ QUERIES = {
 }
 
 
+def _ttl(key: str, name: str) -> str:
+    """Events of each key in order of time, folded: the last accepted time and how many there were."""
+    start, event = "{'t': CAST(-1e12 AS DOUBLE), 'l': CAST(-1e12 AS DOUBLE), 'n': 0}", "{'t': epoch(ts), 'l': CAST(0 AS DOUBLE), 'n': 0}"
+    fits = f"b.t - a.l > {jobs.TTL_SECONDS}"
+    step = f"{{'t': b.t, 'l': CASE WHEN {fits} THEN b.t ELSE a.l END, 'n': a.n + CASE WHEN {fits} THEN 1 ELSE 0 END}}"
+    return f"SELECT {key} AS {name}, count(*) AS n, CAST(list_reduce(list_prepend({start}, list({event} ORDER BY ts, event_id)), lambda a, b: {step}).n AS BIGINT) AS accepted FROM events GROUP BY ALL"
+
+
+#: Two accepted times and the accepted events of each user, folded in order of time.
+RATE = f"""
+WITH s AS (SELECT user_id, list_reduce(list_prepend({{'t': CAST(-1e12 AS DOUBLE), 'id': CAST(-1 AS BIGINT), 'a': CAST(-1e12 AS DOUBLE), 'b': CAST(-1e12 AS DOUBLE), 'e': CAST([] AS BIGINT[])}},
+  list({{'t': epoch(ts), 'id': event_id, 'a': CAST(0 AS DOUBLE), 'b': CAST(0 AS DOUBLE), 'e': CAST([] AS BIGINT[])}} ORDER BY ts, event_id)),
+  lambda x, y: CASE WHEN y.t - x.a >= {jobs.RATE_SECONDS} THEN {{'t': y.t, 'id': y.id, 'a': x.b, 'b': y.t, 'e': list_append(x.e, y.id)}} ELSE {{'t': y.t, 'id': y.id, 'a': x.a, 'b': x.b, 'e': x.e}} END).e AS e FROM events GROUP BY user_id)
+SELECT v.user_id, v.event_id, list_contains(s.e, v.event_id) AS accepted FROM events v JOIN s ON v.user_id IS NOT DISTINCT FROM s.user_id"""
+assert jobs.RATE_LIMIT == 2  # RATE holds two times
+
+
 def _oracles() -> dict[str, str]:
     from textassay.functions.dialect import DUCK
 
@@ -124,7 +146,9 @@ def _oracles() -> dict[str, str]:
     return {
         "embedding_neighbors": f"SELECT query_id, vec_id, round(c, 6) AS cosine, CAST(rn AS INT) AS rn FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) WHERE rn <= {NEIGHBOURS}",
         "stream_score_feed": feed,
-        "stream_ttl_dedup": f"SELECT user_id, count(*) AS n, CAST(list_reduce(list_prepend({{'t': CAST(-1e12 AS DOUBLE), 'l': CAST(-1e12 AS DOUBLE), 'n': 0}}, list({{'t': epoch(ts), 'l': CAST(0 AS DOUBLE), 'n': 0}} ORDER BY ts, event_id)), lambda a, b: {{'t': b.t, 'l': CASE WHEN b.t - a.l > {jobs.TTL_SECONDS} THEN b.t ELSE a.l END, 'n': a.n + CASE WHEN b.t - a.l > {jobs.TTL_SECONDS} THEN 1 ELSE 0 END}}).n AS BIGINT) AS accepted FROM events GROUP BY user_id",
+        "stream_ttl_dedup": _ttl("user_id", "user_id"),
+        "stream_content_dedup": _ttl("CASE WHEN starts_with(props, 'http://') OR starts_with(props, 'https://') THEN 'url:' || lower(trim(props)) ELSE 'hash:' || substring(sha256(props), 1, 16) END", "key"),
+        "stream_rate_limit": RATE,
         "stream_daily_trends": "SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY CAST(ts AS DATE)",
         "stream_sliding_junk_rate": "SELECT start, count(*) AS n, count(CASE WHEN value < 20 THEN 1 END) AS low FROM (SELECT value, time_bucket(INTERVAL '10 minutes', ts) - k * INTERVAL '10 minutes' AS start FROM events, range(6) r(k)) GROUP BY start",
         "stream_alerts": "SELECT event_id, user_id, value FROM events WHERE value < 5",

@@ -15,9 +15,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.functions.dialect import SPARK
+from textassay.functions.dialect import SCANNED
 from textassay.functions.packs import DIMENSIONS, LATIN, CustomRule, Pack
 from textassay.operators import rules
+from textassay.plans import catalog
 
 #: Most bytes of a rule file; its rules become SQL text.
 MOST_BYTES = 1 << 20
@@ -100,11 +101,10 @@ def score_with(docs: DataFrame, custom: tuple[CustomRule, ...], pack: Pack = LAT
     A rule with a platform fires only on documents whose source is that platform.
     """
     own = dataclasses.replace(pack, custom=custom)
-    steps = {"docs": "SELECT doc_id, lang, source, coalesce(text, '') AS t FROM {docs}", "hits": rules.hits(SPARK, own), "base_rules": rules.base_rules(SPARK), "rules": rules.merged(SPARK, own)}
+    rows = rules.marked(docs.selectExpr("doc_id", "lang", "source", "coalesce(text, '') AS t"), own)
+    steps = {"hits": rules.hits(SCANNED, own), "base_rules": rules.base_rules(SCANNED), "rules": rules.merged(SCANNED, own)}
     chain = ", ".join(f"{name} AS ({step})" for name, step in steps.items())
-    view = "rules_input"
-    docs.createOrReplaceTempView(view)
-    return docs.sparkSession.sql(f"WITH {chain.replace('{docs}', view)} SELECT * FROM rules").drop("t")
+    return catalog.over(f"WITH {chain} SELECT * FROM rules", docs.sparkSession, {"marked": rows}).drop("t")
 
 
 def rule_inventory(spark: SparkSession, pack: Pack = LATIN) -> DataFrame:

@@ -4,25 +4,24 @@ Each job runs what is there (availableNow) and returns the table that it has kep
 job called with the base folder of an earlier call goes on from its checkpoint and table;
 without one it starts anew in the shared folder.  Batches are written under their number,
 so a batch that is run again replaces its own rows.  Late data: ten minutes of watermark
-where a watermark bounds state.  Operators with a state a user fold each batch in order of
-time: rows are dealt by stretches of time, not by user, and pass through a task one Arrow
-batch at a time, so no user's rows are ever held together.
+where a watermark bounds state.  Operators with a state a key are in ``stateful``.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.functions.dialect import SPARK
+from textassay.functions.dialect import SCANNED
 from textassay.operators import pages
 from textassay.plans import catalog
 from textassay.sources.shared import folder
+from textassay.streaming import stateful
 
+#: Input of a trigger, in bytes of files; a trigger takes one file at least.
+TRIGGER_BYTES = 1 << 30
 TTL_SECONDS = 60
 RATE_LIMIT, RATE_SECONDS = 2, 3600
 
@@ -30,7 +29,7 @@ RATE_LIMIT, RATE_SECONDS = 2, 3600
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream; the pattern also matches a table that is a single file."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(TRIGGER_BYTES)).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +73,7 @@ def counters(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataF
 
 def score_feed(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """The rule engine over documents as they arrive; the batch plan runs unchanged on the stream."""
-    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
-    scored = spark.sql(catalog.sql("scored", SPARK)).select("doc_id", "overall", "matched")
+    scored = catalog.over(catalog.sql("scored", SCANNED), spark, {"marked": catalog.marked(table(spark, sf_dir, "documents"))}).select("doc_id", "overall", "matched")
     return _run(scored, "append", base)
 
 
@@ -105,136 +103,43 @@ def _last(spark: SparkSession, base: str) -> int | None:
     return max((int(x) for x in found if x.isdigit()), default=None)
 
 
-def accept_ttl(times, recent: list[float]):
-    """Accept a time unless one was accepted in the last TTL_SECONDS; what is rejected does not refresh."""
-    taken = []
-    for t in times:
-        ok = not recent or t - recent[-1] > TTL_SECONDS
-        recent = [t] if ok else recent
-        taken.append(ok)
-    return taken, recent
-
-
-def accept_rate(times, recent: list[float]):
-    """Accept while fewer than RATE_LIMIT were accepted in the last RATE_SECONDS."""
-    taken = []
-    for t in times:
-        recent = [x for x in recent if x > t - RATE_SECONDS]
-        ok = len(recent) < RATE_LIMIT
-        if ok:
-            recent = [*recent, t]
-        taken.append(ok)
-    return taken, recent
-
-
-def _keep(stream: DataFrame, base: str, merge) -> int | None:
-    """Call merge(batch, n) for each batch of the stream; the number of the last one whose state stands."""
-    query = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(merge).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return _last(stream.sparkSession, f"{base}/state")
-
-
-def _runs(pdf: pd.DataFrame, keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Stretches of rows with equal keys, in order; rows of a key stand together."""
-    yield from (own for _, own in pdf.groupby(keys, sort=False, dropna=False))
-
-
-def _accepted(spark: SparkSession, sf_dir: str, base: str | None, fold, seconds: int) -> DataFrame:
-    """user_id, event_id, accepted: each event in order of (ts, event_id) of its user.
-
-    After a pause of more than `seconds` nothing earlier decides, so a user's events fall into
-    runs that are folded apart; pauses are found on one row per user and `seconds` of time.
-    A run passes through one task, with `recent` as all that is held of it.  The state a user
-    is the list of accepted times; it goes once it is `seconds` behind the watermark.  Events
-    without a time come first.
-    """
-    base = base or f"{folder(spark)}/accepted-{uuid.uuid4().hex}"
-    kind, saved = "user_id bigint, event_id bigint, accepted boolean", "user_id bigint, recent array<double>"
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, recent = None, []
-        for pdf in batches:
-            for own in _runs(pdf, ["user_id", "run"]):
-                head = (own["user_id"].iloc[0], own["run"].iloc[0])
-                if key is None or not all(a == b or pd.isna(a) and pd.isna(b) for a, b in zip(head, key, strict=True)):
-                    before = own["before"].iloc[0]
-                    key, recent = head, [] if before is None else list(before)
-                taken, after = [], []
-                for t in own["t"]:
-                    got, recent = fold([t], recent)
-                    taken += got
-                    after.append(recent)
-                yield pd.DataFrame({"user_id": own["user_id"], "event_id": own["event_id"], "t": own["t"], "accepted": taken, "after": after})
-
-    def merge(batch: DataFrame, n: int) -> None:
-        own = batch.sparkSession
-        old = own.read.schema(saved).parquet(f"{base}/state/{n - 1}") if n else own.createDataFrame([], saved)
-        rows = batch.select("user_id", "event_id", F.coalesce(F.col("ts").cast("double"), F.lit(-1e12)).alias("t")).withColumn("span", F.floor(F.col("t") / seconds))
-        spans = rows.groupBy("user_id", "span").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-        order = Window.partitionBy("user_id").orderBy("span")
-        pause = F.coalesce(F.col("first") - F.lag("last").over(order) > seconds, F.lit(True))
-        spans = spans.withColumn("start", F.when(pause, F.col("span"))).withColumn("run", F.max("start").over(order))
-        spans = spans.alias("s").join(old.hint("merge").alias("o"), F.expr("s.user_id <=> o.user_id"), "left").select("s.user_id", "s.span", "s.run", F.col("o.recent").alias("before"))
-        placed = rows.alias("r").join(spans.hint("merge").alias("s"), F.expr("r.user_id <=> s.user_id AND r.span = s.span")).select("r.user_id", "r.event_id", "r.t", "s.run", "s.before")
-        dealt = placed.repartition("user_id", "run").sortWithinPartitions("user_id", "run", "t", "event_id")
-        dealt.mapInPandas(step, "user_id bigint, event_id bigint, t double, accepted boolean, after array<double>").write.mode("overwrite").parquet(f"{base}/out/batch={n}")
-        done = own.read.parquet(f"{base}/out/batch={n}")
-        newest = done.groupBy("user_id").agg(F.max_by("after", F.struct("t", "event_id")).alias("recent"))
-        until = done.agg(F.max("t")).first()[0]
-        both = newest.withColumn("at", F.lit(1)).unionByName(old.withColumn("at", F.lit(0))).groupBy("user_id").agg(F.max_by("recent", "at").alias("recent"))
-        alive = both if until is None else both.where(F.array_max("recent") >= until - 600 - seconds)
-        alive.write.mode("overwrite").parquet(f"{base}/state/{n}")
-
-    last = _keep(events(spark, sf_dir).select("user_id", "event_id", "ts"), base, merge)
-    return spark.createDataFrame([], kind) if last is None else spark.read.schema(kind).parquet(f"{base}/out").select("user_id", "event_id", "accepted")
+accept_ttl = stateful.accept_ttl(TTL_SECONDS)
+accept_rate = stateful.accept_rate(RATE_LIMIT, RATE_SECONDS)
 
 
 def ttl_dedup(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
-    return _accepted(spark, sf_dir, base, accept_ttl, TTL_SECONDS)
+    """user_id, event_id, accepted: an event counts unless one of its user did in the last TTL_SECONDS."""
+    with stateful.rocksdb(spark):
+        found = stateful.accepted(events(spark, sf_dir), F.col("user_id"), F.col("event_id"), "ts", accept_ttl, TTL_SECONDS)
+        return _run(found, "append", base).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "accepted")
 
 
 def rate_limit(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
-    return _accepted(spark, sf_dir, base, accept_rate, RATE_SECONDS)
+    """user_id, event_id, accepted: at most RATE_LIMIT events of a user in any RATE_SECONDS."""
+    with stateful.rocksdb(spark):
+        found = stateful.accepted(events(spark, sf_dir), F.col("user_id"), F.col("event_id"), "ts", accept_rate, RATE_SECONDS)
+        return _run(found, "append", base).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "accepted")
 
 
-def clamped(steps, start=(0.0, -1e9, 1e9)) -> tuple[float, float, float]:
-    """Steps to [-1, 1], one after the other, as one function x -> min(hi, max(lo, x + a)): its a, lo, hi."""
-    a, lo, hi = start
-    for d in steps:
-        a, lo, hi = a + d, min(1.0, max(-1.0, lo + d)), min(1.0, max(-1.0, hi + d))
-    return a, lo, hi
+def content_dedup(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """event_id, key, accepted: content (an event's props) is let through unless its key was in the last TTL_SECONDS."""
+    with stateful.rocksdb(spark):
+        found = stateful.accepted(events(spark, sf_dir), stateful.content_key(F.col("props")), F.col("event_id"), "ts", accept_ttl, TTL_SECONDS)
+        return _run(found, "append", base).select(F.col("id").alias("event_id"), "key", "accepted")
 
 
 def weights(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """Running weight of each user and event type, clamped to [-1, 1] at every step.
 
-    A batch is dealt by ranges of (user, type, time), so that a busy user's events are split
-    evenly; each range folds its steps to one function a user and type, and these compose.
+    A trigger writes the keys that it touched; of a key the last trigger counts.
     """
+    steps = events(spark, sf_dir).select("user_id", F.col("event_type").alias("dim"), F.col("event_id").alias("id"), ((F.col("event_id") % 7 - 3) * 0.3).alias("step"), "ts")
     base = base or f"{folder(spark)}/weights-{uuid.uuid4().hex}"
-    kind = "user_id bigint, dim string, x double, n bigint"
-    order = ("user_id", "event_type", "ts", "event_id")
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for own in _runs(pdf, ["user_id", "event_type"]):
-                a, lo, hi = clamped((own["event_id"] % 7 - 3) * 0.3)
-                head = own.iloc[:1]
-                yield pd.DataFrame({"user_id": head["user_id"], "dim": head["event_type"], "ts": head["ts"], "event_id": head["event_id"], "n": len(own), "a": a, "lo": lo, "hi": hi})
-
-    def merge(batch: DataFrame, n: int) -> None:
-        own = batch.sparkSession
-        old = own.read.schema(kind).parquet(f"{base}/state/{n - 1}") if n else own.createDataFrame([], kind)
-        parts = batch.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(step, "user_id bigint, dim string, ts timestamp, event_id bigint, n bigint, a double, lo double, hi double")
-        # one row a range and Arrow batch
-        lists = parts.groupBy("user_id", "dim").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("ts", "event_id", "a", "lo", "hi"))).alias("parts"))
-        found = lists.alias("s").join(old.hint("merge").alias("o"), F.expr("s.user_id <=> o.user_id AND s.dim <=> o.dim"), "full")
-        x = F.expr("aggregate(coalesce(s.parts, array()), coalesce(o.x, 0.0D), (x, f) -> least(f.hi, greatest(f.lo, x + f.a)))")
-        found.select(F.coalesce("s.user_id", "o.user_id").alias("user_id"), F.coalesce("s.dim", "o.dim").alias("dim"), x.alias("x"), (F.coalesce("s.n", F.lit(0)) + F.coalesce("o.n", F.lit(0))).alias("n")).write.mode("overwrite").parquet(f"{base}/state/{n}")
-
-    last = _keep(events(spark, sf_dir).select(*order), base, merge)
-    rows = spark.createDataFrame([], kind) if last is None else spark.read.schema(kind).parquet(f"{base}/state/{last}")
-    return rows.select("user_id", "dim", F.round("x", 6).alias("weight"), "n")
+    with stateful.rocksdb(spark):
+        _run(stateful.clamped(steps, "ts"), "update", base)
+    rows = spark.read.schema("user_id long, dim string, x double, n long, batch long").parquet(f"{base}/out")
+    last = rows.groupBy("user_id", "dim").agg(F.max_by(F.struct("x", "n"), "batch").alias("r"))
+    return last.select("user_id", "dim", F.round("r.x", 6).alias("weight"), "r.n")
 
 
 def rescore(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
@@ -259,8 +164,8 @@ def rescore_pages(spark: SparkSession, sf_dir: str, base: str | None = None) ->
         stored = f"{base}/cycles/{n}"
         newest.withColumn("text", pages.text_of("html")).drop("html").write.mode("overwrite").parquet(f"{stored}/texts")
         texts = own.read.parquet(f"{stored}/texts")
-        texts.selectExpr("page_id AS doc_id", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "text").createOrReplaceTempView("documents")
-        scores = texts.join(own.sql(catalog.sql("scored", SPARK)).select(F.col("doc_id").alias("page_id"), "overall"), "page_id").select("url", "overall")
+        documents = texts.selectExpr("page_id AS doc_id", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "text")
+        scores = texts.join(catalog.over(catalog.sql("scored", SCANNED), own, {"marked": catalog.marked(documents)}).select(F.col("doc_id").alias("page_id"), "overall"), "page_id").select("url", "overall")
         old = own.read.schema(kind).parquet(f"{base}/cycles/{n - 1}/scores") if n else own.createDataFrame([], kind)
         both = old.alias("o").join(scores.alias("s"), "url", "full")
         new = F.col("s.overall").isNotNull()
