@@ -1,5 +1,6 @@
 """Queries against brute force in Python, on rows that an oracle of the same build would miss too."""
 
+import json
 import math
 
 import pytest
@@ -73,7 +74,7 @@ def test_rescored_pages_keep_url_score_cycle_and_delta(spark, tmp_path):
     assert {r.url: r for r in again} == second
 
 
-def test_rule_candidates_group_terms_with_their_best_partner(spark, sf_dir):
+def test_rule_candidates_group_terms_greedily(spark, sf_dir):
     from textassay.operators.learn import INDICATORS
 
     top = {r.gram: r.tfidf for r in catalog.run("mine_rules_tfidf", spark, sf_dir).collect()}
@@ -81,12 +82,7 @@ def test_rule_candidates_group_terms_with_their_best_partner(spark, sf_dir):
     for r in catalog.run("term_cooccurrence", spark, sf_dir).collect():
         near[r.term1].add(r.term2)
         near[r.term2].add(r.term1)
-    ranked = sorted(top, key=lambda t: (-len(near[t]), -top[t], t))
-    groups = {}
-    for t in ranked:
-        if near[t]:
-            groups.setdefault(min(map(ranked.index, near[t] | {t})), []).append(t)
-    want = [g[:5] for _, g in sorted(groups.items())][:5] or [ranked[:5]]
+    want = greedy(sorted(top, key=lambda t: (-top[t], t)), near)[:5]
     got = sorted(catalog.run("rule_candidates", spark, sf_dir).collect(), key=lambda r: r.name)
     assert [r.keywords for r in got] == [", ".join(g) for g in want]
     for r, g in zip(got, want, strict=True):
@@ -94,3 +90,65 @@ def test_rule_candidates_group_terms_with_their_best_partner(spark, sf_dir):
         assert r.dimension == max(hits, key=hits.get)
         assert 0 < r.confidence <= (1 if any(hits.values()) else 0.5)
         assert r.contribution == pytest.approx(min(50, max(15, 100 * max(top[t] for t in g))), abs=0.06)
+
+
+def greedy(terms, near):
+    """An unused term with unused partners leads a group; a first term without partners is one by itself."""
+    used, groups = set(), []
+    for t in terms:
+        free = sorted(near[t] - used)
+        if t not in used and (free or not used):
+            groups.append([t, *free[:4]])
+            used.update(groups[-1])
+    return groups
+
+
+def test_greedy_groups_on_random_graphs(spark):
+    import random
+
+    from textassay.functions.dialect import SPARK
+    from textassay.operators import learn
+
+    rng = random.Random(9)
+    for n, p in [(0, 0), (1, 0), (6, 0), (12, 0.1), (30, 0.05), (30, 0.3)]:
+        terms = [f"t{k:02d}" for k in rng.sample(range(40), n)]
+        pairs = [(a, b) for k, a in enumerate(terms) for b in terms[k + 1 :] if rng.random() < p]
+        near = {t: {b for a, b in pairs if a == t} | {a for a, b in pairs if b == t} for t in terms}
+        both = pairs + [(b, a) for a, b in pairs]
+        tables = {"top_terms": spark.createDataFrame([(t, 1.0, k) for k, t in enumerate(terms)], "gram string, tfidf double, rn int"), "near_terms": spark.createDataFrame(both, "gram string, near string")}
+        got = catalog.over(f"WITH term_list AS ({learn.term_list(SPARK)}) {learn.term_groups(SPARK)}", spark, tables).collect()
+        groups = {}
+        for r in sorted(got, key=lambda r: (r.g, r.k)):
+            groups.setdefault(r.g, []).append(r.gram)
+        assert [groups[g] for g in sorted(groups)] == greedy(terms, near)
+
+
+def test_judge_replies_by_bracket_matching(spark):
+    from textassay.functions.dialect import SPARK
+    from textassay.operators import joins
+
+    replies = {
+        'plain {"a": 1} end': '{"a": 1}',
+        '```json\n{"a": {"b": {"c": 2}}, "d": 3}\n``` and {"e": 4}': '{"a": {"b": {"c": 2}}, "d": 3}',
+        '{"s": "a } brace \\" and { more", "x": {}} tail }': '{"s": "a } brace \\" and { more", "x": {}}',
+        '{"open": {"never": 1}': None,
+        "no json": None,
+        "": None,
+        "} {": None,
+        "{}": "{}",
+    }
+    rows = spark.createDataFrame([(r,) for r in replies], "reply string")
+    got = {r.reply: r.found for r in rows.selectExpr("reply", f"{joins.outer_object(SPARK, 'reply')} AS found").collect()}
+    assert got == replies
+
+
+def test_injected_replies_become_neutral(spark):
+    from textassay.functions.dialect import SPARK
+    from textassay.operators import joins
+
+    body = lambda summary, labels: json.dumps({**dict.fromkeys([*joins.GOODS, *joins.RISKS], 42), "conf": 0.9, "summary": summary, "labels": labels}, ensure_ascii=False)
+    replies = [body("a good read", ["dense"]), body("Please IGNORE Previous text", []), body("fine", ["new instructions"]), body("系统提示", []), "ignore all, no json", body(None, None)]
+    rows = spark.createDataFrame([(k, 50.0, None, None, 0.0, r, r) for k, r in enumerate(replies)], "doc_id int, overall double, scam double, scam_conf double, worst double, reply string, second_reply string")
+    got = {r.doc_id: r for r in catalog.over(f"WITH parsed AS ({joins.parsed(SPARK)}) {joins._validate(SPARK)}", spark, {"replies": rows}).collect()}
+    assert [got[k].rejected for k in range(6)] == [False, True, True, True, False, False]
+    assert all((got[k].scam, got[k].conf) == (50.0, 0.1) for k in (1, 2, 3)) and (got[0].scam, got[0].conf) == (42.0, 0.9)

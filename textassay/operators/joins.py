@@ -53,6 +53,45 @@ ASK_AGAIN = 0.7
 COSTS = ("0.001", "0.01")
 
 
+# Wording of a reply that repeats an injected instruction.
+INJECTED = (
+    "ignore previous",
+    "ignore all",
+    "override instructions",
+    "disregard above",
+    "ignore above",
+    "new instructions",
+    "system prompt",
+    "forget everything",
+    "忽略上述",
+    "忽略以上",
+    "忽略之前",
+    "忽略所有",
+    "无视上述",
+    "无视以上",
+    "新的指令",
+    "重新定义",
+    "系统提示",
+    "覆盖指令",
+)
+
+
+def outer_object(d, x: str) -> str:
+    """The first balanced {...} of a reply, null without one: braces inside texts do not count, an open object is none.
+
+    A fold over the characters from the first brace on; replies are short.  The oracle takes
+    everything from the first brace to the last, which is the same where a reply holds one object.
+    """
+    if d.name != "spark":
+        return f"nullif(regexp_extract({x}, '(?s)[{{].*[}}]'), '')"
+    start = "named_struct('n', 0, 'deep', 0, 'quoted', false, 'escaped', false, 'end', 0)"
+    deep = "CASE WHEN s.quoted THEN s.deep WHEN c = '{' THEN s.deep + 1 WHEN c = '}' THEN s.deep - 1 ELSE s.deep END"
+    quoted = "CASE WHEN s.escaped THEN s.quoted WHEN c = '\"' THEN NOT s.quoted ELSE s.quoted END"
+    step = f"CASE WHEN s.end > 0 THEN s ELSE named_struct('n', s.n + 1, 'deep', {deep}, 'quoted', {quoted}, 'escaped', s.quoted AND NOT s.escaped AND c = r'\\', 'end', CASE WHEN c = '}}' AND NOT s.quoted AND s.deep = 1 THEN s.n + 1 ELSE 0 END) END"
+    rest = f"substring({x}, locate('{{', {x}))"
+    return f"CASE WHEN contains({x}, '{{') THEN nullif(left({rest}, aggregate(split({rest}, ''), {start}, (s, c) -> {step}, s -> s.end)), '') END"
+
+
 def replies(d) -> str:
     """Judge replies as they come: fenced, bare, broken, a few out of bounds in all dimensions; made from the documents' scores."""
 
@@ -63,7 +102,8 @@ def replies(d) -> str:
             value = f"(doc_id * 7 + {13 * k + shift}) % 101" if good else f"CAST(floor({'worst * 1.5' if n == 'scam' else f'coalesce({n}, 0.0)'}) AS INT)"
             value = f"CASE doc_id % 13 WHEN 0 THEN 100 WHEN 1 THEN {99 if good else 1} WHEN 2 THEN {1 if good else 99} ELSE {value} END"
             parts.append(f"'\"{n}\": ', CAST({value} AS STRING), ', '")
-        return "concat('{', " + ", ".join(parts) + f", '\"conf\": 0.', CAST({conf} AS STRING), ', \"note\": \"n', CAST(doc_id AS STRING), '\"}}')"
+        more = "CASE WHEN doc_id % 3 = 0 THEN ', \"meta\": {\"model\": {\"name\": \"m\"}}' ELSE '' END, ', \"summary\": \"a {plain} summary\", \"labels\": [\"x\"]'"
+        return "concat('{', " + ", ".join(parts) + f", '\"conf\": 0.', CAST({conf} AS STRING), {more}, ', \"note\": \"n', CAST(doc_id AS STRING), '\"}}')"
 
     first, second = body("doc_id % 10", 0), body("(doc_id * 3 + 4) % 10", 29)
     return f"""
@@ -81,17 +121,19 @@ def parsed(d) -> str:
     return f"""
 SELECT doc_id, overall, scam, scam_conf, j IS NOT NULL AS ok, {dims}, {field('j', 'conf', '1.0', '0.1')} AS judge_conf,
   {field('j2', 'scam', '100.0', '50.0')} AS second_scam, {field('j2', 'conf', '1.0', '0.1')} AS second_conf
-FROM (SELECT *, {d.rxone('reply', '([{][^{}]*[}])')} AS j, {d.rxone('second_reply', '([{][^{}]*[}])')} AS j2 FROM replies)"""
+  , lower(concat(coalesce({d.json('j', 'summary')}, ''), ' ', coalesce({d.json('j', 'labels')}, ''))) AS said
+FROM (SELECT *, {outer_object(d, 'reply')} AS j, {outer_object(d, 'second_reply')} AS j2 FROM replies)"""
 
 
 def _validate(d) -> str:
-    """A reply with every dimension at one end is taken for a forged one and becomes neutral."""
+    """A reply with every dimension at one end, or that repeats an injected instruction, is taken for a forged one and becomes neutral."""
     all_ = lambda names, test: " AND ".join(f"judge_{n} {test}" for n in names)
     # The patterns of a forged reply.
     forged = [(GOODS, "= 100", RISKS, "= 100"), (GOODS, "= 0", RISKS, "= 0"), (GOODS, ">= 98", RISKS, "<= 2"), (GOODS, "<= 2", RISKS, ">= 98")]
     test = " OR ".join(f"({all_(a, x)} AND {all_(b, y)})" for a, x, b, y in forged)
+    injected = " OR ".join(d.contains("said", phrase) for phrase in INJECTED)
     dims = ", ".join(f"CAST(CASE WHEN rejected THEN 50.0 ELSE judge_{n} END AS DOUBLE) AS {n}" for n in [*GOODS, *RISKS])
-    return f"SELECT doc_id, rejected, {dims}, CAST(CASE WHEN rejected THEN 0.1 ELSE judge_conf END AS DOUBLE) AS conf FROM (SELECT *, ok AND ({test}) AS rejected FROM parsed)"
+    return f"SELECT doc_id, rejected, {dims}, CAST(CASE WHEN rejected THEN 0.1 ELSE judge_conf END AS DOUBLE) AS conf FROM (SELECT *, ok AND ({test} OR {injected}) AS rejected FROM parsed)"
 
 
 def _merge(d) -> str:

@@ -111,16 +111,34 @@ def near_terms(d) -> str:
     return f"SELECT term1 AS gram, term2 AS near, n FROM ({_cooccurrence(d)}) UNION ALL SELECT term2 AS gram, term1 AS near, n FROM ({_cooccurrence(d)})"
 
 
-def term_places(d) -> str:
-    """Top terms by their number of partners, then by TF-IDF."""
-    return "SELECT gram, tfidf, degree, max(degree) OVER () AS most, row_number() OVER (ORDER BY degree DESC, rn) AS place FROM (SELECT t.gram, t.tfidf, t.rn, count(b.near) AS degree FROM top_terms t LEFT JOIN near_terms b ON t.gram = b.gram GROUP BY t.gram, t.tfidf, t.rn)"
+def term_list(d) -> str:
+    """One row: the top terms (30 at most) in order, each with its partners."""
+    near = f"SELECT gram, {d.collect('near', 'near')} AS nears FROM near_terms GROUP BY gram"
+    item = "named_struct('gram', t.gram, 'nears', coalesce(b.nears, slice(array(t.gram), 1, 0)))"
+    if d.name != "spark":  # a fold's elements and its state are of one type there
+        item = "{'gram': t.gram, 'nears': coalesce(b.nears, CAST([] AS VARCHAR[])), 'used': CAST([] AS VARCHAR[]), 'groups': CAST([] AS VARCHAR[][])}"
+    return f"SELECT {d.collect(item, 't.rn')} AS items FROM top_terms t LEFT JOIN ({near}) b ON t.gram = b.gram"
 
 
 def term_groups(d) -> str:
-    """The best place among a term and its partners names its group; without any partners the first five terms are one group."""
-    led = "SELECT a.gram, a.tfidf, a.place, a.degree, a.most, min(CASE WHEN a.most = 0 THEN 1 WHEN c.place < a.place THEN c.place ELSE a.place END) AS leader FROM term_places a LEFT JOIN near_terms b ON a.gram = b.gram LEFT JOIN term_places c ON b.near = c.gram GROUP BY a.gram, a.tfidf, a.place, a.degree, a.most"
-    ordered = f"SELECT gram, tfidf, leader, row_number() OVER (PARTITION BY leader ORDER BY place) AS k FROM ({led}) WHERE degree > 0 OR most = 0"
-    return f"SELECT gram, tfidf, k, dense_rank() OVER (ORDER BY leader) AS g FROM ({ordered}) WHERE k <= 5"
+    """Terms taken greedily in order: an unused one with unused partners leads a group of them, four partners at most by name.
+
+    A first term without partners is a group by itself; later ones without are left out.
+    """
+    if d.name == "spark":
+        free = "array_sort(array_except(x.nears, s.used))"
+        group = f"concat(array(x.gram), slice({free}, 1, 4))"
+        none = "CAST(array() AS ARRAY<STRING>)"
+        add = f"CASE WHEN array_contains(s.used, x.gram) OR size({free}) = 0 AND size(s.used) > 0 THEN s ELSE named_struct('used', concat(s.used, {group}), 'groups', concat(s.groups, array({group}))) END"
+        fold = f"aggregate(items, named_struct('used', {none}, 'groups', CAST(array() AS ARRAY<ARRAY<STRING>>)), (s, x) -> {add}, s -> s.groups)"
+        each = f"SELECT g + 1 AS g, k + 1 AS k, gram FROM (SELECT {fold} AS groups FROM term_list) LATERAL VIEW posexplode(groups) AS g, members LATERAL VIEW posexplode(members) AS k, gram"
+    else:
+        free = "list_sort(list_filter(x.nears, lambda n: NOT list_contains(s.used, n)))"
+        group = f"list_concat([x.gram], list_slice({free}, 1, 4))"
+        add = f"CASE WHEN list_contains(s.used, x.gram) OR len({free}) = 0 AND len(s.used) > 0 THEN s ELSE {{'gram': x.gram, 'nears': x.nears, 'used': list_concat(s.used, {group}), 'groups': list_append(s.groups, {group})}} END"
+        start = "{'gram': '', 'nears': CAST([] AS VARCHAR[]), 'used': CAST([] AS VARCHAR[]), 'groups': CAST([] AS VARCHAR[][])}"
+        each = f"SELECT g, k, list_extract(members, k) AS gram FROM (SELECT g, members, unnest(range(1, len(members) + 1)) AS k FROM (SELECT g, list_extract(groups, g) AS members FROM (SELECT groups, unnest(range(1, len(groups) + 1)) AS g FROM (SELECT list_reduce(list_prepend({start}, items), lambda s, x: {add}).groups AS groups FROM term_list))))"
+    return f"SELECT e.gram, t.tfidf, e.k, e.g FROM ({each}) e JOIN top_terms t ON e.gram = t.gram"
 
 
 def _candidates(d) -> str:
@@ -137,7 +155,7 @@ def _cooccurrence(d) -> str:
     return f"SELECT a.gram AS term1, b.gram AS term2, count(*) AS n FROM hits_top a JOIN hits_top b ON a.doc_id = b.doc_id AND a.gram < b.gram GROUP BY a.gram, b.gram HAVING count(*) >= {MIN_COUNT}"
 
 
-BASES |= {"near_terms": near_terms, "term_places": term_places, "term_groups": term_groups}
+BASES |= {"near_terms": near_terms, "term_list": term_list, "term_groups": term_groups}
 QUERIES = {
     "calibration_stats": lambda d: "SELECT total, CASE WHEN total = 0 THEN 0.0 ELSE 100.0 * agreed / total END AS agreement, fp, fn FROM (SELECT CAST(count(*) AS DOUBLE) AS total, count(CASE WHEN scale = verdict THEN 1 END) AS agreed, count(CASE WHEN scale = 'junk' AND verdict <> 'junk' THEN 1 END) AS fp, count(CASE WHEN scale <> 'junk' AND verdict = 'junk' THEN 1 END) AS fn FROM judged)",
     "confusion_binary": _binary,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textassay.functions.dialect import SPARK
 from textassay.operators import pages
-from textassay.plans import catalog
+from textassay.plans import catalog, stages
 from textassay.sources.shared import kept
 from textassay.streaming import jobs
 
@@ -101,7 +101,15 @@ def content_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.content_dedup(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
 
 
+def staged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the default pipeline of stages, with the errors of each."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("raw"))
+    found = stages.default().run(rows)
+    return found.select("doc_id", F.col("overall").cast("double").alias("overall"), "verdict", "cut", F.array_join("errors", "; ").alias("errors"), F.size("stages").alias("n_stages"))
+
+
 QUERIES = {
+    "staged_documents": staged_documents,
     "embedding_neighbors": embedding_neighbors,
     "near_dup_clusters": near_dup_clusters,
     "ml_class": ml_class,
@@ -143,7 +151,12 @@ def _oracles() -> dict[str, str]:
 
     chain = catalog.sql("overall_score", DUCK)
     feed = chain[: chain.rindex("SELECT doc_id, overall,")] + "SELECT doc_id, overall, matched FROM scored"
+    bare = "regexp_replace(coalesce(text, ''), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')"
+    judged = f"(SELECT doc_id, lang, source, CASE WHEN length(b) > 10000 THEN concat(left(b, 5000), chr(10), right(b, 2000)) ELSE b END AS text FROM (SELECT *, {bare} AS b FROM documents))"
+    staged = catalog.sql("scored", DUCK).replace("FROM documents", f"FROM {judged}")
+    verdict = "CASE WHEN overall < 40 THEN 'junk' WHEN overall <= 60 THEN 'suspicious' WHEN overall <= 80 THEN 'normal' ELSE 'quality' END"
     return {
+        "staged_documents": f"SELECT s.doc_id, CASE WHEN t <> '' THEN overall END AS overall, CASE WHEN t <> '' THEN {verdict} END AS verdict, CASE WHEN t <> '' THEN length({bare.replace('text', 'd.text')}) > 10000 END AS cut, CASE WHEN t = '' THEN 'extract: no content' WHEN d.source IS NULL THEN 'enrich: no source' ELSE '' END AS errors, CAST(CASE WHEN t = '' THEN 0 WHEN d.source IS NULL THEN 4 ELSE 5 END AS INT) AS n_stages FROM ({staged}) s JOIN documents d ON s.doc_id = d.doc_id",
         "embedding_neighbors": f"SELECT query_id, vec_id, round(c, 6) AS cosine, CAST(rn AS INT) AS rn FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) WHERE rn <= {NEIGHBOURS}",
         "stream_score_feed": feed,
         "stream_ttl_dedup": _ttl("user_id", "user_id"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from textassay.functions.dialect import SCANNED
 from textassay.operators import pages
 from textassay.plans import catalog
+from textassay.sources import score_store
 from textassay.sources.shared import folder
 from textassay.streaming import stateful
 
@@ -78,29 +79,18 @@ def score_feed(spark: SparkSession, sf_dir: str, base: str | None = None) -> Dat
 
 
 def latest_by_user(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
-    """Upsert per batch: the newest event of each user replaces the stored one."""
+    """Upsert per batch: the newest event of each user replaces the stored one, in the buckets that the batch touches."""
     base = base or f"{folder(spark)}/upsert-{uuid.uuid4().hex}"
-    kind = "user_id bigint, ts timestamp, event_id bigint, value double"
+    at = lambda x: F.struct(F.col(f"{x}.ts"), F.col(f"{x}.event_id"))
+    newer = F.when(F.col("o").isNull() | F.col("n").isNotNull() & (at("n") >= at("o")), F.col("n")).otherwise(F.col("o"))
+    store = score_store.keyed(spark, f"{base}/store", "who string, user_id bigint, ts timestamp, event_id bigint, value double", "who", "ts", newer)
 
     def merge(batch: DataFrame, n: int) -> None:
-        rows = batch.selectExpr("user_id", "ts", "event_id", "CAST(value AS DOUBLE) AS value")
-        if n:
-            rows = rows.unionByName(batch.sparkSession.read.schema(kind).parquet(f"{base}/{n - 1}"))
-        newest = rows.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
-        newest.write.mode("overwrite").parquet(f"{base}/{n}")
+        store.upsert(batch.selectExpr("coalesce(CAST(user_id AS STRING), '') AS who", "user_id", "ts", "event_id", "CAST(value AS DOUBLE) AS value"))
 
     query = events(spark, sf_dir).writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(merge).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = _last(spark, base)
-    return (spark.createDataFrame([], kind) if last is None else spark.read.schema(kind).parquet(f"{base}/{last}")).select("user_id", "event_id", "value")
-
-
-def _last(spark: SparkSession, base: str) -> int | None:
-    """The highest batch number that stands as a folder in base."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
-    return max((int(x) for x in found if x.isdigit()), default=None)
+    return store.rows().select("user_id", "event_id", "value")
 
 
 accept_ttl = stateful.accept_ttl(TTL_SECONDS)
@@ -156,22 +146,22 @@ def rescore_pages(spark: SparkSession, sf_dir: str, base: str | None = None) ->
     a cycle the last page counts; pages without url have no place to be stored.
     """
     base = base or f"{folder(spark)}/rescore-{uuid.uuid4().hex}"
-    kind = "url string, score double, cycle bigint, delta double"
+    # a cycle that runs again compares with what its first run compared with
+    last = F.when(F.col("o.cycle") == F.col("n.cycle"), F.col("o.prior")).otherwise(F.col("o.score"))
+    moved = F.col("n").withField("prior", last).withField("delta", F.round(F.col("n.score") - last, 1))
+    store = score_store.keyed(spark, f"{base}/store", "url string, score double, cycle bigint, delta double, prior double", "url", "cycle", F.when(F.col("n").isNull(), F.col("o")).when(F.col("o").isNull(), F.col("n")).otherwise(moved))
 
     def score(batch: DataFrame, n: int) -> None:
         own = batch.sparkSession
         newest = batch.where("url IS NOT NULL").groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("p")).select("url", "p.*")
-        stored = f"{base}/cycles/{n}"
-        newest.withColumn("text", pages.text_of("html")).drop("html").write.mode("overwrite").parquet(f"{stored}/texts")
-        texts = own.read.parquet(f"{stored}/texts")
+        aside = f"{base}/texts"
+        newest.withColumn("text", pages.text_of("html")).drop("html").write.mode("overwrite").parquet(aside)
+        texts = own.read.parquet(aside)
         documents = texts.selectExpr("page_id AS doc_id", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "text")
-        scores = texts.join(catalog.over(catalog.sql("scored", SCANNED), own, {"marked": catalog.marked(documents)}).select(F.col("doc_id").alias("page_id"), "overall"), "page_id").select("url", "overall")
-        old = own.read.schema(kind).parquet(f"{base}/cycles/{n - 1}/scores") if n else own.createDataFrame([], kind)
-        both = old.alias("o").join(scores.alias("s"), "url", "full")
-        new = F.col("s.overall").isNotNull()
-        both.select("url", F.when(new, F.col("s.overall")).otherwise(F.col("o.score")).cast("double").alias("score"), F.when(new, F.lit(n + 1)).otherwise(F.col("o.cycle")).cast("bigint").alias("cycle"), F.when(new, F.round(F.col("s.overall") - F.col("o.score"), 1)).otherwise(F.col("o.delta")).cast("double").alias("delta")).write.mode("overwrite").parquet(f"{stored}/scores")
+        scores = texts.join(catalog.over(catalog.sql("scored", SCANNED), own, {"marked": catalog.marked(documents)}).select(F.col("doc_id").alias("page_id"), "overall"), "page_id")
+        none = F.lit(None).cast("double")
+        store.upsert(scores.select("url", F.col("overall").cast("double").alias("score"), F.lit(n + 1).cast("bigint").alias("cycle"), none.alias("delta"), none.alias("prior")))
 
     query = table(spark, sf_dir, "pages").select("page_id", "url", "html").writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(score).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = _last(spark, f"{base}/cycles")
-    return spark.createDataFrame([], kind) if last is None else spark.read.schema(kind).parquet(f"{base}/cycles/{last}/scores")
+    return store.rows().select("url", "score", "cycle", "delta")
