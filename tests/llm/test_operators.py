@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -617,3 +618,49 @@ def test_op10_cuts_inside_large_patterns(spark, monkeypatch):
     got = mixing.mix(docs, F.array("source")).groupBy("members").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     # within one document of the target
     assert len(got) == 3 and all(abs(r.taken - r.target) <= 13 for r in got)
+
+
+def test_op1_many_short_blocks_take_linear_time():
+    page = "<body>" + "".join(f"<p>short {k}</p>" for k in range(200_000)) + "</body>"
+    began = time.time()
+    pagetext.main_text(page)
+    small = time.time() - began
+    assert small < 60
+
+
+def test_op6_items_without_id(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, text), (2, "other words " + text), (3, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), ("b", "other words one two three four five six seven eight"), (None, "x y"), ("c", None)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated, got[1].items_sha256) == (11, 0, True, hashlib.sha256(b"").hexdigest())
+    assert (got[2].n_hit, got[2].n_items, got[2].items_sha256) == (13, 1, hashlib.sha256(b"b").hexdigest()) and not got[3].contaminated
+
+
+def test_op2_widest_span_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(500):
+        left, right = (np.array([rng.random() < 0.7 for _ in range(rng.randint(0, 14))], bool) for _ in range(2))
+        words = rng.randint(1, 12)
+        same = rng.randint(0, words)
+        fits = [i + j for i in range(len(left) + 1) for j in range(len(right) + 1) if (not i or left[i - 1]) and (not j or right[j - 1]) and same + left[:i].sum() + right[:j].sum() >= passages.MIN_IDENTITY * (words + i + j) - 1e-9]
+        got = passages._widest(words, same, left, right)
+        assert (sum(got) if got else None) == max(fits, default=None)
+
+
+def test_op2_recall_of_short_passages_by_chain():
+    """Handed every common seed, chains and alignment keep passages of 40 words and 80 % equal words."""
+    rng = random.Random(6)
+    word = lambda n: [rng.randrange(1 << 31) for _ in range(n)]
+    kept = collections.Counter()
+    for percent in (80, 85, 90):
+        for _ in range(200):
+            passage = word(40)
+            copy = list(passage)
+            for i in rng.sample(range(2, 38), 40 * (100 - percent) // 100):
+                copy[i] = word(1)[0]
+            a, b = (np.array(word(30) + p + word(30), np.uint32) for p in (passage, copy))
+            seeds = [(x, x) for x in range(len(a) - passages.K + 1) if (a[x : x + passages.K] == b[x : x + passages.K]).all()]
+            spans = [s for c in (passages.chains(seeds) if seeds else []) for s in passages.align(a, b, c)]
+            kept[percent] += any(last - first + 1 >= 40 and identity >= 0.8 for first, last, _, _, identity, _, _ in spans) or not seeds
+    assert kept[80] >= 180 and kept[85] >= 190 and kept[90] >= 195, kept

@@ -13,7 +13,8 @@ whatever the benchmark's size.
 
 Defined cases: null and empty texts have no words and are never hit; an item of fewer
 words than the width is one window, an item without words none; repeated documents are
-judged each, repeated item ids count once; windows do not run across documents; empty
+judged each, repeated item ids count once; an item without id hits words but is neither counted
+nor listed; windows do not run across documents; empty
 tables give no hits.
 """
 
@@ -130,7 +131,8 @@ def matches(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int =
                         got = sorted({(s, k, m) for m, s, k in _matches(block, rows, view("terms", np.uint64), view("offsets", np.int32), view("positions", np.int32), slack)})
                         for start, size, item in got:
                             d = int(np.searchsorted(rows, start, side="right")) - 1
-                            ids[d].add(block.ids[item])
+                            if block.ids[item] is not None:
+                                ids[d].add(block.ids[item])
                             first, last = start - int(rows[d]), start - int(rows[d]) + size - 1
                             if spans[d] and first <= spans[d][-1][1] + 1:
                                 spans[d][-1] = (spans[d][-1][0], max(last, spans[d][-1][1]))

@@ -127,7 +127,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         attributes = m[3] or m[6] or ""
         whole = tag in ("article", "main")
         if skip:
-            if tag == "body" or (whole and not closing and f"</{skip[0]}" not in low[at:]) or (skip[0] == "p" and tag in BLOCKS and not (tag == "p" and closing)):
+            if tag == "body" or (whole and not closing and low.find(f"</{skip[0]}", at) < 0) or (skip[0] == "p" and tag in BLOCKS and not (tag == "p" and closing)):
                 skip.clear()
             elif tag == skip[0]:
                 if closing:
@@ -219,24 +219,31 @@ def main_text(page: str | None) -> str:
                     break
     first = list(labels)
 
+    def sweep(backwards: bool, skip_near: bool) -> list[str]:
+        """The nearest decided label before (or after) each block; beyond the ends there is only chrome."""
+        near, out = BAD, []
+        for label in reversed(first) if backwards else first:
+            out.append(near)
+            if label in (GOOD, BAD) or (label == NEAR and not skip_near):
+                near = label
+        return out[::-1] if backwards else out
+
+    sweeps = {(step, skip): sweep(step > 0, skip) for step in (-1, 1) for skip in (False, True)}
+
     def neighbour(i: int, step: int, skip_near: bool) -> str:
-        i += step
-        while 0 <= i < len(first):
-            if first[i] in (GOOD, BAD) or (first[i] == NEAR and not skip_near):
-                return first[i]
-            i += step
-        return BAD
+        return sweeps[step, skip_near][i]
 
+    bad, good = BAD in first, GOOD in first
     for i, label in enumerate(first):
         if label == SHORT and found[i][3]:
             # inside the article only links on both sides speak against a short block
-            labels[i] = BAD if neighbour(i, -1, False) == neighbour(i, 1, False) == BAD and BAD in first else GOOD
+            labels[i] = BAD if neighbour(i, -1, False) == neighbour(i, 1, False) == BAD and bad else GOOD
         elif label == SHORT:
             both = {neighbour(i, -1, True), neighbour(i, 1, True)}
             near = NEAR in (neighbour(i, -1, False), neighbour(i, 1, False))
             labels[i] = GOOD if both == {GOOD} or (len(both) == 2 and near) else BAD
         elif label == NEAR:
-            labels[i] = BAD if {neighbour(i, -1, True), neighbour(i, 1, True)} == {BAD} and len(found) > 1 and GOOD in first else GOOD
+            labels[i] = BAD if {neighbour(i, -1, True), neighbour(i, 1, True)} == {BAD} and len(found) > 1 and good else GOOD
     return "\n\n".join(b[0] for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 
