@@ -1,12 +1,16 @@
 """The rule engine against a plain-Python version, on inline texts of two languages."""
 
+import random
 import re
+import time
 
 import pytest
 
-from textassay.functions.dialect import SPARK
+from textassay.functions import phrases
+from textassay.functions.dialect import SCANNED, SPARK
 from textassay.functions.packs import LATIN, ZH
 from textassay.operators import rules
+from textassay.plans import catalog, native
 
 TEXTS = [
     "Double your money! You have been selected: wire transfer the upfront fee. LAST CHANCE, before it's too late!",
@@ -106,3 +110,44 @@ def test_engine_equals_plain_python(spark, pack):
 def test_clean_text_scores_as_documented(spark):
     value = spark.sql(f"SELECT {rules.overall_of({n: '50.0' for n, _ in rules.POSITIVE}, {n: '0.0' for n, _ in rules.NEGATIVE})} AS x").first().x
     assert value == 73.8
+
+
+@pytest.mark.parametrize("pack", [LATIN, ZH], ids=["latin", "zh"])
+def test_one_scan_equals_one_expression_a_phrase(spark, pack):
+    """Every phrase alone, in pairs, overlapping and repeated."""
+    words = [e.phrase for e in phrases.entries(pack)]
+    texts = [*TEXTS, *words, *(f"x{a}{b}\n{a} {a}" for a, b in zip(words, words[1:], strict=False)), "", "one MIT and mit, not emit"]
+    docs = spark.createDataFrame([(i, "en", "s", t) for i, t in enumerate(texts)], "doc_id int, lang string, source string, t string")
+    chain = lambda d: f"WITH hits AS ({rules.hits(d, pack)}), base_rules AS ({rules.base_rules(d)}), rules AS ({rules.merged(d, pack)}) SELECT * FROM rules"
+    found = catalog.over(chain(SCANNED), spark, {"marked": rules.marked(docs, pack)}).drop("t").orderBy("doc_id").collect()
+    assert found == catalog.over(chain(SPARK), spark, {"docs": docs}).drop("t").orderBy("doc_id").collect()
+    fired = {n for r in found for n in r.matched.split("|")}
+    assert fired >= {"scam_keywords", "advertorial_promo", "credibility_unverifiable"}
+
+
+def test_scan_does_not_grow_with_the_phrases():
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30_000))
+    seconds = []
+    for n in (100, 1000, 20_000):
+        scanner = phrases.Scanner([phrases.Entry("scam", f"{rng.randrange(10**9)} phrase {k}", False) for k in range(n)])
+        began = time.perf_counter()
+        for _ in range(5):
+            assert scanner.found(text) == []
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 3 * seconds[0] and seconds[2] < 6 * seconds[0], seconds
+
+
+def test_scanner_without_automaton_gives_the_same():
+    listed = phrases.entries(LATIN) + [phrases.Entry("x", "aba", False), phrases.Entry("y", "MIT", True), phrases.Entry("z", "", False)]
+    fast, slow = phrases.Scanner(listed), phrases.Scanner(listed)
+    slow.automaton = None
+    for text in [*TEXTS, "ababa aba\nabab", "mit emit MIT.", ""]:
+        assert fast.found(text) == slow.found(text)
+    assert [h[2:] for h in slow.found("x\nababa aba") if h[1] == "aba"] == [(2, 2)]
+
+
+def test_every_latin_rule_fires_on_the_planted_documents(spark, sf_dir):
+    fired = {n for r in native.QUERIES["rule_score_planted"](spark, sf_dir).select("matched").distinct().collect() for n in r.matched.split("|")}
+    want = {"scam_keywords", "emotional_anxiety_and_punctuation", "emotional_anxiety_phrases", "advertorial_promo", "credibility_unverifiable", "scam_educational_context_cap"}
+    assert fired >= want | {c[0] for c in LATIN.combos if c[0] in fired}

@@ -131,8 +131,12 @@ def sent_density(d) -> str:
 
 
 def _tldr(d) -> str:
-    picked = "(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY density DESC, i, j) AS rn FROM sent_density WHERE length(s) >= 10)"
-    return f"SELECT doc_id, {d.join(d.collect('s', 'i * 1000000 + j'), '. ')} AS tldr, count(*) AS n FROM {picked} WHERE rn <= 3 GROUP BY doc_id"
+    """The three densest sentences of ten characters or more, the densest first; without any, the first sentence."""
+    order = "CASE WHEN length(s) >= 10 THEN 0 ELSE 1 END, CASE WHEN length(s) >= 10 THEN -density ELSE 0 END, i, j"
+    picked = f"(SELECT doc_id, s, rn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS rn FROM sent_density) WHERE rn <= 3 AND (length(s) >= 10 OR rn = 1))"
+    latin = f"CAST(length({d.rxreplace('t', '[^A-Za-z0-9 ]')}) AS DOUBLE) / greatest(length(t), 1) > 0.5"
+    best = d.collect("s", "rn")
+    return f"SELECT p.doc_id, CASE WHEN k.latin THEN {d.join('p.best', '. ')} ELSE {d.join('p.best', '。')} END AS tldr, p.n FROM (SELECT doc_id, {best} AS best, count(*) AS n FROM {picked} GROUP BY doc_id) p JOIN (SELECT doc_id, {latin} AS latin FROM docs) k ON p.doc_id = k.doc_id"
 
 
 def _anchor(d) -> str:

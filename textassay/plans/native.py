@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textassay.functions.dialect import SPARK
-from textassay.operators import pages
+from textassay.functions import phrases
+from textassay.functions.dialect import SCANNED, SPARK
+from textassay.functions.packs import LATIN
+from textassay.operators import pages, quantiles
 from textassay.plans import catalog, stages
 from textassay.sources.shared import kept
 from textassay.streaming import jobs
@@ -108,7 +110,39 @@ def staged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("overall").cast("double").alias("overall"), "verdict", "cut", F.array_join("errors", "; ").alias("errors"), F.size("stages").alias("n_stages"))
 
 
-QUERIES = {
+def planted_lines() -> list[str]:
+    """For each phrase of the Latin pack a line that holds it and two others, so that every rule fires on some document."""
+    words = [e.phrase for e in phrases.entries(LATIN)]
+    n = len(words)
+    return [f"{words[k]}; {words[(7 * k + 1) % n]}, {words[(3 * k + 2) % n]}! Last chance before it's too late" + "!" * (k % 9) for k in range(n)]
+
+
+def _planted(name: str):
+    """A rule query over all documents with a planted line each, by their id."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = planted_lines()
+        line = F.element_at(F.array(*map(F.lit, lines)), (F.col("doc_id") % len(lines) + 1).cast("int"))
+        docs = catalog.spread(_table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.concat_ws("\n", "text", line).alias("text"))
+        return catalog.over(catalog.sql(name, SCANNED), spark, {"marked": catalog.marked(docs)})
+
+    return run
+
+
+PLANTED = {"rule_score_planted": "rule_score_all", "rule_hits_planted": "rule_hits_long", "evidence_planted": "evidence_locate"}
+
+
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.percentiles(_table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+def consistent_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.percentiles(_table(spark, sf_dir, "events"), "user_id", "value", {"median": 0.5})
+
+
+QUERIES = {name: _planted(of) for name, of in PLANTED.items()} | {
+    "latency_percentiles": latency_percentiles,
+    "consistent_median": consistent_median,
     "staged_documents": staged_documents,
     "embedding_neighbors": embedding_neighbors,
     "near_dup_clusters": near_dup_clusters,
@@ -151,11 +185,14 @@ def _oracles() -> dict[str, str]:
 
     chain = catalog.sql("overall_score", DUCK)
     feed = chain[: chain.rindex("SELECT doc_id, overall,")] + "SELECT doc_id, overall, matched FROM scored"
+    listed = ", ".join(DUCK.lit(line) for line in planted_lines())
+    line = f"list_extract([{listed}], doc_id % {len(planted_lines())} + 1)"
+    planted = {name: catalog.sql(of, DUCK).replace("FROM documents", f"FROM (SELECT doc_id, lang, source, concat_ws(chr(10), text, {line}) AS text FROM documents)") for name, of in PLANTED.items()}
     bare = "regexp_replace(coalesce(text, ''), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')"
     judged = f"(SELECT doc_id, lang, source, CASE WHEN length(b) > 10000 THEN concat(left(b, 5000), chr(10), right(b, 2000)) ELSE b END AS text FROM (SELECT *, {bare} AS b FROM documents))"
     staged = catalog.sql("scored", DUCK).replace("FROM documents", f"FROM {judged}")
     verdict = "CASE WHEN overall < 40 THEN 'junk' WHEN overall <= 60 THEN 'suspicious' WHEN overall <= 80 THEN 'normal' ELSE 'quality' END"
-    return {
+    return planted | {
         "staged_documents": f"SELECT s.doc_id, CASE WHEN t <> '' THEN overall END AS overall, CASE WHEN t <> '' THEN {verdict} END AS verdict, CASE WHEN t <> '' THEN length({bare.replace('text', 'd.text')}) > 10000 END AS cut, CASE WHEN t = '' THEN 'extract: no content' WHEN d.source IS NULL THEN 'enrich: no source' ELSE '' END AS errors, CAST(CASE WHEN t = '' THEN 0 WHEN d.source IS NULL THEN 4 ELSE 5 END AS INT) AS n_stages FROM ({staged}) s JOIN documents d ON s.doc_id = d.doc_id",
         "embedding_neighbors": f"SELECT query_id, vec_id, round(c, 6) AS cosine, CAST(rn AS INT) AS rn FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) WHERE rn <= {NEIGHBOURS}",
         "stream_score_feed": feed,
