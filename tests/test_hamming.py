@@ -71,3 +71,20 @@ def test_buckets_stay_bounded(spark):
     rows = spark.range(4096).select((F.lit(0x5A5A << 40) + F.col("id")).alias("fingerprint"), F.lit(False).alias("query"))
     found, _ = hamming.index(rows, 3, 32)
     assert found.groupBy("mask", "key").count().agg(F.max("count")).first()[0] <= 4 ** (3 + 1)
+
+
+@pytest.mark.parametrize("distance, hot", [(6, 512), (6, 3), (3, 4)])
+def test_nearest_before_equals_brute_force_with_a_row_a_fingerprint(spark, distance, hot):
+    rng = random.Random(distance + hot)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    rows = list({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for c in centres for _ in range(40)})
+    rng.shuffle(rows)  # doc_id is the place; every third is no query
+    rows += [0x5A5A << 40 | k for k in range(150)]  # more than a bucket's SMALL
+    table = spark.createDataFrame([(hamming.signed(x), k % 3 != 0, k) for k, x in enumerate(rows)], "fingerprint long, query boolean, doc_id long").repartition(3)
+    want = {}
+    for k, x in enumerate(rows):
+        best = min(((x ^ y).bit_count() for y in rows[:k]), default=64)
+        if k % 3 and best <= distance:
+            want[hamming.signed(x)] = best
+    got = hamming.nearest_before(table, distance, hot).collect()
+    assert {tuple(r) for r in got} == set(want.items()) and len(got) == len(want)

@@ -15,7 +15,7 @@ from textassay.sources.shared import kept
 MODULES = ("rules", "features", "paragraphs", "store", "joins", "learn", "simhash", "pages")
 #: Steps that Spark writes out once and reads back: many queries filter on their columns,
 #: and a filter pushed below them would repeat their large expressions.
-STORED = ("scored", "fp", "near_copies", "near_far", "near_items")
+STORED = ("scored", "fp", "near_copies", "near_before", "near_items")
 #: Tables with long texts, whose rows are costly to work on, and the size below which they are dealt out.
 TEXTS, SMALL = ("documents", "pages"), 1 << 28
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -115,7 +115,7 @@ def _pairs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stored_pairs(spark, sf_dir, name)
 
 
-MAKERS = {"scored": functools.partial(run, "scored"), "fp": _fingerprints} | {name: functools.partial(_pairs, name=name) for name in ("near_copies", "near_far", "near_items")}
+MAKERS = {"scored": functools.partial(run, "scored"), "fp": _fingerprints} | {name: functools.partial(_pairs, name=name) for name in ("near_copies", "near_before", "near_items")}
 
 
 def sql_queries() -> dict:
