@@ -88,3 +88,12 @@ def test_nearest_before_equals_brute_force_with_a_row_a_fingerprint(spark, dista
             want[hamming.signed(x)] = best
     got = hamming.nearest_before(table, distance, hot).collect()
     assert {tuple(r) for r in got} == set(want.items()) and len(got) == len(want)
+
+
+def test_a_pair_comes_from_one_bucket_without_a_shuffle(spark):
+    """Of a dense family every pair agrees in many tables; it comes once, and no aggregation is needed for that."""
+    rows = spark.range(1024).select(F.expr("CAST(conv(concat(repeat('10', 8), lpad(bin(id), 10, '0')), 2, 10) AS BIGINT)").alias("fingerprint"), F.lit(False).alias("query"))
+    for hot in (hamming.HOT, 100):
+        found = hamming.near(rows, 3, hot)
+        assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 1024 * (10 + 45 + 120) // 2
