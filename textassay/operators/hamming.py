@@ -183,10 +183,10 @@ def _dealt(rows: DataFrame, order: str) -> DataFrame:
     return rows.repartition("path", "key").sortWithinPartitions("path", "key", order)
 
 
-def near(fingerprints: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
+def near(fingerprints: DataFrame, distance: int, hot: int = HOT, unlike: bool = False) -> DataFrame:
     """a, b, distance of all pairs of different fingerprints within `distance`, and a_id, b_id if these have a doc_id.
 
-    With rows marked `query`, a is one of these and b one of the others; else a < b.
+    With `unlike`, only pairs of different doc_id.  With rows marked `query`, a is one of these and b one of the others; else a < b.
     `fingerprints` has columns fingerprint (distinct within each side) and query (boolean).
     """
     rows, _ = index(fingerprints, distance, hot)
@@ -205,6 +205,10 @@ def near(fingerprints: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
                     continue
                 i, j, v = i[keep], j[keep], v[keep]
                 columns = [pa.array(x[i].view(np.int64)), pa.array(x[j].view(np.int64)), pa.array(np.bitwise_count(v).astype(np.int32))]
+                if unlike:
+                    label = batch.column("doc_id").to_numpy()
+                    other = label[i] != label[j]
+                    i, j, columns = i[other], j[other], [c.filter(pa.array(other)) for c in columns]
                 if ids:
                     columns += [batch.column("doc_id").take(pa.array(k)) for k in (i, j)]
                 yield pa.RecordBatch.from_arrays(columns, names)

@@ -15,7 +15,9 @@ from textassay.sources.shared import kept
 MODULES = ("rules", "features", "paragraphs", "store", "joins", "learn", "simhash", "pages")
 #: Steps that Spark writes out once and reads back: many queries filter on their columns,
 #: and a filter pushed below them would repeat their large expressions.
-STORED = ("scored", "fp", "near_copies", "near_before", "near_items")
+STORED = ("scored", "fp", "near_copies", "near_before", "near_items", "judged_parts")
+#: Bytes of files that a task takes of a stored table whose rows become many: it holds the distinct grams of so much text.
+PARTED, PART = ("judged_parts",), 1 << 22
 #: Tables with long texts, whose rows are costly to work on, and the size below which they are dealt out.
 TEXTS, SMALL = ("documents", "pages"), 1 << 28
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,6 +65,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < SMALL and len(rows.inputFiles()) < cores else rows
 
 
+def parted(rows: DataFrame) -> DataFrame:
+    """A stored table in parts of PART bytes of its files, at least one a core."""
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(str(size)) // PART)))
+
+
 def over(text: str, spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """A SQL text over these tables, by names that no one else's views have and that are gone afterwards."""
     tag = f"textassay_{uuid.uuid4().hex}_"
@@ -92,6 +100,8 @@ def run_text(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in STORED:
         if used(name):
             tables[name] = kept(spark, sf_dir, name, lambda name=name: MAKERS[name](spark, sf_dir))
+            if name in PARTED:
+                tables[name] = parted(tables[name])
     if used("marked"):
         tables["marked"] = marked(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return over(text, spark, tables)
@@ -115,7 +125,7 @@ def _pairs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stored_pairs(spark, sf_dir, name)
 
 
-MAKERS = {"scored": functools.partial(run, "scored"), "fp": _fingerprints} | {name: functools.partial(_pairs, name=name) for name in ("near_copies", "near_before", "near_items")}
+MAKERS = {"scored": functools.partial(run, "scored"), "judged_parts": functools.partial(run, "judged_parts"), "fp": _fingerprints} | {name: functools.partial(_pairs, name=name) for name in ("near_copies", "near_before", "near_items")}
 
 
 def sql_queries() -> dict:
