@@ -59,3 +59,20 @@ def test_anchors_of_many_paragraphs_equal_those_by_definition(spark, monkeypatch
         with monkeypatch.context() as m:
             m.setattr(paragraphs, "SEARCHED", 0)
             assert paragraphs._once(text, tops) == few
+
+
+def test_state_of_clamped_steps_comes_with_the_rows():
+    import pandas as pd
+
+    from textassay.streaming import stateful
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state, rows = State(), pd.DataFrame({"user_id": [7] * 4, "dim": ["x"] * 4, "id": [2, 1, 3, 4], "step": [-0.9, 0.9, 0.9, 0.9], "t": [1.0, 1.0, 2.0, 3.0]})
+    first = list(stateful.clamp_steps(("k",), iter([rows[:2], rows[2:]]), state))
+    assert first[0].to_dict("records") == [{"user_id": 7, "dim": "x", "x": 1.0, "n": 4}]
+    assert list(stateful.clamp_steps(("k",), iter([rows[:1]]), state))[0]["n"].tolist() == [5] and abs(state.get[0] - 0.1) < 1e-9
