@@ -197,6 +197,44 @@ def test_op2_places_of_a_hot_seed_link_with_leaders_carried_on(monkeypatch):
                 assert {r[2] for r in own} == {r[2] for r in own if (r[2], r[3]) in linked}
 
 
+def test_op2_pairs_meet_behind_other_leaders_of_each_of_their_seeds(spark):
+    """Each run of equal words of a pair stands in other documents too, in few or in more than FEW, but no two runs together."""
+    rng = random.Random(31)
+    word = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    rows, planted = [], set()
+    for copies in (3, 2 * passages.FEW):
+        for _ in range(12):
+            runs = [word(9) for _ in range(7)]
+            for _ in range(2):
+                planted.add(len(rows))
+                rows.append((len(rows), " ".join(sum((r + word(1) for r in runs), word(25)) + word(25))))
+            for run in runs:
+                rows += [(len(rows) + k, " ".join(word(20) + run + word(20))) for k in range(copies)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == planted
+    assert all(abs(r.other_id - r.doc_id) == 1 for r in found)
+
+
+def test_op2_all_pairs_of_small_classes_and_two_seeds_of_large_ones(monkeypatch):
+    rng = random.Random(32)
+    monkeypatch.setattr(passages, "LONG", 99)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    part = lambda rows, names: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    rows = sorted((seed, rng.randrange(1 << 63), node, node) for seed, n in ((1, 2), (2, 5), (3, 6)) for node in range(n))
+    got = [tuple(r.values()) for b in passages.leaders(iter([part(rows, ["seed", "key", "node", "pos"])]), 5, 1, True) for r in b.to_pylist()]
+    pairs = collections.Counter((a, b) for a, b, *_ in got if b is not None)
+    assert pairs == {(a, b): (a < 2) + 1 for a in range(5) for b in range(a)} | {(a, 0): 2 + (a == 1) for a in range(1, 5)} | {(5, 0): 1}
+    assert sorted(r[0] for r in got if r[1] is None) == list(range(6)) and all(r[5] == 3 for r in got if r[1] is None)
+    near = sorted((rng.randrange(3), p) for p in rng.sample(range(300), 120))
+    places = [(node, pos, rng.randrange(9), 7) for node, pos in near]
+    want = sum(a[0] == b[0] and 0 < b[1] - a[1] <= passages.JOINT for a in places for b in places)
+    two = []
+    for size in (1, 7, 120):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*places[i : i + size])], ["node", "pos", "seed", "key"]) for i in range(0, 120, size))
+        two.append(sorted(tuple(r.values()) for b in passages.joint(batches) for r in b.to_pylist()))
+    assert two[0] == two[1] == two[2] and len(two[0]) == want
+
+
 def brute_chains(matches):
     """The best score of a chain in which both positions rise within a cell or into a neighbour."""
     near = lambda a, b: 0 <= b // passages.GAP_MOST - a // passages.GAP_MOST <= 1
