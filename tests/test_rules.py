@@ -151,3 +151,27 @@ def test_every_latin_rule_fires_on_the_planted_documents(spark, sf_dir):
     fired = {n for r in native.QUERIES["rule_score_planted"](spark, sf_dir).select("matched").distinct().collect() for n in r.matched.split("|")}
     want = {"scam_keywords", "emotional_anxiety_and_punctuation", "emotional_anxiety_phrases", "advertorial_promo", "credibility_unverifiable", "scam_educational_context_cap"}
     assert fired >= want | {c[0] for c in LATIN.combos if c[0] in fired}
+
+
+def test_characters_are_counted_in_one_cheap_pass():
+    import random
+    import time
+
+    import numpy as np
+
+    from textassay.functions import phrases
+    from textassay.operators.rules import IGNORED
+
+    rng, apart = random.Random(6), np.array(sorted(map(ord, IGNORED)), np.uint32)
+    pools = ["ab \n\t!", "aé，。 “日本", "a😀，𝒳 \f", IGNORED, "\0\uffff"]
+    for pool in pools:
+        for n in (0, 1, 5, 200):
+            text = "".join(rng.choices(pool, k=n))
+            bare = [c for c in text if c not in IGNORED]
+            assert phrases.characters(text, apart) == (len(set(bare)), len(bare))
+    text = "Das Wetter war schön, und der Fluß lief langsam. " * 20_000
+    start = time.perf_counter()
+    phrases.characters(text, apart)
+    ours, start = time.perf_counter() - start, time.perf_counter()
+    text.translate(dict.fromkeys(map(ord, IGNORED)))  # what a text beyond ASCII took before
+    assert ours < (time.perf_counter() - start) / 2
