@@ -7,7 +7,7 @@ import time
 import pytest
 
 from textassay.functions import phrases
-from textassay.functions.dialect import SCANNED, SPARK
+from textassay.functions.dialect import DUCK, SCANNED, SPARK
 from textassay.functions.packs import LATIN, ZH
 from textassay.operators import rules
 from textassay.plans import catalog, native
@@ -175,3 +175,16 @@ def test_characters_are_counted_in_one_cheap_pass():
     ours, start = time.perf_counter() - start, time.perf_counter()
     text.translate(dict.fromkeys(map(ord, IGNORED)))  # what a text beyond ASCII took before
     assert ours < (time.perf_counter() - start) / 2
+
+
+def test_patterns_are_searched_only_where_their_literal_stands(spark):
+    known = {"(?i)you(x|y)?(ll| will) regret": " regret", "(a(b|c))?longer x+yz": "longer x", "a{0,3}bcd|x": "", "(?i)ab?cde": "cde", "[abc]{2}defg*": "def", "foo(?=bar)": "", "\\bfoo": ""}
+    assert {p: rules.literal(p) for p in known} == known
+    texts = ["", "LAST CHANCE", "la\u017ft chance", "Last \u212ahance \u0130", "\u0130 If You STILL don\u2019t act NOW", "if you dont", "Most People never", "longer xxyz", "Longer xyz", "You'll ReGret \u03a3"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    patterns = [*rules.LATIN.anxiety, *known]
+    sought = [rules.pattern(SCANNED, "t", p) for p in patterns]
+    assert sum("contains(" in s for s in sought) == len(rules.LATIN.anxiety) + 4
+    plain = docs.selectExpr(*[SCANNED.rx("t", p) + f" AS p{k}" for k, p in enumerate(patterns)]).collect()
+    assert docs.selectExpr(*[s + f" AS p{k}" for k, s in enumerate(sought)]).collect() == plain
+    assert sum(map(sum, plain)) >= 6 and rules.pattern(DUCK, "t", patterns[0]) == DUCK.rx("t", patterns[0])

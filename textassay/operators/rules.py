@@ -8,8 +8,10 @@ keyword hits are computed once in `hits` and all rules derive from them.
 
 from __future__ import annotations
 
+import re
+
 from textassay.functions import phrases
-from textassay.functions.dialect import SPARK
+from textassay.functions.dialect import SCANNED
 from textassay.functions.packs import DIMENSIONS, LABELS, LATIN, NEGATIVE, POSITIVE, Pack
 
 # White space and punctuation that do not count as characters of a text.
@@ -22,6 +24,29 @@ def keyword(d, x: str, w: str) -> str:
     return d.short_word(x, w) if w.isascii() and len(w) < 4 else d.contains(x, w)
 
 
+def literal(p: str) -> str:
+    """The longest run of letters and blanks that every match of a pattern holds; empty where none is sure."""
+    if "\\" in p or "(?" in p.removeprefix("(?i)"):
+        return ""
+    bare, before = re.sub(r"\[[^\]]*\]", "\0", p.removeprefix("(?i)")), None
+    while bare != before:
+        bare, before = re.sub(r"\([^()]*\)", "\0", bare), bare
+    if "|" in bare:
+        return ""
+    runs = re.findall("[A-Za-z ]+", re.sub(r".(?:[?*]|\{[^}]*\})", "\0", bare))
+    return max(runs, key=len, default="")
+
+
+def pattern(d, x: str, p: str) -> str:
+    """Whether a pattern occurs; on Spark's scanned texts only those that hold its literal are searched, which costs a fraction."""
+    word = literal(p) if d.scans else ""
+    if len(word) < 3:
+        return d.rx(x, p)
+    # lower() turns all that (?i) takes for the word into it, and some characters more
+    held = f"contains(lower({x}), {d.lit(word.lower())})" if p.startswith("(?i)") else f"contains({x}, {d.lit(word)})"
+    return f"({held} AND {d.rx(x, p)})"
+
+
 def total(terms) -> str:
     return "(" + " + ".join(f"CAST({t} AS INT)" for t in terms) + ")" if terms else "0"
 
@@ -58,7 +83,7 @@ def _hits_found(pack: Pack) -> list[str]:
     ]
     parts += [f"{n(f'combo_{k}')} = {len(c[1])}" + (" AND FALSE" if not c[1] else "") + f" AS combo_{k}" for k, c in enumerate(pack.combos)]
     parts += [f"{n(f'platform_{k}')} AS platform_{k}" for k in range(len(pack.platforms))]
-    return parts + [f"{n(f'custom_{k}')} + {total([SPARK.rx('t', p) for p in r.patterns])} AS custom_{k}" for k, r in enumerate(pack.custom)]
+    return parts + [f"{n(f'custom_{k}')} + {total([pattern(SCANNED, 't', p) for p in r.patterns])} AS custom_{k}" for k, r in enumerate(pack.custom)]
 
 
 def _hits_sought(d, pack: Pack) -> list[str]:
@@ -79,8 +104,8 @@ def _hits_sought(d, pack: Pack) -> list[str]:
 def hits(d, pack: Pack = LATIN) -> str:
     common = [
         "CAST(length(t) - length(replace(t, '!', '')) + length(t) - length(replace(t, '！', '')) AS BIGINT) AS bangs",
-        f"{total([d.rx('t', p) for p in pack.anxiety])} AS anx_n",
-        f"{d.rxcount('t', LINK)} AS links",
+        f"{total([pattern(d, 't', p) for p in pack.anxiety])} AS anx_n",
+        f"CASE WHEN contains(t, '://') THEN {d.rxcount('t', LINK)} ELSE 0 END AS links" if d.scans else f"{d.rxcount('t', LINK)} AS links",
     ]
     if d.scans:
         return f"SELECT *, {', '.join([*common, *_hits_found(pack)])} FROM marked"
