@@ -266,6 +266,35 @@ def test_chains_part_at_a_wide_gap_and_keep_what_follows_together():
     assert sorted(p[:2] for p in passages.align(a, b, chain)) == [(0, 39), (100, 139)]
 
 
+def test_op2_many_straight_chains_at_once_are_aligned_as_one_by_one():
+    rng = np.random.default_rng(5)
+    ways, texts, others, x, y, words = [], [], [], [], [], []
+    for _ in range(600):
+        a = rng.integers(0, 1 << 32, rng.integers(5, 400), dtype=np.uint32)
+        n = int(rng.integers(passages.K, min(len(a), 45) + 1))
+        at, front = int(rng.integers(0, len(a) - n + 1)), int(rng.integers(0, 3)) * 40
+        cut = int(rng.integers(0, front + at + 1))
+        b, place = np.concatenate([rng.integers(0, 1 << 32, front, dtype=np.uint32), a])[cut:], front + at - cut
+        changed = np.flatnonzero(rng.random(len(b)) < rng.choice([0.02, 0.15, 0.3, 0.9]))
+        b[changed] = rng.integers(0, 1 << 32, len(changed), dtype=np.uint32)
+        b[place : place + n] = a[at : at + n]
+        b = b[: len(b) - int(rng.integers(0, len(b) - place - n + 1)) * int(rng.integers(0, 2))]
+        for values, value in zip((texts, others, x, y, words), (a, b, at, place, n), strict=True):
+            values.append(value)
+        ways.append(passages.align(a, b, [(at + k, place + k) for k in range(n - passages.K + 1)]))
+    ends = [np.cumsum([0, *map(len, t)]) for t in (texts, others)]
+    flat = [v for t, e in zip((texts, others), ends, strict=True) for v in (np.concatenate(t), e[:-1], e[1:])]
+    known, *spans, before, after = passages.straight(*flat, *map(np.array, (x, y, words)))
+    assert len(ways) > 300 and known.sum() > 0.7 * len(ways)
+    seen = set()
+    for i in np.flatnonzero(known):
+        own = tuple(s[i] for s in spans)
+        if own[4] >= passages.MIN_IDENTITY:
+            assert ways[i] == [(*own[:4], pytest.approx(own[4]), before[i], after[i])]
+            seen.add((bool(before[i]), bool(after[i]), own[1] - own[0] + 1 >= passages.MIN_WORDS))
+    assert len(seen) == 8
+
+
 def test_chains_do_not_lose_a_second_passage_behind_a_far_better_one():
     rng = random.Random(7)
     for apart in range(30, 601, 30):
