@@ -293,6 +293,8 @@ def test_op2_many_straight_chains_at_once_are_aligned_as_one_by_one():
             assert ways[i] == [(*own[:4], pytest.approx(own[4]), before[i], after[i])]
             seen.add((bool(before[i]), bool(after[i]), own[1] - own[0] + 1 >= passages.MIN_WORDS))
     assert len(seen) == 8
+    none = np.zeros(0, np.int64)
+    assert [v.dtype.kind for v in passages.straight(none, none, none, none, none, none, none, none, none)] == list("biiiifbb")
 
 
 def test_chains_do_not_lose_a_second_passage_behind_a_far_better_one():
