@@ -1,9 +1,11 @@
 """Each operator against brute force on small tables, and on the defined odd cases."""
 
 import collections
+import glob
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -14,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textassay.llm import decontaminate, jaccard, licenses, lm, mixing, pagetext, passages, quality, queries, sharding, tokens
+from textassay.llm import decontaminate, io, jaccard, licenses, lm, mixing, pagetext, passages, quality, queries, sharding, tokens
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -454,6 +456,32 @@ def test_op4_odd_rows(spark, odd_docs, no_docs):
     assert jaccard.join(no_docs).count() == 0
 
 
+def test_op4_leaves_no_shuffle_files_and_no_sets_behind(spark, odd_docs, monkeypatch):
+    def names(folder):
+        return {os.path.basename(f) for f in glob.glob(f"{folder}/*")}
+
+    def shuffled():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f.toString() for top in blocks.localDirs() for f in top.listFiles() for f in f.listFiles() if f.getName().startswith("shuffle_")}
+
+    shared, files, set_before = io.shared_dir(spark).removeprefix("file:").replace("///", "/"), shuffled(), spark.conf.get(io.CLEANUP, None)
+    there, most, made = names(shared), [], io.stored
+
+    def stored(df, label="part"):
+        out, until = made(df, label), time.time() + 10
+        while (left := shuffled() - files) and time.time() < until:  # files go in the background
+            time.sleep(0.05)
+        most.append(len(left))
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    found = jaccard.join(odd_docs)
+    assert len(most) > 10 and max(most) == 0
+    assert spark.conf.get(io.CLEANUP, None) == set_before
+    assert not {n.rsplit("-", 1)[0] for n in names(shared) - there} & {"sketches", "nodes", "sets", "held", "prefixes"}
+    assert found.count() == 10 and len(found.collect()) == len(found.collect()) == 10
+
+
 # 5 ---------------------------------------------------------------------------------------
 
 PATH = P.path("byte_bpe_50k.json")

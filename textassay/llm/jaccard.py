@@ -141,17 +141,22 @@ def _candidates(wide: DataFrame) -> DataFrame:
     common = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     shared = tokens.join(common.hint("merge"), "token").groupBy("node").agg(F.count("*").alias("k"))
     slim = nodes.select("node", "doc_id", "n", "copies")
-    return stored(shared.join(slim.hint("merge"), "node").where(F.col("k") >= _need()).drop("k"), "candidates")
+    few = stored(shared.join(slim.hint("merge"), "node").where(F.col("k") >= _need()).drop("k"), "candidates")
+    drop(nodes)
+    return few
 
 
 def _pruned(sets: DataFrame) -> DataFrame:
     """node, n, copies, s, token, k of sets(node, n, copies, tokens): tokens of k > 1 nodes, of nodes that have s of them, enough for a link."""
     held = sets.select("node", "n", "copies", F.explode("tokens").alias("token"))
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
+        before = held
         spread = held.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
         held = held.select("node", "n", "copies", "token").join(spread.hint("merge"), "token")
         enough = held.groupBy("node").agg(F.count("*").alias("s"), F.first("n").alias("m")).where(F.col("s") * 100 >= F.col("m") * PERCENT).select("node", "s")
         held = stored(held.join(enough.hint("merge"), "node"), "held")
+        if k:
+            drop(before)
     return held
 
 
@@ -194,6 +199,7 @@ def _asked(held: DataFrame, members: DataFrame) -> DataFrame:
     reach = F.least("s", "most_s") * 100 >= union * PERCENT
     met = prefix.join(target.hint("merge"), "token").where((F.col("group") != F.col("other")) & larger & apart & reach)
     met = stored(met.select("node", "n", "other").distinct(), "met")
+    drop(prefix)
 
     # the matrix, and the bound over all tokens: |x & y| >= 4/9 of both sizes
     named = held.select("node", "n", "token").join(members.select("node", F.col("group").alias("other")).join(met.select("other").distinct().hint("merge"), "other", "left_semi").hint("merge"), "node")
@@ -295,7 +301,11 @@ def join(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     held = _pruned(sets)
     groups, links = _grouped(held)
     members = _joined(groups.withColumn("part", F.col("node")), links)
-    members = _joined(members, stored(_opened(_asked(held, members), members, sets), "links"))
+    asked = _asked(held, members)
+    drop(held)
+    links = stored(_opened(asked, members, sets), "links")
+    drop(sets)
+    members = _joined(members, links)
 
     # the smallest id of a part, and of a node outside
     ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
