@@ -152,3 +152,16 @@ def test_injected_replies_become_neutral(spark):
     got = {r.doc_id: r for r in catalog.over(f"WITH parsed AS ({joins.parsed(SPARK)}) {joins._validate(SPARK)}", spark, {"replies": rows}).collect()}
     assert [got[k].rejected for k in range(6)] == [False, True, True, True, False, False]
     assert all((got[k].scam, got[k].conf) == (50.0, 0.1) for k in (1, 2, 3)) and (got[0].scam, got[0].conf) == (42.0, 0.9)
+
+
+def test_paragraphs_of_many_capitalised_words_are_read(spark, folder):
+    import duckdb
+
+    calm = "The mill on the river ran for 40 years and the town grew around it, as the old people told.\n" * 3
+    base = folder([(1, calm + "Word " * 20_000 + "\n" + calm + "Double your money with guaranteed returns, act now, wire transfer only."), (2, "Name " * 20_000)])
+    tables = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        tables.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{base}/{name}.parquet/*.parquet')")
+    for name in ("dimension_evidence", "info_density", "tldr"):
+        got = sorted(tuple(r) for r in catalog.run(name, spark, base).collect())
+        assert got and got == sorted(tables.execute(catalog.sql_oracles()[name]).fetchall())
