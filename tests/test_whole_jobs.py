@@ -165,3 +165,19 @@ def test_paragraphs_of_many_capitalised_words_are_read(spark, folder):
     for name in ("dimension_evidence", "info_density", "tldr"):
         got = sorted(tuple(r) for r in catalog.run(name, spark, base).collect())
         assert got and got == sorted(tables.execute(catalog.sql_oracles()[name]).fetchall())
+
+
+def test_near_dup_pairs_lose_no_document_of_a_fingerprint(spark, folder):
+    base = "The river of the old town ran slowly past the mill and the bakers walked along it every morning in spring"
+    texts = [base + f" with word{k} and some more of it" * (k % 3) for k in range(12)]
+    texts = [v for t in texts for v in (t, t.upper(), t.replace(" ", "\n"), t, t + ".")] + ["a sentence of its own kind"]
+    rows = list(enumerate(texts, 5))
+    prints = {i: int(simhash.simhashes([" ".join(t.lower().split())], {})[0]) for i, t in rows}
+    want = {(i, j): ((prints[i] ^ prints[j]) % 2**64).bit_count() for i in prints for j in prints if i < j}
+    want = {k: v for k, v in want.items() if v <= simhash.K}
+    got = catalog.run("near_dup_pairs", spark, folder(rows)).collect()
+    first = {i: i for i in prints} | {r.right_id: r.left_id for r in got if r.distance == 0}
+    between = {(r.left_id, r.right_id): r.distance for r in got if r.distance}
+    assert len(got) == len({(r.left_id, r.right_id) for r in got}) and all(want[r.left_id, r.right_id] == r.distance for r in got)
+    found = {(i, j): 0 if first[i] == first[j] else between.get(tuple(sorted((first[i], first[j])))) for i in prints for j in prints if i < j}
+    assert {k: v for k, v in found.items() if v is not None} == want and 0 in want.values() and len(set(want.values())) > 1
