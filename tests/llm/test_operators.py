@@ -761,3 +761,39 @@ def test_op2_recall_of_short_passages_by_chain():
             spans = [s for c in (passages.chains(seeds) if seeds else []) for s in passages.align(a, b, c)]
             kept[percent] += any(last - first + 1 >= 40 and identity >= 0.8 for first, last, _, _, identity, _, _ in spans) or not seeds
     assert kept[80] >= 180 and kept[85] >= 190 and kept[90] >= 195, kept
+
+
+def test_op2_pairs_meet_where_every_two_of_their_seeds_are_in_many_texts(spark):
+    """Each two neighbouring runs of equal words of a pair stand in more than FEW other texts, each of which shares less than a passage."""
+    rng = random.Random(41)
+    word = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    rows, planted = [], {}
+    for _ in range(10):
+        runs = [word(9) for _ in range(5)]
+        for k in range(2):
+            planted[len(rows)] = len(rows) + 1 - 2 * k
+            rows.append((len(rows), " ".join(sum((r + word(1) for r in runs), word(25)) + word(25))))
+        for one, two in zip(runs, runs[1:]):
+            rows += [(len(rows) + k, " ".join(word(20) + one + word(1) + two + word(20))) for k in range(2 * passages.FEW)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.other_id for r in found} == planted
+
+
+def test_op2_tiles_hold_every_open_place_against_its_whole_class(monkeypatch, spark):
+    rng = random.Random(42)
+    word = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    line = word(12)
+    texts = [word(30) + line + word(30) for _ in range(40)]
+    for a, b in ((3, 31), (8, 17)):  # 16 of the 20 words before the line are equal too
+        texts[b][10:30] = [w if k % 5 else word(1)[0] for k, w in enumerate(texts[a][10:30])]
+        texts[b][42:62] = [w if k % 5 else word(1)[0] for k, w in enumerate(texts[a][42:62])]
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "node long, text string")
+    for tile in (passages.TILE, 8):
+        monkeypatch.setattr(passages, "TILE", tile)
+        blocks = 1 if tile > len(texts) else 2 * len(texts) // tile
+        places = spark.createDataFrame([(k, 30, 7, k % 10 != 7, blocks) for k in range(len(texts))], "node bigint, pos bigint, seed bigint, open boolean, blocks int")
+        dealt = passages._surroundings(places, rows).repartition("seed", "tile").sortWithinPartitions("seed", "tile", "node", "pos")
+        got = [tuple(r) for r in dealt.mapInArrow(passages.alike, passages.LINKS).collect()]
+        assert sorted(got) == [(17, 8, 30, 30, passages.MIN_EVIDENCE), (31, 3, 30, 30, passages.MIN_EVIDENCE)]
+    assert passages.uncovered(np.array([0, 5, 6, 95, 96]), np.array([50, 5]), np.array([99, 20])).tolist() == [True, False, False, False, True]
+    assert passages.uncovered(np.array([3]), np.array([], int), np.array([], int)).tolist() == [True]
